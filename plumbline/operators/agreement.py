@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numerics import chi_square_tail, correlation_tail
+from plumbline.session import cut_lineage
 from plumbline.operators.ordered import mid_ranks, running, with_chunk
 
 NAN = float("nan")
@@ -195,9 +196,12 @@ def holm(
     tie_break: Sequence[str],
     alpha: float = 0.05,
 ) -> DataFrame:
-    """Step-down adjusted p-values inside each family, with the rejection and family counts."""
+    """Step-down adjusted p-values inside each family, with the rejection and family counts.
+
+    The table of tests is read several times and is the end of a long plan, so it is written once.
+    """
     family, order = list(family), [p, *tie_break]
-    tagged = with_chunk(df, family, order)
+    tagged = with_chunk(cut_lineage(df), family, order)
     sizes = tagged.groupBy(*family, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*family).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["bias", "stats"]
+THEMES = ["bias", "stats", "gold"]
 
 
 def load_all() -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder, for a result that is read several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
