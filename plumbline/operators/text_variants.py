@@ -475,16 +475,15 @@ def with_donors(items: DataFrame) -> DataFrame:
     """Each item with the donor clauses of its domain, or of all items if it is alone there."""
     sizes = items.groupBy("domain").agg(F.count(F.lit(1)).alias("_in_domain"))
     pools = donor_table(items)
+    everyone = pools.where(F.col("pool") == "").select("donors").scalar()
     total = sizes.agg(F.sum("_in_domain").alias("t")).scalar()
-    tagged = items.join(sizes, "domain").withColumn("_total", total)
-    return (
-        tagged.withColumn(
-            "pool",
-            F.when(F.col("_in_domain") > 1, F.col("domain")).when(F.col("_total") > 1, F.lit("")),
-        )
-        .join(pools, "pool", "left")
-        .drop("_in_domain", "_total", "pool")
+    chosen = sizes.join(
+        pools.select(F.col("pool").alias("domain"), "donors"), "domain", "left"
+    ).select(
+        "domain",
+        F.when(F.col("_in_domain") > 1, F.col("donors")).when(total > 1, everyone).alias("donors"),
     )
+    return items.join(chosen, "domain", "left")
 
 
 def build_variants(

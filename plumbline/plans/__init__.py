@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["bias", "stats", "gold"]
+THEMES = ["bias", "stats", "gold", "traces"]
 
 
 def load_all() -> None:
