@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["bias", "stats", "gold", "traces"]
+THEMES = ["bias", "stats", "gold", "traces", "evidence"]
 
 
 def load_all() -> None:
