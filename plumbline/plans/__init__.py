@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["bias", "stats", "gold", "traces", "evidence"]
+THEMES = ["bias", "stats", "gold", "traces", "evidence", "student"]
 
 
 def load_all() -> None:

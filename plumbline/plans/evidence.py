@@ -502,15 +502,16 @@ def _(t: Inputs) -> DataFrame:
 def length_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     """A stand-in for a judge: its score is a function of the answer, some answers are cut off."""
     value = batch["answer"].astype(int)
-    cut = (value % 9 == 0) & (batch["max_tokens"] < 1000)
-    if (value % 200 == 199).any():
-        raise ValueError("answer refused")
+    refused = value % 200 == 199
+    cut = (value % 9 == 0) & (batch["max_tokens"] < 1000) & ~refused
+    text = ("SCORE: " + (value % 10 + 1).astype(str)).where(~cut, "REASONING: and so")
     return pd.DataFrame(
         {
-            "text": ("SCORE: " + (value % 10 + 1).astype(str)).where(~cut, "REASONING: and so"),
-            "finish_reason": pd.Series(["stop"] * len(batch)).where(~cut.reset_index(drop=True), "length"),
+            "text": text.where(~refused, ""),
+            "finish_reason": pd.Series("stop", index=batch.index).where(~cut, "length"),
             "prompt_tokens": batch["prompt"].str.len() // 4,
             "completion_tokens": 5,
+            "error": pd.Series("", index=batch.index).where(~refused, "ValueError: refused"),
         }
     )
 
@@ -527,7 +528,9 @@ select judge, config, count(*) as n, count(*) filter (v % 200 = 199) as n_errors
     as mean_score from o group by 1, 2""",
 )
 def _(t: Inputs) -> DataFrame:
-    answered = judging.judge(judging.with_prompt(prompt_tasks(t)), length_scorer)
+    answered = judging.judge(
+        judging.with_prompt(prompt_tasks(t)), length_scorer, piece_rows=2048
+    )
     return rounded(
         answered.groupBy("judge", "config").agg(
             F.count(F.lit(1)).alias("n"),
