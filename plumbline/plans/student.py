@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from plumbline.operators.discrimination import discrimination_report
 from plumbline.plans.bias import ROWS_SQL, judged_rows
 from plumbline.plans.registry import Inputs, query
 from plumbline.plans.shared import rounded, sql_wilson
-from plumbline.session import ensure_checkpoint_dir
+from plumbline.session import cut_lineage, ensure_checkpoint_dir
 
 
 def _list(values: list[str]) -> str:
@@ -165,10 +167,10 @@ def _(t: Inputs) -> DataFrame:
 
 SPLIT_SQL = """
 g as (select item_group, row_number() over (order by md5(item_group || '|split|20260731'), item_group)
-  as at, count(*) over () as n from (select distinct item_group from fx_student)),
+  as ord, count(*) over () as n from (select distinct item_group from fx_student)),
 cut as (select *, ceil(0.2::double * n) as nt, ceil((0.2::double / (1.0::double - 0.2::double))
   * (n - ceil(0.2::double * n))) as nc from g),
-sp as (select s.*, case when at <= nt then 'test' when at <= nt + nc then 'calibration'
+sp as (select s.*, case when ord <= nt then 'test' when ord <= nt + nc then 'calibration'
   else 'train' end as split from fx_student s join cut using (item_group))"""
 
 
@@ -184,10 +186,10 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "row_split",
     """with r as (select uid, teacher_label, row_number() over (partition by teacher_label
-  order by md5(uid || '|split|20260731'), uid) as at, count(*) over (partition by teacher_label) as n
+  order by md5(uid || '|split|20260731'), uid) as ord, count(*) over (partition by teacher_label) as n
   from fx_student)
-select uid, case when at <= round_even(0.2::double * n, 0) then 'test'
-  when at <= round_even(0.2::double * n, 0) + round_even(0.2::double * n, 0) then 'calibration'
+select uid, case when ord <= round_even(0.2::double * n, 0) then 'test'
+  when ord <= round_even(0.2::double * n, 0) + round_even(0.2::double * n, 0) then 'calibration'
   else 'train' end as split from r""",
     "student",
 )
@@ -381,7 +383,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "guard_reasons",
-    f"""with {STRUCTURAL_SQL.strip().replace("select doc_id, round(ln(1 + length", "f as (select doc_id, round(ln(1 + length", 1)}),
+    f"""with {STRUCTURAL_SQL.strip().replace(" from w)", " from w),").replace("select doc_id, round(ln(1 + length", "f as (select doc_id, round(ln(1 + length", 1)}),
 r as (select f.*, p from f join fx_student on uid = doc_id::varchar)
 select doc_id, case when p >= 0.5 then 'allow' else 'block' end as decision,
   'p(acceptable)=' || printf('%.3f', p) || case when p >= 0.5 then ' at or above threshold 0.50'
@@ -481,7 +483,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 def labelled_examples(t: Inputs) -> DataFrame:
-    """The labelled documents as rendered examples, features included."""
+    """The labelled documents as rendered examples."""
     following = t.table("documents").select(
         (F.col("doc_id") - 1).cast("string").alias("uid"), F.col("text").alias("source_text")
     )
@@ -489,31 +491,33 @@ def labelled_examples(t: Inputs) -> DataFrame:
     text = features.render_example(
         F.col("item_group"), F.col("answer"), F.coalesce("source_text", F.lit(""))
     )
-    kept = rows.select("uid", "item_group", "degradation", "teacher_label", "truth_label", text.alias("text"))
-    return features.hashing_features(kept)
+    return rows.select(
+        "uid", "item_group", "degradation", "teacher_label", "truth_label", text.alias("text")
+    )
+
+
+def compact_features(df: DataFrame) -> DataFrame:
+    """Hashed features in smaller spaces: the fit's cost per step grows with their size."""
+    return features.hashing_features(df, word_features=2**12, char_features=2**11)
 
 
 def trained(t: Inputs) -> tuple[st.Student, DataFrame]:
-    split = calibration.group_split(labelled_examples(t), "item_group")
+    featured = cut_lineage(compact_features(labelled_examples(t)).drop("context", "question", "answer"))
+    split = calibration.group_split(featured, "item_group")
     model = st.fit_student(split.where(F.col("split") == "train"), max_iter=20)
     return st.recalibrate(model, split.where(F.col("split") == "calibration")), split
 
 
 @query("hashed_features")
 def _(t: Inputs) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-    from pyspark.ml.stat import Summarizer
-
-    summary = labelled_examples(t).agg(
-        Summarizer.metrics("count").summary(F.col("features")).alias("s"),
-    )
-    return summary.select(F.col("s.count").alias("n_rows"))
+    out = features.hashing_features(labelled_examples(t))
+    return out.groupBy("degradation").agg(
+        Summarizer.metrics("count").summary(F.col("features")).alias("s")
+    ).select("degradation", F.col("s.count").alias("n_rows"))
 
 
 @query("embedding_features")
 def _(t: Inputs) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     vectors = t.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = t.table("documents").select(
         "doc_id", features.render_example(F.col("source"), F.col("text"), F.lit("")).alias("text")
@@ -542,7 +546,7 @@ def _(t: Inputs) -> DataFrame:
         F.col("text").alias("answer"),
         F.lit("").alias("context"),
     )
-    return st.guard(requests, model).select("doc_id", "p", "decision", "reason")
+    return st.guard(requests, model, featurise=compact_features).select("doc_id", "p", "decision", "reason")
 
 
 @query("held_out_probes")
