@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ["bias", "stats", "gold", "traces", "evidence", "student"]
+THEMES = ["bias", "stats", "gold", "traces", "evidence", "student", "streams"]
 
 
 def load_all() -> None:
