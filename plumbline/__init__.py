@@ -1,3 +1,10 @@
 """Reliability analytics for automatic judges, expressed as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Helpers that run inside tasks travel with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
