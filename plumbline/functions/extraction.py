@@ -25,7 +25,8 @@ def without_reasoning(text: Column) -> Column:
     """Text after its thinking blocks; an unfinished block hides everything behind it."""
     closed = F.regexp_replace(text, F.lit(REASONING_CLOSED), F.lit(""))
     opened = F.regexp_replace(closed, F.lit(REASONING_OPEN), F.lit(""))
-    return F.regexp_replace(opened, r"^\s+|\s+$", "")
+    kept = F.when(F.contains(text, F.lit("<")), opened).otherwise(text)
+    return F.btrim(kept, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def score_of(text: Column, low: float = 1.0, high: float = 10.0) -> Column:
