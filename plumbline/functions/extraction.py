@@ -47,6 +47,7 @@ def score_of(text: Column, low: float = 1.0, high: float = 10.0) -> Column:
 def verdict_of(text: Column) -> Column:
     """'A', 'B', 'tie' or null."""
     cleaned = without_reasoning(text)
-    hits = [F.nullif(F.regexp_extract(cleaned, p, 1), F.lit("")) for p in VERDICT_FORMATS]
-    found = F.upper(F.coalesce(*hits))
-    return F.when(found == "TIE", "tie").otherwise(found)
+    hits = [
+        F.get(F.regexp_extract_all(cleaned, F.lit(p), F.lit(1)), F.lit(0)) for p in VERDICT_FORMATS
+    ]
+    return F.replace(F.upper(F.coalesce(*hits)), F.lit("TIE"), F.lit("tie"))

@@ -27,13 +27,21 @@ def band(score: Column) -> Column:
     return F.when(score.isNotNull(), out.otherwise(LOWEST_BAND))
 
 
+def band_rank(score: Column) -> Column:
+    """The band as a number, which aggregates without sorting."""
+    rank = F.lit(0)
+    for edge, _ in BANDS:
+        rank = rank + F.when(score >= edge, 1).otherwise(0)
+    return F.when(score.isNotNull(), rank)
+
+
 def item_spread(log: DataFrame, accept_at: float = ACCEPT_AT) -> DataFrame:
     """Per judge and item: did any run change band or decision, and the spread of its scores."""
     score = F.col("score")
     return log.groupBy("judge", "item_id").agg(
-        F.coalesce((F.min(band(score)) != F.max(band(score))).cast("int"), F.lit(0)).alias(
-            "band_flip"
-        ),
+        F.coalesce(
+            (F.min(band_rank(score)) != F.max(band_rank(score))).cast("int"), F.lit(0)
+        ).alias("band_flip"),
         F.coalesce(
             (F.min(score >= accept_at) != F.max(score >= accept_at)).cast("int"), F.lit(0)
         ).alias("decision_flip"),
@@ -70,8 +78,8 @@ def flip_rates(log: DataFrame, accept_at: float = ACCEPT_AT, confidence: float =
 def replicate_pairs(log: DataFrame, value: Column) -> DataFrame:
     """Counts of value combinations for every two runs i < j of a judge over their common items.
 
-    The runs of an item sit together after one shuffle; what leaves the map side is a count per
-    judge, run pair and value combination, not the pairs themselves.
+    A run scores an item once, so an item holds no more entries than there are runs. They sit together
+    after one shuffle; what leaves the map side is a count per judge, run pair and value combination.
     """
     runs = (
         log.where(value.isNotNull())

@@ -19,14 +19,25 @@ def both_orders(pairs: DataFrame) -> DataFrame:
     )
 
 
-def side_of(verdict: Column, reference_first: Column) -> Column:
-    """Which side an A/B/tie verdict favours: REF, DEG, tie or null."""
+SIDES = {1: "REF", 2: "DEG", 3: "tie"}
+
+
+def side_code(verdict: Column, reference_first: Column) -> Column:
+    """Which side an A/B/tie verdict favours, as a small number: numbers aggregate without sorting."""
     return (
-        F.when(verdict == "tie", F.lit("tie"))
-        .when(verdict.isin("A", "B"), F.when((verdict == "A") == reference_first, "REF").otherwise("DEG"))
+        F.when(verdict == "A", F.when(reference_first, 1).otherwise(2))
+        .when(verdict == "B", F.when(reference_first, 2).otherwise(1))
+        .when(verdict == "tie", 3)
     )
 
 
+def side_name(code: Column) -> Column:
+    name = F.lit(None).cast("string")
+    for key, text in SIDES.items():
+        name = F.when(code == key, text).otherwise(name)
+    return name
+
+
 def coin_is_first(*identity: Column) -> Column:
     """A repeatable coin: the parity of the SHA-256 of the identity joined by '|'."""
     digest = F.sha2(F.concat_ws("|", *[c.cast("string") for c in identity]), 256)
@@ -39,16 +50,20 @@ def resolve_swaps(
     """One row per comparison from its two ordered answers, in a single shuffle.
 
     ``answers`` has uid, judge, config, replicate, reference_first, verdict (A, B, tie or null),
-    tokens, latency_ms and cost_usd.
+    tokens, latency_ms and cost_usd. ``carry`` names attributes of the comparison, equal in both rows.
     """
-    side = side_of(F.col("verdict"), F.col("reference_first"))
-    merged = answers.groupBy("uid", "judge", "config", "replicate").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
-        F.max(F.when(F.col("reference_first"), side)).alias("forward"),
-        F.max(F.when(~F.col("reference_first"), side)).alias("reverse"),
-        F.sum("latency_ms").alias("latency_ms"),
-        F.sum("cost_usd").alias("cost_usd"),
-        F.sum("tokens").alias("tokens"),
+    code = side_code(F.col("verdict"), F.col("reference_first"))
+    merged = (
+        answers.groupBy("uid", "judge", "config", "replicate", *carry)
+        .agg(
+            F.max(F.when(F.col("reference_first"), code)).alias("_forward"),
+            F.max(F.when(~F.col("reference_first"), code)).alias("_reverse"),
+            F.sum("latency_ms").alias("latency_ms"),
+            F.sum("cost_usd").alias("cost_usd"),
+            F.sum("tokens").alias("tokens"),
+        )
+        .withColumn("forward", side_name(F.col("_forward")))
+        .withColumn("reverse", side_name(F.col("_reverse")))
     )
     forward, reverse = F.col("forward"), F.col("reverse")
     consistent = F.coalesce(forward == reverse, F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.draws import at_least_one, draw, pick_indexes, shuffled
-from plumbline.functions.printing import fixed4, general, short4
+from plumbline.functions.printing import fixed4, short4
 
 SEED = 20260731
 SEVERITIES = (0.2, 0.5, 0.9)
