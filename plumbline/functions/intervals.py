@@ -25,6 +25,6 @@ def wilson(successes: Column, n: Column, confidence: float = 0.95) -> tuple[Colu
         / denominator
     )
     nan = F.lit(float("nan"))
-    low = F.coalesce(F.greatest(F.lit(0.0), centre - half), nan)
-    high = F.coalesce(F.least(F.lit(1.0), centre + half), nan)
+    low = F.when(n > 0, F.greatest(F.lit(0.0), centre - half)).otherwise(nan)
+    high = F.when(n > 0, F.least(F.lit(1.0), centre + half)).otherwise(nan)
     return low, high
