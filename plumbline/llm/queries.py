@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, mixing, sharding
+from plumbline.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, sharding
 from plumbline.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,53 @@ def op7_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op4_ngram_join",
+    r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') as w
+        from documents),
+    sets as (
+        select distinct doc_id, hash(array_to_string(w[i:i + 4], ' ')) as s
+        from words, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as t(i)),
+    sizes as (select doc_id, count(*) as n from sets group by doc_id),
+    shared as (
+        select a.doc_id as a, b.doc_id as b, count(*) as k
+        from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+    links as (
+        select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+        where 100 * k >= 80 * (x.n + y.n - k)),
+    both_ways as (select a, b from links union all select b, a from links),
+    reached(doc_id, other) as (
+        select doc_id, doc_id from documents
+        union
+        select r.doc_id, l.b from reached r join both_ways l on l.a = r.other)
+    select d.doc_id, coalesce(n, 0) as n_shingles, min(other) as component_id
+    from documents d join reached r on r.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id
+    group by d.doc_id, n""",
+)
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.ngram_components(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    tokens = bpe.encode(spark, docs, vocabulary_path("word_bpe_49k.json"), decoded=True)
+    return tokens.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def vocabulary_path(name: str) -> str:
+    """Where the machine keeps a vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
