@@ -158,8 +158,10 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     are ignored; an empty table gives no rows.
     """
     found = stored(identities(docs, id_col, text, **options), "identities")
-    groups = found.groupBy("blocks", "name").agg(
-        F.max("k_id").alias("keep_id"), F.sum("rows").alias("group_size")
+    # written before the join, which then can split a group that holds very many rows
+    groups = stored(
+        found.groupBy("blocks", "name").agg(F.max("k_id").alias("keep_id"), F.sum("rows").alias("group_size")),
+        "groups",
     )
     return (
         found.join(groups, ["blocks", "name"])

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import ROW, field, null_safe, packed, stored, unpacked, word_count
 
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 DECLARED_WEIGHTS = (5, 2, 1)
 
 
