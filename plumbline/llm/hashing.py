@@ -8,8 +8,15 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 TOKEN_BITS = 58
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+# Kinds of bytes: 0 parts words. The plain kinds know words only, the fine ones letters (with all
+# bytes beyond ASCII), digits and symbols.
+PLAIN = np.ones(256, np.uint8)
+PLAIN[[0x20, 9, 10, 11, 12, 13]] = 0
+FINE = np.where(PLAIN > 0, np.uint8(3), np.uint8(0))
+FINE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+FINE[48:58] = 2
+_UPPER = np.zeros(256, np.int64)
+_UPPER[65:91] = 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,12 +44,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes of the words of many texts at once.
 
-    A word's hash is a polynomial in its bytes, read off running sums, so the cost per byte is a few
-    array operations. A-Z count as a-z. Texts are taken in chunks that end between words, so memory
-    does not depend on how long a text is.
+    A word is a run of bytes of one kind other than 0. Its hash is a polynomial in its bytes, read off
+    running sums, so the cost per byte is a few array operations. A-Z count as a-z. Texts are taken in
+    chunks that end between words, so memory does not depend on how long a text is.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, kinds: np.ndarray = PLAIN) -> None:
+        self.kinds = kinds
         table = draws(1, 256)
         table[65:91] = table[97:123]
         self.table = table
@@ -60,7 +68,15 @@ class WordHasher:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of its text) of every word, in order."""
-        found, owners = [], []
+        return self.shaped(data, offsets)[:2]
+
+    def shaped(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, index of its text, shape) of every word.
+
+        A shape holds the kind, whether no, the first, all or some letters are A-Z, and the length up
+        to 15.
+        """
+        found, owners, shapes = [], [], []
         lo, total = 0, len(data)
         while lo < total:
             hi = min(lo + CHUNK_BYTES, total)
@@ -68,43 +84,50 @@ class WordHasher:
                 hi = self._border(data, offsets, lo, hi)
             if hi - lo > len(self.power):
                 self._grow(hi - lo)
-            h, starts = self._chunk(data, offsets, lo, hi)
+            h, starts, shape = self._chunk(data, offsets, lo, hi)
             found.append(h)
+            shapes.append(shape)
             owners.append(np.searchsorted(offsets, starts, "right") - 1)
             lo = hi
         if not found:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        return np.concatenate(found), np.concatenate(owners)
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(found), np.concatenate(owners), np.concatenate(shapes)
 
-    @staticmethod
-    def _border(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> int:
+    def _border(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> int:
         """The next place from ``hi`` on where no word is cut."""
         end = int(offsets[np.searchsorted(offsets, hi, "left")])
         while hi < end:
             step = min(hi + 4096, end)
-            spaces = np.flatnonzero(_SPACE[data[hi:step]])
+            spaces = np.flatnonzero(self.kinds[data[hi:step]] == 0)
             if len(spaces):
                 return hi + int(spaces[0])
             hi = step
         return end
 
-    def _chunk(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
         part = data[lo:hi]
-        inside = ~_SPACE[part]
+        kind = self.kinds[part]
         first = np.ones(len(part), bool)
-        first[1:] = ~inside[:-1]
+        first[1:] = kind[1:] != kind[:-1]
         cuts = offsets[(offsets > lo) & (offsets < hi)] - lo
         first[cuts] = True
         last = np.ones(len(part), bool)
         last[:-1] = first[1:]
-        last[:-1] |= ~inside[1:]
-        starts = np.flatnonzero(first & inside)
-        ends = np.flatnonzero(last & inside)
+        starts = np.flatnonzero(first & (kind > 0))
+        ends = np.flatnonzero(last & (kind > 0))
         running = np.cumsum(self.table[part] * self.power[: len(part)])
         before = running[starts - 1]
         if len(starts) and starts[0] == 0:
             before[0] = 0
-        return mix((running[ends] - before) * self.inverse[starts]), starts + lo
+        hashes = mix((running[ends] - before) * self.inverse[starts])
+        if self.kinds is PLAIN:
+            return hashes, starts + lo, np.zeros(0, np.int64)
+        upper = np.cumsum(_UPPER[part])
+        capitals = upper[ends] - upper[starts] + _UPPER[part[starts]]
+        size = ends - starts + 1
+        opens = _UPPER[part[starts]]
+        case = np.where(capitals == 0, 0, np.where(capitals == size, 2, np.where((capitals == 1) & (opens == 1), 1, 3)))
+        return hashes, starts + lo, (kind[starts].astype(np.int64) << 8) | (case << 4) | np.minimum(size, 15)
 
     def shingles(self, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(token, index of its text) of every run of ``width`` words; shorter texts are one run.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, sharding
+from plumbline.llm import bpe, chat_format, exact_dedup, fingerprints, mixing, ngram_join, quality, sharding
 from plumbline.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,23 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.score(docs, weights).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    copies = fingerprints.edited_copies(table(spark, folder, "documents").select("doc_id", "text"))
+    return copies.withColumn("edited_sha256", F.sha2("edited", 256)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
