@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, exact_dedup, fingerprints, mixing, ngram_join, quality, sharding
+from plumbline.llm import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    token_shards,
+)
 from plumbline.llm.common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +220,62 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return copies.withColumn("edited_sha256", F.sha2("edited", 256)).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op3_token_shards")
+def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level tokens (one byte per token) of all documents in training order."""
+    docs = table(spark, folder, "documents")
+    tokens = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("ids"))
+    return token_shards.training_order(tokens, token_bytes=1, record_tokens=1024)
+
+
+@query(
+    "op6_line_dedup",
+    r"""
+    with lines as (
+        select doc_id, i - 1 as pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w,
+               ('0x' || substr(md5(trim(line, ' ')), 1, 15))::bigint as h
+        from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+    l as (
+        select *, row_number() over (partition by doc_id order by pos) - 1 as p, count(*) over (partition by doc_id) as n
+        from lines where w > 0),
+    lowest as (
+        select *, case when p <= greatest(n - 3, 0) then
+                  min(h) over (partition by doc_id order by p rows between current row and 2 following) end as m from l),
+    marked as (
+        select *, max(m) over (partition by doc_id order by p rows between 2 preceding and current row) = h as sel,
+               lag(h) over (partition by doc_id order by p) as before, lead(h) over (partition by doc_id order by p) as after
+        from lowest),
+    keys as (
+        select '1:' || h as key, doc_id, p from marked where w >= 50
+        union select '2:' || h || ':' || after, doc_id, p from marked where sel and after is not null
+        union select '2:' || before || ':' || h, doc_id, p - 1 from marked where sel and before is not null
+        union select '3:' || before || ':' || h || ':' || after, doc_id, p - 1 from marked
+              where sel and before is not null and after is not null),
+    firsts as (select key, min(row(doc_id, p)) as f from keys group by key having count(*) > 1),
+    laid as (
+        select distinct k.doc_id, (f).doc_id as a, (f).p - k.p as shift
+        from (select key, {'doc_id': f[1], 'p': f[2]} as f from firsts) join keys k using (key)
+        where (f).doc_id <> k.doc_id or (f).p <> k.p),
+    same as (
+        select d.doc_id, d.a, d.shift, x.p, x.pos, x.w, y.h is not null as same
+        from laid d join l x on x.doc_id = d.doc_id
+        left join l y on y.doc_id = d.a and y.p = x.p + d.shift and y.h = x.h),
+    islands as (
+        select *, sum(case when same then 0 else 1 end) over (partition by doc_id, a, shift order by p) as island from same),
+    runs as (
+        select doc_id, unnest(list(pos)) as pos, count(*) as n, sum(w) as words from islands
+        where same group by doc_id, a, shift, island having count(*) >= 3 or sum(w) >= 50),
+    gone as (select distinct doc_id, pos from runs)
+    select d.doc_id, len(string_split(coalesce(text, ''), chr(10)))::bigint as n_lines,
+           coalesce(g.removed, 0)::bigint as n_removed, coalesce(k.clean, '') as clean_text
+    from documents d
+    left join (select doc_id, count(*) as removed from gone group by doc_id) g using (doc_id)
+    left join (select doc_id, string_agg(line, chr(10) order by pos) as clean from lines anti join gone using (doc_id, pos)
+               group by doc_id) k using (doc_id)""",
+)
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "clean_text")

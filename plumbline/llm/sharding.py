@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import ROW, field, packed, shared_path, text_or_empty, unpacked
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LAW = "rows"
 
 
