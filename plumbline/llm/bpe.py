@@ -26,6 +26,13 @@ REMEMBERED_WORDS = 200_000
 ROWS_AT_ONCE = 512
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the driver's machine keeps a vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where it prints, else one from U+0100 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -186,7 +186,7 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    tokens = bpe.encode(spark, docs, vocabulary_path("word_bpe_49k.json"), decoded=True)
+    tokens = bpe.encode(spark, docs, bpe.vocabulary_path(), decoded=True)
     return tokens.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -195,13 +195,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def vocabulary_path(name: str) -> str:
-    """Where the machine keeps a vocabulary file of a public tokenizer."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 @query("op5_quality")
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
