@@ -49,13 +49,15 @@ def _name(space: Column, spread: Column, place: Column) -> Column:
     return space * F.lit(1 << RANK_BITS) + flag + place.cast("long")
 
 
-def name_blocks(docs: DataFrame, ids: DataFrame, block_bytes: int, hot_share: float) -> DataFrame:
+def name_blocks(
+    docs: DataFrame, ids: DataFrame, block_bytes: int, hot_share: float, fewest_hot: int
+) -> DataFrame:
     """(k_id, k_sha, blocks, at, name): one row per block of every text; ``blocks`` counts them.
 
     ``docs`` has (k_id, k_sha, norm), ``ids`` the narrow (k_id, k_sha, hashes) of the same rows.
     """
     hashes = ids.select(F.explode("hashes").alias("h"))
-    least = max(1000, int(hot_share * ids.agg(F.sum(F.size("hashes"))).first()[0]))
+    least = max(fewest_hot, int(hot_share * (ids.agg(F.sum(F.size("hashes"))).first()[0] or 0)))
     # at most 1 / hot_share rows: each holds that share of all blocks
     hot = (
         hashes.groupBy("h")
@@ -120,6 +122,7 @@ def identities(
     text: str = "text",
     block_bytes: int = BLOCK_BYTES,
     hot_share: float = HOT_SHARE,
+    fewest_hot: int = 1000,
 ) -> DataFrame:
     """(k_id, k_sha, rows, blocks, name): one row per id and normalised text.
 
@@ -133,7 +136,7 @@ def identities(
     ids = stored(
         keyed.select("k_id", "k_sha", hashes.alias("hashes")), "dedup-ids"
     )
-    names = name_blocks(keyed, ids, block_bytes, hot_share)
+    names = name_blocks(keyed, ids, block_bytes, hot_share, fewest_hot)
     widest = ids.agg(F.max(F.size("hashes"))).first()[0] or 0
     rows = ids.groupBy("k_id", "k_sha").agg(F.count(F.lit(1)).alias("rows"))
     level = stored(names.distinct(), "block-names")

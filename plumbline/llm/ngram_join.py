@@ -10,10 +10,12 @@ ordered sets form a tree in which equal beginnings are one path, a set walks dow
 are counted once per shared path, and subtrees are left as soon as the lengths that remain cannot
 reach the overlap needed.
 
-Work follows links, not pairs. Equal sets are one class. Classes first meet only the lowest class that
-shares one of their first tokens; what that links is one component. Then only prefix tokens that occur in
-several components are looked at, and only pairs from different components, which a bit signature of the
-whole set may rule out for certain before sets are moved. So a group of copies is never paired with itself.
+Work follows links, not pairs. Equal sets are one class. Classes first meet only one class, drawn by hash,
+for each of the eight smallest tokens of their set; what that links is one component. Then only tokens
+that occur in several components are looked at, and only pairs from different components, which a bit
+signature of the whole set may rule out for certain before sets are moved: first the closest pair for each
+class and smallest token, which joins what a drawn class missed, then all pairs that share a prefix token,
+which makes the result exact. So a group of copies is never paired with itself.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,10 +39,11 @@ SKETCH_BITS = 20  # counters of the shared frequency table: 2^20, whatever the i
 SLICE = 1 << 12
 FILTER_BITS = 23  # bits of the token filter: 2^23, one megabyte, whatever the input
 TEXT_BUCKETS = 1 << 20  # rows of the broadcast text filter at most
-STAR_TOKENS = 4
+STAR_TOKENS = 8
 BLOCK = 512  # sets of one meeting that are compared in one place
 TREE_SETS = 64  # sets in one tree
 PAIRS_AT_ONCE = 1 << 20
+BORDERS = 16
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -108,6 +111,7 @@ def _sets(column: pa.Array, hasher: WordHasher, levels: np.ndarray, width: int)
 
 
 _SALT = draws(3, 1)[0]
+_VALUE = np.uint64((1 << TOKEN_BITS) - 1)
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -117,15 +121,23 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def _signature(tokens: np.ndarray) -> bytes:
-    """One bit per token in the next power of two of places; sets that differ little differ in few bits."""
+    """Parities of the tokens per place, in one to two places per token.
+
+    Two sets differ at least as often as their parities; few differences hide each other.
+    """
     places = max(64, 1 << (len(tokens) - 1).bit_length())
-    bits = np.zeros(places, bool)
-    bits[tokens & np.uint64(places - 1)] = True
-    return np.packbits(bits).tobytes()
+    return np.packbits(np.bincount(tokens & np.uint64(places - 1), minlength=places) & 1 > 0).tobytes()
+
+
+def _profile(tokens: np.ndarray, prefix: int) -> bytes:
+    """How many ordinary tokens lie below each of sixteen fixed borders, and how many borders the prefix passes."""
+    below = np.searchsorted(tokens, np.arange(1, BORDERS + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - 6))
+    passed = min(BORDERS, int(tokens[prefix - 1] >> np.uint64(TOKEN_BITS - 6)))
+    return np.minimum(np.r_[0, below, passed], 0xFFFF).astype("<u2").tobytes()
 
 
 def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """Per text: n, class, and once per class and task its prefix and signature."""
+    """Per text: n, class, and once per class and task its prefix, profile, signature and smallest tokens by value."""
     kinds = dict(texts.dtypes)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +145,7 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
         for batch in batches:
             rows = batch.num_rows
             sizes, names = [0] * rows, [None] * rows
-            prefixes, signs = [None] * rows, [None] * rows
+            prefixes, profiles, signs, smallest = ([None] * rows for _ in range(4))
             for row, one in _sets(batch.column("norm"), hasher, levels.value, width):
                 name, n = _class(one), len(one)
                 sizes[row], names[row] = n, name
@@ -142,8 +154,11 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                prefixes[row] = one[: n - -(-percent * n // 100) + 1].astype(np.int64)
+                end = n - -(-percent * n // 100) + 1
+                prefixes[row] = one[:end].astype(np.int64)
+                profiles[row] = _profile(one, end)
                 signs[row] = _signature(one)
+                smallest[row] = np.sort(one & _VALUE)[:STAR_TOKENS].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k_id"),
@@ -151,13 +166,17 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(profiles, pa.binary()),
                     pa.array(signs, pa.binary()),
+                    pa.array(smallest, pa.list_(pa.int64())),
                 ],
-                ["k_id", "k_text", "n", "class", "prefix", "sign"],
+                ["k_id", "k_text", "n", "class", "prefix", "profile", "sign", "smallest"],
             )
 
     return texts.mapInArrow(
-        describe, f"k_id {kinds['k_id']}, k_text bigint, n bigint, class bigint, prefix array<bigint>, sign binary"
+        describe,
+        f"k_id {kinds['k_id']}, k_text bigint, n bigint, class bigint, prefix array<bigint>, profile binary, "
+        "sign binary, smallest array<bigint>",
     )
 
 
@@ -291,32 +310,58 @@ def _shared(path: np.ndarray, walker: np.ndarray) -> int:
 
 
 def _stars(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a class and the lowest class that shares one of its first tokens; linear in the classes."""
-    keys = classes.select("class", "n", F.explode(F.slice("prefix", 1, STAR_TOKENS)).alias("token"))
-    hubs = keys.groupBy("token").agg(F.min(F.struct("class", "n")).alias("hub"))
-    met = keys.join(hubs, "token").where(F.col("class") != F.col("hub.class"))
-    return met.where(
-        F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
-    ).select(F.col("class").alias("a"), F.col("hub.class").alias("b")).distinct()
+    """Pairs of a class and the class drawn for one of its smallest tokens; linear in the classes.
+
+    Similar sets mostly have the same smallest tokens, whatever is rare in one of them. Each token draws
+    anew, so that a class that misses one hub of its group meets another.
+    """
+    keys = classes.select("class", "n", F.explode("smallest").alias("token"))
+    drawn = F.struct(F.xxhash64("class", "token").alias("draw"), "class", "n")
+    hubs = keys.groupBy("token").agg(F.min(drawn).alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    # written before the join, which then can split a token that very many classes share
+    hubs = stored(hubs.select("token", "hub.class", "hub.n").toDF("token", "b", "m"), "hubs")
+    met = keys.join(hubs, "token").where(F.col("class") != F.col("b"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return _plausible(met.where(fits).select(F.col("class").alias("a"), "b").distinct(), classes, percent)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out."""
+    signs = classes.select("class", "n", "sign").dropDuplicates(["class"])
+    both = pairs.join(signs.toDF("a", "n", "sign"), "a").join(signs.toDF("b", "m", "b_sign"), "b")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signatures = _Signatures(pa.concat_arrays([batch.column("sign"), batch.column("b_sign")]))
+            rows = np.arange(batch.num_rows)
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            keep = signatures.differ(rows, rows + len(rows)) <= n + m - 2 * needed(n, m, percent)
+            chosen = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], ["a", "b"])
+
+    return both.select("a", "n", "sign", "b", "m", "b_sign").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _crossing(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that share a prefix token and that no bound rules out.
+def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) -> DataFrame:
+    """Pairs from different components that share one of the named tokens and that no bound rules out.
 
-    ``classes`` has (class, n, prefix, sign, comp).
+    ``classes`` has (class, n, comp, note) and the array column ``tokens``. With ``best_only``, ``note`` is the
+    signature and each meeting gives a class only its closest partner; else it is the profile.
     """
     spark = classes.sparkSession
+    by_comp = classes.select(F.explode(tokens).alias("token"), "comp").groupBy("token", "comp").agg(
+        F.count(F.lit(1)).alias("sets")
+    )
     met = (
-        classes.select(F.explode("prefix").alias("token"), "comp")
-        .groupBy("token")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("sets"))
-        .where("low < high")
-        .select("token", "sets")
+        by_comp.groupBy("token")
+        .agg(F.max(F.struct("sets", "comp")).alias("top"), F.sum("sets").alias("sets"), F.count(F.lit(1)).alias("comps"))
+        .where("comps > 1")
+        .select("token", F.col("top.comp").alias("top"), F.col("top.sets").alias("top_sets"), "sets")
     )
     met = stored(met, "crossing-tokens")
-    place = F.pmod("token", F.lit(1 << FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(token, {1 << FILTER_BITS}) % 64 as int))")
     words = (
-        met.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(token, {1 << FILTER_BITS}) % 64 as int))").alias("bit"))
+        met.select(F.shiftright(F.pmod("token", F.lit(1 << FILTER_BITS)), 6).alias("word"), bit.alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
@@ -327,81 +372,134 @@ def _crossing(classes: DataFrame, percent: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, at = int_lists(batch.column("prefix"))
-            hit = passes.value[tokens & ((1 << FILTER_BITS) - 1)]
+            values, at = int_lists(batch.column("tokens"))
+            hit = passes.value[values & ((1 << FILTER_BITS) - 1)]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            kept, position = owner[hit], (np.arange(len(tokens)) - at[owner])[hit]
+            kept, position = owner[hit], (np.arange(len(values)) - at[owner])[hit]
+            ends = np.searchsorted(kept, np.arange(batch.num_rows), "right")
+            ahead = ends[kept] - np.arange(len(kept))  # tokens that can be shared, from this one on
             for lo in range(0, len(kept), 8192):
                 rows = pa.array(kept[lo : lo + 8192])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[hit][lo : lo + 8192]), pa.array(position[lo : lo + 8192], pa.int64())]
-                    + [batch.column(c).take(rows) for c in ("class", "comp", "n", "sign")],
-                    ["token", "position", "class", "comp", "n", "sign"],
+                    [pa.array(values[hit][lo : lo + 8192]), pa.array(position[lo : lo + 8192], pa.int32()), pa.array(ahead[lo : lo + 8192], pa.int32())]
+                    + [batch.column(c).take(rows) for c in ("class", "comp", "n", "note")],
+                    ["token", "position", "ahead", "class", "comp", "n", "note"],
                 )
 
-    postings = classes.select("prefix", "class", "comp", "n", "sign").mapInArrow(
-        post, "token bigint, position bigint, class bigint, comp bigint, n bigint, sign binary"
-    )
-    # a token with very many sets is met in blocks: each pair of blocks is one meeting
-    large = met.where(F.col("sets") > BLOCK).select("token", F.ceil(F.col("sets") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    dealt = (
-        postings.join(large, "token", "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .drop("blocks", "other")
+    postings = classes.select(F.col(tokens).alias("tokens"), "class", "comp", F.col("n").cast("int"), "note").mapInArrow(
+        post, "token bigint, position int, ahead int, class bigint, comp bigint, n int, note binary"
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ["token", "i", "j"]):
-            for left, right in _meetings(batch, percent):
+            for left, right in _meetings(batch, percent, best_only):
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
     return (
-        dealt.repartition("token", "i", "j")
-        .sortWithinPartitions("token", "i", "j")
+        _dealt(postings, met)
+        .repartition("token", "i", "j")
+        .sortWithinPartitions("token", "i", "j", "comp")
         .mapInArrow(meet, "a bigint, b bigint")
         .distinct()
     )
 
 
-def _meetings(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Class pairs of whole meetings that may be linked, larger name first."""
-    col = {c: batch.column(c).to_numpy() for c in ("token", "i", "j", "own", "class", "comp", "n", "position")}
-    changes = (col["token"][1:] != col["token"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
-    start = np.r_[0, np.flatnonzero(changes) + 1]
-    first = np.repeat(start, np.diff(np.r_[start, batch.num_rows]))
-    before = np.arange(batch.num_rows) - first  # rows of the same meeting that come earlier
-    signs = _Signatures(batch.column("sign"))
+def _dealt(postings: DataFrame, met: DataFrame) -> DataFrame:
+    """Postings with their meetings (token, i, j); most tokens are one meeting.
+
+    A token with very many sets is met in blocks. Its largest component is never met with itself: a block
+    of it (j) only meets the blocks of the other sets (i < 0), and those meet each other (0 <= i <= j).
+    ``side`` tells which rows of a meeting of two blocks belong together.
+    """
+    large = met.where(F.col("sets") > BLOCK).select(
+        "token",
+        "top",
+        F.ceil(F.col("top_sets") / BLOCK).alias("top_blocks"),
+        F.ceil((F.col("sets") - F.col("top_sets")) / BLOCK).alias("blocks"),
+    )
+    one = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("side"))
+    draw = F.xxhash64("class")
+    top_block, block = F.pmod(draw, F.col("top_blocks")), F.pmod(draw, F.col("blocks"))
+
+    def blocks(count: Column) -> Column:
+        return F.sequence(F.lit(0).cast("long"), count - 1)
+
+    of_top = F.transform(
+        blocks(F.col("blocks")), lambda r: F.struct((-1 - r).alias("i"), top_block.alias("j"), F.lit(-1).cast("long").alias("side"))
+    )
+    with_top = F.transform(
+        blocks(F.col("top_blocks")), lambda t: F.struct((-1 - block).alias("i"), t.alias("j"), F.lit(0).cast("long").alias("side"))
+    )
+    with_rest = F.transform(
+        blocks(F.col("blocks")),
+        lambda r: F.struct(F.least(block, r).alias("i"), F.greatest(block, r).alias("j"), block.alias("side")),
+    )
+    meetings = (
+        F.when(F.col("top").isNull(), F.array(one))
+        .when(F.col("comp") == F.col("top"), of_top)
+        .otherwise(F.concat(with_top, with_rest))
+    )
+    return postings.join(large, "token", "left").select(
+        *postings.columns, F.explode(meetings).alias("meeting")
+    ).select(*postings.columns, "meeting.*")
+
+
+def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Class pairs of whole meetings that may be linked, larger name first; rows are sorted by component."""
+    col = {c: batch.column(c).to_numpy() for c in ("token", "position", "ahead", "i", "j", "side", "class", "comp", "n")}
+    col["n"] = col["n"].astype(np.int64)
+    rows = batch.num_rows
+    new = np.ones(rows, bool)
+    new[1:] = (
+        (col["token"][1:] != col["token"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
+    )
+    start = np.flatnonzero(new)
+    first = np.repeat(start, np.diff(np.r_[start, rows]))
+    new[1:] |= col["comp"][1:] != col["comp"][:-1]
+    start = np.flatnonzero(new)
+    before = np.repeat(start, np.diff(np.r_[start, rows])) - first  # rows of the meeting in earlier components
+    if best_only:
+        signs = _Signatures(batch.column("note"))
+    else:
+        profiles = np.stack([np.frombuffer(binary(batch.column("note"), i), "<u2") for i in range(rows)]).astype(np.int64)
     row, done = 0, np.r_[0, np.cumsum(before)]
-    while row < batch.num_rows:
+    while row < rows:
         stop = max(row + 1, int(np.searchsorted(done, done[row] + PAIRS_AT_ONCE)) - 1)
-        stop = min(stop, batch.num_rows)
+        stop = min(stop, rows)
         count = before[row:stop]
         right = np.repeat(np.arange(row, stop), count)
         left = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[right]
         row = stop
-        keep = (col["comp"][left] != col["comp"][right]) & (col["class"][left] != col["class"][right])
         across = col["i"][left] != col["j"][left]
-        keep &= ~across | (col["own"][left] != col["own"][right])
-        left, right = left[keep], right[keep]
         n, m = col["n"][left], col["n"][right]
         need = needed(n, m, percent)
-        most = np.minimum(n - col["position"][left], m - col["position"][right])
-        keep = (np.minimum(n, m) >= need) & (most >= need)
+        keep = ~across | (col["side"][left] != col["side"][right])
+        # where this token is the first they share, no more than what follows it can be shared
+        keep &= np.minimum(n - col["position"][left], m - col["position"][right]) >= need
         left, right, n, m, need = left[keep], right[keep], n[keep], m[keep], need[keep]
-        keep = signs.differ(left, right) <= n + m - 2 * need
-        a, b = col["class"][left[keep]], col["class"][right[keep]]
+        if best_only:
+            differ = signs.differ(left, right)
+            keep = differ <= n + m - 2 * need
+            differ = differ[keep]
+        else:
+            # below a border that both prefixes pass, what is shared is a prefix token of both
+            border = np.minimum(profiles[left, -1], profiles[right, -1])
+            above = np.minimum(n - profiles[left, border], m - profiles[right, border])
+            keep = np.minimum(col["ahead"][left], col["ahead"][right]) + above >= need
+        left, right = left[keep], right[keep]
+        if best_only and len(left):
+            one, other, apart = np.r_[left, right], np.r_[right, left], np.r_[differ, differ]
+            order = np.lexsort((col["class"][other], apart, one))
+            order = order[bounds(one[order])[:-1]]
+            left, right = one[order], other[order]
+        a, b = col["class"][left], col["class"][right]
         if len(a):
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
             yield pairs[0], pairs[1]
 
 
 class _Signatures:
-    """Signatures of a batch, by their length; each set's bits differ at least where its signature does."""
+    """Signatures of a batch, by their length."""
 
     def __init__(self, column: pa.Array) -> None:
         column = column.cast(pa.large_binary())
@@ -432,10 +530,10 @@ class _Signatures:
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """Signatures halved to ``size`` bytes: a place of the half stands for both its places."""
+    """Signatures halved to ``size`` bytes: a place of the half has the parity of both its places."""
     while bits.shape[1] > size:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = bits[:, :half] ^ bits[:, half:]
     return bits
 
 
@@ -447,16 +545,20 @@ def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     )
     levels = spark.sparkContext.broadcast(frequency_levels(texts.select("norm"), width))
     described = stored(_described(texts, levels, width, percent), "ngram-sets")
-    classes = described.where(F.col("prefix").isNotNull()).select("class", "n", "prefix", "sign")
-    pairs = stored(_stars(classes, percent), "star-pairs")
-    links = stored(_verified(pairs, texts, described, levels, width, percent), "star-links")
-    labels = components(links)
-    labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
-        "class", "n", "prefix", "sign", F.coalesce("component", "class").alias("comp")
+    classes = described.where(F.col("prefix").isNotNull()).select("class", "n", "prefix", "profile", "sign", "smallest")
+    links = stored(
+        _verified(stored(_stars(classes, percent), "pairs"), texts, described, levels, width, percent), "links"
     )
-    pairs = stored(_crossing(labelled, percent), "crossing-pairs")
-    more = stored(_verified(pairs, texts, described, levels, width, percent), "crossing-links")
-    labels = stored(components(links.unionByName(more)), "labels")
+    for tokens, note, best_only in (("smallest", "sign", True), ("prefix", "profile", False)):
+        labels = components(links)
+        labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
+            "class", "n", F.col(note).alias("note"), tokens, F.coalesce("component", "class").alias("comp")
+        )
+        pairs = _crossing(labelled, tokens, percent, best_only)
+        pairs = stored(pairs if best_only else _plausible(pairs, classes, percent), "pairs")
+        more = _verified(pairs, texts, described, levels, width, percent)
+        links = stored(links.unionByName(more).distinct(), "links")
+    labels = stored(components(links), "labels")
     named = described.select("k_id", "k_text", "n", "class").join(labels, F.col("class") == F.col("node"), "left").select(
         "k_id", "k_text", "n", "class", F.coalesce("component", "class").alias("comp")
     )
