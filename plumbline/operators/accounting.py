@@ -54,8 +54,12 @@ def headroom(log: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def error_class(error: Column) -> Column:
-    """The class name in front of an error message."""
-    return F.when(error != "", F.substring_index(error, ":", 1))
+    """The class name in front of an error message; a text that starts otherwise is ``other``.
+
+    A class is one identifier, so free texts do not become classes of their own.
+    """
+    name = F.regexp_extract(error, r"^([A-Za-z_][A-Za-z0-9_.]*)(:|$)", 1)
+    return F.when(error != "", F.when(name != "", name).otherwise("other"))
 
 
 def failure_report(log: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql.types import StringType
 # Longest expression and largest exponent.
 MAX_LENGTH = 200
 MAX_EXPONENT = 8
-MAX_DEPTH = 90
 
 DIGITS = r"\d(?:_?\d)*"
 TOKEN = re.compile(
@@ -33,7 +32,7 @@ BINARY = {
     "//": (2, operator.floordiv),
     "%": (2, operator.mod),
 }
-SIGN_PRECEDENCE = 3
+SIGN, POWER = 3, 4
 
 
 def _tokens(text: str) -> list[float | str]:
@@ -63,34 +62,55 @@ def _power(base: float, exponent: float) -> float:
     return result
 
 
-def _climb(tokens: list[float | str], at: int, floor: int, depth: int) -> tuple[float, int]:
-    """Value of the expression from ``at`` on, taking binary operators of at least ``floor``."""
-    if at >= len(tokens) or depth > MAX_DEPTH:
-        raise ValueError("incomplete or too deep")
-    head = tokens[at]
-    if isinstance(head, float):
-        value, at = head, at + 1
-    elif head in ("+", "-"):
-        value, at = _climb(tokens, at + 1, SIGN_PRECEDENCE, depth + 1)
-        value = -value if head == "-" else value
-    elif head == "(":
-        value, at = _climb(tokens, at + 1, 0, depth + 1)
-        if at >= len(tokens) or tokens[at] != ")":
-            raise ValueError("bracket not closed")
-        at += 1
-    else:
-        raise ValueError("operand expected")
-    if at < len(tokens) and tokens[at] == "**" and head not in ("+", "-"):
-        # a power binds tighter than a sign on its left and looser than one on its right
-        exponent, at = _climb(tokens, at + 1, SIGN_PRECEDENCE, depth + 1)
-        value = _power(value, exponent)
-    while at < len(tokens) and tokens[at] in BINARY and BINARY[tokens[at]][0] >= max(floor, 1):
-        if floor >= SIGN_PRECEDENCE:
-            break
-        level, apply = BINARY[tokens[at]]
-        right, at = _climb(tokens, at + 1, level + 1, depth + 1)
-        value = apply(value, right)
-    return value, at
+def _value(tokens: list[float | str]) -> float:
+    """Value of the tokens, with a stack of waiting operators, so that any nesting is read."""
+    values: list[float] = []
+    waiting: list[tuple[int, str]] = []  # (precedence, operator); an open bracket has 0
+
+    def apply(floor: int) -> None:
+        while waiting and waiting[-1][0] >= floor:
+            level, name = waiting.pop()
+            right = values.pop()
+            if level == SIGN:
+                values.append(-right if name == "-" else right)
+            elif level == POWER:
+                values.append(_power(values.pop(), right))
+            else:
+                values.append(BINARY[name][1](values.pop(), right))
+
+    operand_next = True
+    for token in tokens:
+        if operand_next:
+            if isinstance(token, float):
+                values.append(token)
+                operand_next = False
+            elif token in ("+", "-"):
+                waiting.append((SIGN, token))
+            elif token == "(":
+                waiting.append((0, token))
+            else:
+                raise ValueError("operand expected")
+        elif token == "**":
+            # binds tighter than a sign on its left and groups to the right
+            waiting.append((POWER, token))
+            operand_next = True
+        elif token in BINARY:
+            apply(BINARY[token][0])
+            waiting.append((BINARY[token][0], token))
+            operand_next = True
+        elif token == ")":
+            apply(1)
+            if not waiting:
+                raise ValueError("bracket not opened")
+            waiting.pop()
+        else:
+            raise ValueError("operator expected")
+    if operand_next:
+        raise ValueError("incomplete")
+    apply(1)
+    if waiting:
+        raise ValueError("bracket not closed")
+    return values[0]
 
 
 def evaluate(text: str | None) -> str | None:
@@ -99,9 +119,8 @@ def evaluate(text: str | None) -> str | None:
     if text is None or len(text) > MAX_LENGTH or text[:1] in (" ", "\t"):
         return None
     try:
-        tokens = _tokens(text)
-        value, at = _climb(tokens, 0, 0, 0)
-        if at != len(tokens) or not math.isfinite(value):
+        value = _value(_tokens(text))
+        if not math.isfinite(value):
             return None
         if value % 1:
             return f"{value:.4f}".rstrip("0").rstrip(".")

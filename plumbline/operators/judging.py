@@ -228,8 +228,8 @@ def judge(
     ``tasks`` has judge, config, prompt and reasoning. A scorer should report a failed call in its
     ``error`` column; if it raises, the rows of that piece are called again one at a time and the
     failing ones become error rows. An answer
-    cut off before its score is asked once more with twice the budget, from the written answers of
-    the first pass, so no call is repeated. Pass tasks that ``reuse`` left over, not all tasks.
+    cut off before its score is asked once more with twice the budget. The answers of both passes are
+    written before anything reads them, so no call is repeated by reading the result again. Pass tasks that ``reuse`` left over, not all tasks.
     """
     budget = token_budget(F.col("config"), F.coalesce(F.col("reasoning"), F.lit(False)))
     budgeted = tasks.withColumn("max_tokens", budget)
@@ -240,12 +240,13 @@ def judge(
     again = (
         F.col("score").isNull() & (F.col("error") == "") & is_truncated(F.col("finish_reason"))
     )
-    retried = _call(
-        first.where(again)
-        .select(*tasks.columns, (F.col("max_tokens") * 2).alias("max_tokens")),
-        scorer,
-        piece_rows,
-    ).withColumn("score", score_of(F.col("text")))
+    retried = cut_lineage(
+        _call(
+            first.where(again).select(*tasks.columns, (F.col("max_tokens") * 2).alias("max_tokens")),
+            scorer,
+            piece_rows,
+        ).withColumn("score", score_of(F.col("text")))
+    )
     done = first.where(~again).withColumn("retried", F.lit(False)).unionByName(
         retried.withColumn("retried", F.lit(True))
     )

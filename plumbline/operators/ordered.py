@@ -1,10 +1,10 @@
 """Running totals and ranks over an order, without one task per group.
 
-A plain window puts a whole group into one task. Here every group is first cut into up to
-``chunks`` ranges of its order key. The cut points are the keys with the smallest hash in each hash
-bucket: a fixed sample of the distinct keys that any retry reproduces. Totals per range are small
-(at most ``chunks + 1`` rows per group), so the offsets are cheap, and the window inside one range
-sees only a fraction of the group. Results are exact whatever the cut points are.
+A plain window puts a whole group into one task. Here every group is first cut into ranges of its
+order key. The cut points are the keys whose hash falls on one of ``range_rows`` values: a fixed sample of
+the distinct keys that any retry reproduces, and that grows with the group, so a range holds about
+``range_rows`` keys however large the group is. Totals per range are small, so the offsets are cheap, and
+the window inside one range sees only a fraction of the group. Results are exact whatever the cut points are.
 """
 
 from __future__ import annotations
@@ -14,46 +14,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 128
-
-
-STRIDE = 12
+RANGE_ROWS = 200_000
+CUT_STEPS = [1 << k for k in range(40, -1, -1)]
 
 
 def _key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
 
-def _cuts_up_to(key: Column) -> Column:
-    """How many cut points are at or below the key: first by strides, then inside one stride."""
-    strides = F.size(F.filter("_coarse", lambda c: c <= key)) * STRIDE
-    rest = F.slice("_cuts", strides + 1, STRIDE)
-    return strides + F.size(F.filter(rest, lambda c: c <= key))
+def _cuts_up_to(key: Column, cuts: Column) -> Column:
+    """How many of the sorted cut points are at or below the key, by halving."""
+    steps = F.filter(F.array(*[F.lit(s).cast("bigint") for s in CUT_STEPS]), lambda s: s <= F.size(cuts))
+    return F.aggregate(
+        steps,
+        F.lit(0).cast("bigint"),
+        lambda at, step: F.when(
+            (at + step <= F.size(cuts)) & (F.get(cuts, (at + step - 1).cast("int")) <= key), at + step
+        ).otherwise(at),
+    )
 
 
-def _cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], chunks: int) -> DataFrame:
-    key = _key(order)
-    identity = F.xxhash64(*[F.col(c) for c in order])
-    sample = df.groupBy(*by, F.pmod(identity, F.lit(chunks)).alias("_slot")).agg(
-        F.min_by(key, F.xxhash64(F.lit("cut"), *[F.col(c) for c in order])).alias("_cut")
-    )
-    cuts = sample.groupBy(*by).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    return cuts.withColumn(
-        "_coarse", F.filter("_cuts", lambda c, i: (i + 1) % STRIDE == 0)
-    )
+def _cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int) -> DataFrame:
+    identity = F.xxhash64(F.lit("cut"), *[F.col(c) for c in order])
+    drawn = df.where(F.pmod(identity, F.lit(range_rows)) == 0)
+    return drawn.groupBy(*by).agg(F.array_sort(F.collect_set(_key(order))).alias("_cuts"))
 
 
 def with_chunk(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], chunks: int = CHUNKS
+    df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int | None = None
 ) -> DataFrame:
     """Adds ``_chunk``, an order-preserving range number inside each group."""
-    cuts = _cut_points(df, by, order, chunks)
+    cuts = _cut_points(df, by, order, range_rows or RANGE_ROWS)
     if by:
-        tagged = df.join(cuts, list(by))
+        tagged = df.join(cuts, list(by), "left")
     else:
-        both = cuts.select(F.struct("_cuts", "_coarse")).scalar()
-        tagged = df.withColumn("_both", both).select("*", "_both.*").drop("_both")
-    return tagged.withColumn("_chunk", _cuts_up_to(_key(order))).drop("_cuts", "_coarse")
+        tagged = df.withColumn("_cuts", cuts.scalar())
+    chunk = F.when(F.size("_cuts") > 0, _cuts_up_to(_key(order), F.col("_cuts"))).otherwise(F.lit(0).cast("bigint"))
+    return tagged.withColumn("_chunk", chunk).drop("_cuts")
 
 
 def running(
@@ -62,7 +59,7 @@ def running(
     order: Sequence[str],
     sums: dict[str, str] | None = None,
     peaks: dict[str, str] | None = None,
-    chunks: int = CHUNKS,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Running aggregates along ``order`` inside each group of ``by``.
 
@@ -72,7 +69,7 @@ def running(
     """
     sums, peaks = sums or {}, peaks or {}
     by = list(by)
-    tagged = with_chunk(df, by, order, chunks)
+    tagged = with_chunk(df, by, order, range_rows)
     totals = tagged.groupBy(*by, "_chunk").agg(
         *[F.sum(src).alias(f"_s_{new}") for new, src in sums.items()],
         *[F.max(src).alias(f"_m_{new}") for new, src in peaks.items()],
@@ -103,11 +100,11 @@ def numbered(
     by: Sequence[str],
     order: Sequence[str],
     name: str = "position",
-    chunks: int = CHUNKS,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Row numbers from 1 inside each group; ``order`` must be unique inside the group."""
     return running(
-        df.withColumn("_one", F.lit(1).cast("bigint")), by, order, {name: "_one"}, chunks=chunks
+        df.withColumn("_one", F.lit(1).cast("bigint")), by, order, {name: "_one"}, range_rows=range_rows
     ).drop("_one")
 
 

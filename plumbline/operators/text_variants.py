@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.draws import at_least_one, draw, pick_indexes, shuffled
 from plumbline.functions.printing import decimals, fixed4
+from plumbline.operators.ordered import numbered
 
 SEED = 20260731
 SEVERITIES = (0.2, 0.5, 0.9)
@@ -58,9 +59,7 @@ DRIFT_SENTENCE = " The remainder addresses a different question."
 MAX_PADDING = 40
 MAX_WIDENING = 12
 
-DONOR_SLOTS = 16
-DONOR_POSITIONS = 16
-SLOT_STRIDE = 1_000_000
+DONORS = 3
 
 
 def render_value(fact: Column) -> Column:
@@ -309,15 +308,30 @@ def hedging(seed: int) -> Column:
 
 
 def _drift_candidates(seed: int) -> Column:
-    """Positions in draw order, each with up to four clauses that could stand there."""
+    """Positions in draw order, each with the clauses that could stand there, the first choice first.
+
+    First the clauses of the donor items, from a drawn one on; then the ends that settle whether any
+    item of the pool can serve.
+    """
     identity = _identity("topic_drift", seed)
+    near = F.col("donors.near")
+    first = F.conv(F.substring(draw(*identity, "donor"), 1, 7), 16, 10).cast("int") % F.greatest(F.size(near), F.lit(1))
+    turned = F.concat(F.slice(near, first + 1, F.size(near)), F.slice(near, F.lit(1), first))
 
     def candidates(i: Column) -> Column:
-        slot = F.conv(F.substring(draw(*identity, "donor", i), 1, 7), 16, 10).cast("int") % DONOR_SLOTS
-        near = _at(F.col("donors.near"), slot * F.col("donors.span") + i)
-        wide = _at(F.col("donors.wide"), i)
+        near = F.transform(
+            turned,
+            lambda d: F.struct(
+                sentence(_at(d["facts"], i % F.size(d["facts"]))).alias("sentence"), d["item_id"].alias("item_id")
+            ),
+        )
+        ends = F.transform(
+            F.col("donors.wide"), lambda w: F.array(_at(w["low"], i % w["size"]), _at(w["high"], i % w["size"]))
+        )
         return F.struct(
-            i.alias("at"), sentence(_at(_facts(), i)).alias("own"), F.concat(near, wide).alias("by")
+            i.alias("at"),
+            sentence(_at(_facts(), i)).alias("own"),
+            F.concat(near, F.flatten(ends)).alias("by"),
         )
 
     order = _order("topic_drift", F.sequence(F.lit(0), _size() - 1), seed)
@@ -407,83 +421,71 @@ def probe_kinds() -> list[str]:
     return [k for k, d in DEGRADATIONS.items() if not d.introduces_error]
 
 
-def donor_table(items: DataFrame) -> DataFrame:
-    """Candidate clauses per pool: a domain, or all items under the empty name.
+def _clause_ends(items: DataFrame) -> DataFrame:
+    """Per pool, one entry for each number of facts: the first and last sentence at every position.
 
-    Per pool, slot and clause position only the alphabetically first and last sentence are kept.
-    If any sentence of a position differs from an item's own, one of those two does, so the few
-    rows settle exactly whether a clause can be replaced; the slots add variety. Key ``-1 - i``
-    holds position i over all slots.
+    If any sentence an item of the pool has for a position differs from an item's own, one of these two
+    does, so they settle exactly whether a clause can be replaced. Pools are domains and, under the empty
+    name, all items; the entries number the different lengths of fact lists.
     """
-    slot = F.conv(F.substring(draw(F.col("item_id"), "slot"), 1, 7), 16, 10).cast("int") % DONOR_SLOTS
-    longest = items.agg(F.max(F.size("facts")).alias("m")).scalar()
-    span = F.greatest(F.size("facts"), F.least(longest, F.lit(DONOR_POSITIONS)))
-    placed = items.where(F.size("facts") > 0).select(
-        "domain",
+    worded = items.where(F.size("facts") > 0).select(
+        F.explode(F.array(F.col("domain"), F.lit(""))).alias("pool"),
+        F.size("facts").alias("size"),
+        F.posexplode(F.transform("facts", sentence)).alias("at", "sentence"),
         "item_id",
-        "facts",
-        slot.alias("slot"),
-        F.explode(F.sequence(F.lit(0), span - 1)).alias("at"),
-    )
-    worded = placed.select(
-        "domain",
-        "slot",
-        "at",
-        F.struct(
-            sentence(_at(F.col("facts"), F.col("at") % F.size("facts"))).alias("sentence"),
-            F.col("item_id"),
-        ).alias("clause"),
-    )
-    slots = worded.groupBy("domain", "slot", "at").agg(
-        F.min("clause").alias("low"), F.max("clause").alias("high")
-    )
-    pooled = slots.select(
-        F.explode(F.array(F.col("domain"), F.lit(""))).alias("pool"), "slot", "at", "low", "high"
-    )
-    keyed = pooled.select(
-        "pool",
-        F.explode(
-            F.array(F.col("slot") * SLOT_STRIDE + F.col("at"), -1 - F.col("at"))
-        ).alias("key"),
-        "low",
-        "high",
     )
-    ends = keyed.groupBy("pool", "key").agg(
-        F.array(F.min("low"), F.max("high")).alias("ends")
-    )
-    table = ends.groupBy("pool").agg(
-        (-F.min("key")).alias("span"),
-        F.map_from_entries(F.collect_list(F.struct("key", "ends"))).alias("found"),
-    )
-    nothing = F.array().cast(ends.schema["ends"].dataType)
-
-    def found(key: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.col("found"), key.cast("int")), nothing)
-
-    span = F.col("span")
-    near = F.transform(
-        F.sequence(F.lit(0), DONOR_SLOTS * span - 1),
-        lambda k: found(F.floor(k / span) * SLOT_STRIDE + k % span),
-    )
-    wide = F.transform(F.sequence(F.lit(0), span - 1), lambda i: found(-1 - i))
-    return table.select(
-        "pool", F.struct(span.alias("span"), near.alias("near"), wide.alias("wide")).alias("donors")
+    clause = F.struct("sentence", "item_id")
+    ends = worded.groupBy("pool", "size", "at").agg(F.min(clause).alias("low"), F.max(clause).alias("high"))
+    rows = ends.groupBy("pool", "size").agg(F.array_sort(F.collect_list(F.struct("at", "low", "high"))).alias("e"))
+    return rows.groupBy("pool").agg(
+        F.array_sort(
+            F.collect_list(F.struct("size", F.col("e.low").alias("low"), F.col("e.high").alias("high")))
+        ).alias("wide")
     )
 
 
 def with_donors(items: DataFrame) -> DataFrame:
-    """Each item with the donor clauses of its domain, or of all items if it is alone there."""
+    """Each item with donors: items that follow it in the hash order of its domain, as a ring.
+
+    An item that is alone in its domain takes them from the ring of all items; an item that is alone
+    altogether has none. Every item serves as donor, and each as often as any other.
+    """
     sizes = items.groupBy("domain").agg(F.count(F.lit(1)).alias("_in_domain"))
-    pools = donor_table(items)
-    everyone = pools.where(F.col("pool") == "").select("donors").scalar()
-    total = sizes.agg(F.sum("_in_domain").alias("t")).scalar()
-    chosen = sizes.join(
-        pools.select(F.col("pool").alias("domain"), "donors"), "domain", "left"
-    ).select(
-        "domain",
-        F.when(F.col("_in_domain") > 1, F.col("donors")).when(total > 1, everyone).alias("donors"),
+    counted = items.select("item_id", "domain", "facts").join(sizes, "domain")
+    lonely = sizes.where(F.col("_in_domain") == 1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    usable = items.where(F.size("facts") > 0).select("item_id", "domain", draw(F.col("item_id"), "ring").alias("_draw"))
+    members = usable.select(F.col("domain").alias("pool"), "item_id", "_draw").unionByName(
+        usable.where(lonely > 0).select(F.lit("").alias("pool"), "item_id", "_draw")
+    )
+    ring = numbered(members, ["pool"], ["_draw", "item_id"], "_rank")
+    lengths = members.groupBy("pool").agg(F.count(F.lit(1)).alias("_members"))
+    places = ring.select("pool", "item_id", "_rank")
+    pool = F.when(F.col("_in_domain") > 1, F.col("domain")).otherwise("")
+    wanting = (
+        counted.select("item_id", pool.alias("pool"))
+        .join(places, ["pool", "item_id"])
+        .join(lengths, "pool")
+        .select("pool", F.col("item_id").alias("_for"), "_rank", "_members", F.explode(F.sequence(F.lit(1), F.lit(DONORS))).alias("_step"))
+        .where(F.col("_step") < F.col("_members"))
+        .select("pool", "_for", "_step", ((F.col("_rank") - 1 + F.col("_step")) % F.col("_members") + 1).alias("_rank"))
+    )
+    given = wanting.join(places, ["pool", "_rank"]).join(items.select("item_id", "facts"), "item_id")
+    near = given.groupBy(F.col("_for").alias("item_id")).agg(
+        F.array_sort(F.collect_list(F.struct("_step", "item_id", "facts"))).alias("near")
     )
-    return items.join(chosen, "domain", "left")
+    total = sizes.agg(F.sum("_in_domain").alias("t")).scalar()
+    ends = _clause_ends(items)
+    everyone = ends.where(F.col("pool") == "").select("wide").scalar()
+    pools = sizes.join(ends.withColumnRenamed("pool", "domain"), "domain", "left").select(
+        "domain", F.when(F.col("_in_domain") > 1, F.col("wide")).when(total > 1, everyone).alias("wide")
+    )
+    with_ends = items.join(pools, "domain", "left").join(near, "item_id", "left")
+    return with_ends.withColumn(
+        "donors",
+        F.when(
+            F.col("wide").isNotNull(), F.struct(F.coalesce("near", F.array().cast(near.schema["near"].dataType)).alias("near"), "wide")
+        ),
+    ).drop("near", "wide")
 
 
 def build_variants(

@@ -14,29 +14,46 @@ SOURCE_SCHEMA = (
     "answer_start:int>>>>>>>>"
 )
 MAX_CONTEXT = 12_000
-WIDE = "decimal(38,10)"
+LABEL_ORIGIN = "human reference, number changed by rule"
+REVIEW_STATUS = "checked by rules, not yet by a person"
 
 
 def _corrupted(reference: Column) -> Column:
-    """The number plus a tenth of itself, at least one unit in its last place, as text."""
-    fraction = F.get(F.split(reference, r"\."), F.lit(1))
-    places = F.coalesce(F.length(fraction), F.lit(0))
-    value = reference.cast(WIDE)
-    unit = F.concat(
-        F.when(places > 0, "0.").otherwise(""), F.repeat(F.lit("0"), places - 1), F.lit("1")
-    ).cast(WIDE)
-    tenth = F.bround(value / 10 / unit, 0) * unit
-    printed = (value + F.greatest(unit, tenth.cast(WIDE))).cast(WIDE).cast("string")
-    cut = F.instr(printed, ".") + F.when(places > 0, places).otherwise(-1)
-    return F.substring(printed, F.lit(1), cut)
+    """The number plus a tenth of itself, at least one unit in its last place, as text.
+
+    Works on the digits, so a number may have any length. In units of the last place the number is
+    its digits D; a tenth is D without its last digit q, rounded half to even; so the sum is D + q + 0 or 1,
+    added digit by digit.
+    """
+    places = F.coalesce(F.length(F.get(F.split(reference, r"\."), F.lit(1))), F.lit(0))
+    digits = F.transform(
+        F.filter(F.split(F.reverse(F.replace(reference, F.lit("."), F.lit(""))), ""), lambda d: d != ""),
+        lambda d: d.cast("int"),
+    )
+    last, second = F.get(digits, F.lit(0)), F.coalesce(F.get(digits, F.lit(1)), F.lit(0))
+    up = (last > 5) | ((last == 5) & (second % 2 == 1))
+    no_tenth = F.forall(F.slice(digits, 2, F.greatest(F.size(digits) - 1, F.lit(0))), lambda d: d == 0)
+    added = F.transform(digits, lambda d, i: d + F.coalesce(F.get(digits, i + 1), F.lit(0)))
+    summed = F.aggregate(
+        added,
+        F.struct(F.when(up | no_tenth, 1).otherwise(0).alias("carry"), F.lit("").alias("text")),
+        lambda state, d: F.struct(
+            F.floor((state["carry"] + d) / 10).cast("int").alias("carry"),
+            F.concat(((state["carry"] + d) % 10).cast("string"), state["text"]).alias("text"),
+        ),
+        lambda state: F.concat(F.when(state["carry"] > 0, state["carry"].cast("string")).otherwise(""), state["text"]),
+    )
+    whole = F.regexp_replace(F.substring(summed, F.lit(1), F.length(summed) - places), r"^0+(?=\d)", "")
+    fraction = F.substring(summed, F.length(summed) - places + 1, places)
+    return F.when(places > 0, F.concat(whole, F.lit("."), fraction)).otherwise(whole)
 
 
 def eligible_pairs(source: DataFrame, max_context: int = MAX_CONTEXT) -> DataFrame:
     """The first eligible question of every passage, with a corrupted copy of its numeric answer.
 
     Eligible: answerable, all annotators agree on a plain number, every answer span is where it
-    says it is, and the corrupted number does not occur in the passage. The corruption adds a tenth
-   , at least one unit in the last place.
+    says it is, and the corrupted number does not occur in the passage. The corruption adds a tenth, at
+    least one unit in the last place; numbers of any length are taken.
     """
     articles = source.select(F.explode("data").alias("a"))
     passages = (
@@ -86,8 +103,8 @@ def eligible_pairs(source: DataFrame, max_context: int = MAX_CONTEXT) -> DataFra
             F.concat(
                 F.lit("Replaced "), F.col("r.reference"), F.lit(" by "), F.col("r.candidate")
             ).alias("edit"),
-            F.lit("human reference; programmatic corruption").alias("label_origin"),
-            F.lit("automatic checks only; human spot-check pending").alias("review_status"),
+            F.lit(LABEL_ORIGIN).alias("label_origin"),
+            F.lit(REVIEW_STATUS).alias("review_status"),
         ).alias("metadata"),
     )
 
