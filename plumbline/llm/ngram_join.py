@@ -35,15 +35,16 @@ from plumbline.llm.streams import binary, bounds, int_lists, whole_groups
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 20  # counters of the shared frequency table: 2^20, whatever the input
+SKETCH_BITS = 22  # counters of the shared frequency table: 2^22, whatever the input
 SLICE = 1 << 12
-FILTER_BITS = 23  # bits of the token filter: 2^23, one megabyte, whatever the input
+FILTER_BITS = 24  # bits of the token filter: 2^24, two megabytes, whatever the input
 TEXT_BUCKETS = 1 << 20  # rows of the broadcast text filter at most
 STAR_TOKENS = 8
 BLOCK = 512  # sets of one meeting that are compared in one place
 TREE_SETS = 64  # sets in one tree
 PAIRS_AT_ONCE = 1 << 20
 BORDERS = 16
+NOTE_SIGNATURE = 64  # bytes of a signature that travels with every prefix token at most
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -54,7 +55,7 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray
 def frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
     """How frequent a token is, by its first bits: 0 for ordinary, one more for each doubling.
 
-    Every shingle of every text is counted in 2^20 counters per task; the counters are summed in slices
+    Every shingle of every text is counted in 2^22 counters per task; the counters are summed in slices
     by Spark, and the fixed-size sum comes to the driver.
     """
 
@@ -63,7 +64,7 @@ def frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             tokens, _ = hasher.shingles(*utf8(batch.column(0)), width)
             total += np.bincount(tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS), minlength=len(total))
-        parts = total.reshape(-1, SLICE)
+        parts = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, SLICE)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"]
@@ -73,8 +74,8 @@ def frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in enumerate(batch.column(0).to_pylist()):
-                counts = np.frombuffer(binary(batch.column(1), i), np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts.copy()
+                counts = np.frombuffer(binary(batch.column(1), i), "<u2")
+                sums[part] = sums[part] + counts if part in sums else counts.astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
             ["slice", "counts"],
@@ -156,8 +157,10 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
                 seen.add(name)
                 end = n - -(-percent * n // 100) + 1
                 prefixes[row] = one[:end].astype(np.int64)
-                profiles[row] = _profile(one, end)
                 signs[row] = _signature(one)
+                profiles[row] = _profile(one, end)
+                if len(signs[row]) <= NOTE_SIGNATURE:
+                    profiles[row] += signs[row]
                 smallest[row] = np.sort(one & _VALUE)[:STAR_TOKENS].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,11 +183,10 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, described: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by a prefix-tree join around each b."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    # one text per class is enough; which texts to read again is told by a filter of bounded size
-    chosen = described.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("k_text").alias("k_text"))
+def _verified(pairs: DataFrame, texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, with a text of each) that are linked, by a prefix-tree join around each b."""
+    # which texts to read again is told by a filter of bounded size; one text per class is enough
+    chosen = pairs.select(F.explode(F.array("a_text", "b_text")).alias("k_text"))
     buckets = chosen.select(F.pmod("k_text", F.lit(TEXT_BUCKETS)).alias("bucket")).distinct()
     again = texts.withColumn("bucket", F.pmod("k_text", F.lit(TEXT_BUCKETS))).join(
         F.broadcast(buckets), "bucket", "left_semi"
@@ -207,13 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, described: DataFrame, levels,
                     names, values = [], []
             yield _set_rows(names, values)
 
-    sets = (
-        again.select("norm")
-        .mapInArrow(rebuild, "class bigint, tokens binary")
-        .join(wanted, "class", "left_semi")
-        .dropDuplicates(["class"])
-    )
-    sets = stored(sets, "sets")
+    sets = stored(again.select("norm").mapInArrow(rebuild, "class bigint, tokens binary").dropDuplicates(["class"]), "sets")
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).alias("trees"))
     placed = pairs.join(sizes, "b").withColumn("tree", F.pmod(F.xxhash64("a"), F.col("trees"))).select("a", "b", "tree")
     members = placed.join(sets.withColumnRenamed("class", "a"), "a").select("b", "tree", F.col("a"), "tokens")
@@ -326,9 +322,9 @@ def _stars(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their signatures do not rule out."""
-    signs = classes.select("class", "n", "sign").dropDuplicates(["class"])
-    both = pairs.join(signs.toDF("a", "n", "sign"), "a").join(signs.toDF("b", "m", "b_sign"), "b")
+    """The pairs (a, b) that their signatures do not rule out, with the hash of a text of each."""
+    signs = classes.select("class", "n", "sign", "k_text").dropDuplicates(["class"])
+    both = pairs.join(signs.toDF("a", "n", "sign", "a_text"), "a").join(signs.toDF("b", "m", "b_sign", "b_text"), "b")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,10 +332,10 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             rows = np.arange(batch.num_rows)
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             keep = signatures.differ(rows, rows + len(rows)) <= n + m - 2 * needed(n, m, percent)
-            chosen = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(chosen), batch.column("b").take(chosen)], ["a", "b"])
+            chosen, names = pa.array(np.flatnonzero(keep)), ["a", "b", "a_text", "b_text"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(chosen) for c in names], names)
 
-    return both.select("a", "n", "sign", "b", "m", "b_sign").mapInArrow(possible, "a bigint, b bigint")
+    return both.mapInArrow(possible, "a bigint, b bigint, a_text bigint, b_text bigint")
 
 
 def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) -> DataFrame:
@@ -366,7 +362,7 @@ def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) ->
         .agg(F.bit_or("bit").alias("bits"))
     )
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.toLocalIterator():  # at most 2^17 rows
+    for row in words.toLocalIterator():  # at most 2^18 rows
         table[row["word"]] = row["bits"]
     passes = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
 
@@ -461,7 +457,10 @@ def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[
     if best_only:
         signs = _Signatures(batch.column("note"))
     else:
-        profiles = np.stack([np.frombuffer(binary(batch.column("note"), i), "<u2") for i in range(rows)]).astype(np.int64)
+        notes = [binary(batch.column("note"), i) for i in range(rows)]
+        size = 2 * (BORDERS + 2)
+        profiles = np.stack([np.frombuffer(note[:size], "<u2") for note in notes]).astype(np.int64)
+        signs = _Signatures(pa.array([bytes(note[size:]) or b"\0" for note in notes], pa.binary()))
     row, done = 0, np.r_[0, np.cumsum(before)]
     while row < rows:
         stop = max(row + 1, int(np.searchsorted(done, done[row] + PAIRS_AT_ONCE)) - 1)
@@ -486,6 +485,8 @@ def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[
             border = np.minimum(profiles[left, -1], profiles[right, -1])
             above = np.minimum(n - profiles[left, border], m - profiles[right, border])
             keep = np.minimum(col["ahead"][left], col["ahead"][right]) + above >= need
+            short = np.flatnonzero(keep & signs.present[left] & signs.present[right])
+            keep[short] = signs.differ(left[short], right[short]) <= (n + m - 2 * need)[short]
         left, right = left[keep], right[keep]
         if best_only and len(left):
             one, other, apart = np.r_[left, right], np.r_[right, left], np.r_[differ, differ]
@@ -506,6 +507,7 @@ class _Signatures:
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2], np.uint8)
         self.power = np.log2(np.diff(offsets)).astype(np.int64)
+        self.present = self.power >= 3  # a set of any size has eight bytes at least
         self.slot = np.zeros(len(column), np.int64)
         self.rows = {}
         for power in np.unique(self.power):
@@ -545,19 +547,18 @@ def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int)
     )
     levels = spark.sparkContext.broadcast(frequency_levels(texts.select("norm"), width))
     described = stored(_described(texts, levels, width, percent), "ngram-sets")
-    classes = described.where(F.col("prefix").isNotNull()).select("class", "n", "prefix", "profile", "sign", "smallest")
-    links = stored(
-        _verified(stored(_stars(classes, percent), "pairs"), texts, described, levels, width, percent), "links"
+    classes = described.where(F.col("prefix").isNotNull()).select(
+        "class", "n", "k_text", "prefix", "profile", "sign", "smallest"
     )
+    pairs = stored(_stars(classes, percent), "pairs")
+    links = stored(_verified(pairs, texts, levels, width, percent), "links")
     for tokens, note, best_only in (("smallest", "sign", True), ("prefix", "profile", False)):
         labels = components(links)
         labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
             "class", "n", F.col(note).alias("note"), tokens, F.coalesce("component", "class").alias("comp")
         )
-        pairs = _crossing(labelled, tokens, percent, best_only)
-        pairs = stored(pairs if best_only else _plausible(pairs, classes, percent), "pairs")
-        more = _verified(pairs, texts, described, levels, width, percent)
-        links = stored(links.unionByName(more).distinct(), "links")
+        pairs = stored(_plausible(_crossing(labelled, tokens, percent, best_only), classes, percent), "pairs")
+        links = stored(links.unionByName(_verified(pairs, texts, levels, width, percent)), "links")
     labels = stored(components(links), "labels")
     named = described.select("k_id", "k_text", "n", "class").join(labels, F.col("class") == F.col("node"), "left").select(
         "k_id", "k_text", "n", "class", F.coalesce("component", "class").alias("comp")

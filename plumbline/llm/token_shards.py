@@ -25,7 +25,7 @@ from plumbline.llm.hashing import draws, mix
 
 HEAD_BYTES = 16
 RECORD_TOKENS = 2048
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 NUMBER_ROWS = 2_000
 ROUNDS = 6
 
