@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 TOKEN_BITS = 58
 
 # Kinds of bytes: 0 parts words. The plain kinds know words only, the fine ones letters (with all
@@ -41,6 +44,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, bounds) of a string column in runs of rows of about ``limit`` bytes.
+
+    What is computed from the texts is several times their size, so it is done run by run.
+    """
+    data, offsets = utf8(column)
+    lo, rows = 0, len(offsets) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
 class WordHasher:
     """Hashes of the words of many texts at once.
 

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import ROW, field, null_safe, packed, stored, text_or_empty, unpacked
 from plumbline.llm.components import components
-from plumbline.llm.hashing import TOKEN_BITS, WordHasher, draws, mix, utf8
+from plumbline.llm.hashing import TOKEN_BITS, WordHasher, draws, mix, text_slices
 from plumbline.llm.streams import binary, bounds, int_lists, whole_groups
 
 SHINGLE_WORDS = 5
@@ -44,7 +44,7 @@ BLOCK = 512  # sets of one meeting that are compared in one place
 TREE_SETS = 64  # sets in one tree
 PAIRS_AT_ONCE = 1 << 20
 BORDERS = 16
-NOTE_SIGNATURE = 64  # bytes of a signature that travels with every prefix token at most
+NOTE_SIGNATURE = 32  # bytes of a signature that travels with every prefix token at most
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -60,10 +60,11 @@ def frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = WordHasher(), np.zeros(1 << SKETCH_BITS, np.int64)
+        hasher, total = WordHasher(), np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            tokens, _ = hasher.shingles(*utf8(batch.column(0)), width)
-            total += np.bincount(tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS), minlength=len(total))
+            for _, data, offsets in text_slices(batch.column(0)):
+                tokens, _ = hasher.shingles(data, offsets, width)
+                np.add.at(total, tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS), 1)
         parts = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, SLICE)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -100,15 +101,16 @@ def _ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def _sets(column: pa.Array, hasher: WordHasher, levels: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its distinct tokens in the global order) for every text with words."""
-    tokens, owner = hasher.shingles(*utf8(column), width)
-    tokens = _ordered(tokens, levels)
-    at = bounds(owner)
-    for lo, hi in zip(at[:-1], at[1:], strict=True):
-        if hi > lo:
-            one = np.sort(tokens[lo:hi])
-            keep = np.ones(len(one), bool)
-            keep[1:] = one[1:] != one[:-1]
-            yield int(owner[lo]), one[keep]
+    for first, data, offsets in text_slices(column):
+        tokens, owner = hasher.shingles(data, offsets, width)
+        tokens = _ordered(tokens, levels)
+        at = bounds(owner)
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            if hi > lo:
+                one = np.sort(tokens[lo:hi])
+                keep = np.ones(len(one), bool)
+                keep[1:] = one[1:] != one[:-1]
+                yield first + int(owner[lo]), one[keep]
 
 
 _SALT = draws(3, 1)[0]
@@ -413,6 +415,8 @@ def _dealt(postings: DataFrame, met: DataFrame) -> DataFrame:
         F.ceil(F.col("top_sets") / BLOCK).alias("top_blocks"),
         F.ceil((F.col("sets") - F.col("top_sets")) / BLOCK).alias("blocks"),
     )
+    # written, so that its size is known before the join: mostly it is empty and the postings stay put
+    large = stored(large, "large-tokens")
     one = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("side"))
     draw = F.xxhash64("class")
     top_block, block = F.pmod(draw, F.col("top_blocks")), F.pmod(draw, F.col("blocks"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ROW, field, packed, text_or_empty, unpacked
-from plumbline.llm.hashing import FINE, WordHasher, draws, mix, utf8
+from plumbline.llm.hashing import FINE, WordHasher, draws, mix, text_slices
 from plumbline.llm.streams import binary, bounds
 
 FEATURES = 1 << 18
@@ -120,9 +120,10 @@ def fit(
         hasher = WordHasher(FINE)
         for batch in batches:
             places, values = [], []
-            for p, v in features(*utf8(batch.column("norm")), hasher):
-                places.append(p.astype(np.int32).tobytes())
-                values.append(v.astype(np.float32).tobytes())
+            for _, data, offsets in text_slices(batch.column("norm")):
+                for p, v in features(data, offsets, hasher):
+                    places.append(p.astype(np.int32).tobytes())
+                    values.append(v.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("turn"), batch.column("y"), pa.array(places, pa.binary()), pa.array(values, pa.binary())],
                 ["turn", "y", "places", "features"],
@@ -162,8 +163,9 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = WordHasher(FINE), model.value
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            sums = np.array([w[p] @ v for p, v in features(data, offsets, hasher)])
+            sums = np.array(
+                [w[p] @ v for _, data, offsets in text_slices(batch.column(1)) for p, v in features(data, offsets, hasher)]
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], [ROW, "score"]
             )
