@@ -1,10 +1,11 @@
 """Bootstrap intervals for grouped means, paired differences and clustered ratios.
 
 Rows are first counted into cells of equal value, which shrinks 0/1 flags and rounded scores to a
-handful of rows whatever the table size. Groups with few cells are resampled exactly, with
-multinomial draws over their cells. Groups with many cells are never gathered: each cell draws its
-Poisson weights from its own hash, partial sums are added up per replicate, and only the replicate
-totals (a fixed number per group) meet in one place.
+handful of rows whatever the table size. The method is the same for every group: multinomial draws over
+its cells. The cells of a group are dealt into blocks; a replicate's total is split over the blocks by
+binomial draws down a tree, which every block repeats for its own path alone, and then over the cells
+of the block. That is one multinomial draw, made without gathering the group; only the replicate totals
+meet, in two steps.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    BinaryType,
     BooleanType,
     DoubleType,
     LongType,
@@ -30,7 +32,7 @@ from plumbline.functions.intervals import z_value
 from plumbline.functions.numerics import NORMAL
 
 RESAMPLES = 10_000
-MAX_CELLS = 4096
+BLOCK_CELLS = 4096
 DRAW_BLOCK = 2_000_000
 
 
@@ -49,18 +51,38 @@ def _moments(x: np.ndarray, size: np.ndarray, count: np.ndarray) -> dict[str, fl
     }
 
 
-def _multinomial(
-    x: np.ndarray, size: np.ndarray, count: np.ndarray, resamples: int, seed: int
-) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    units = int(count.sum())
-    share = count / units
-    block = max(1, DRAW_BLOCK // len(x))
-    out = []
-    for start in range(0, resamples, block):
-        weights = rng.multinomial(units, share, size=min(block, resamples - start))
-        out.append((weights @ x) / (weights @ size))
-    return np.concatenate(out)
+def _generator(seed: int, *place: int) -> np.random.Generator:
+    return np.random.default_rng([seed % 2**63, *(p % 2**63 for p in place)])
+
+
+def _block_units(totals: np.ndarray, block: int, resamples: int, seed: int, group: int) -> np.ndarray:
+    """How many units each replicate draws from one block, given the units of all blocks."""
+    lo, hi = 0, len(totals)
+    units = np.full(resamples, int(totals.sum()), np.int64)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        left, whole = int(totals[lo:middle].sum()), int(totals[lo:hi].sum())
+        # the draw belongs to the node, so all blocks below it see the same numbers
+        drawn = _generator(seed, group, 1, lo, hi).binomial(units, left / whole if whole else 0.0)
+        if block < middle:
+            units, hi = drawn, middle
+        else:
+            units, lo = units - drawn, middle
+    return units
+
+
+def _block_sums(
+    x: np.ndarray, size: np.ndarray, count: np.ndarray, units: np.ndarray, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per replicate the sums of x and of size over the units drawn from a block's cells."""
+    share = count / count.sum()
+    step = max(1, DRAW_BLOCK // len(x))
+    top, bottom = [], []
+    for start in range(0, len(units), step):
+        weights = rng.multinomial(units[start : start + step], share)
+        top.append(weights @ x)
+        bottom.append(weights @ size)
+    return np.concatenate(top), np.concatenate(bottom)
 
 
 def _wilson(successes: float, n: float, confidence: float) -> tuple[float, float]:
@@ -155,117 +177,87 @@ FINISHERS = {
 }
 
 
-def _exact(cells: DataFrame, by: list[str], kind: str, resamples: int, confidence: float, seed: int):
-    finish, fields = FINISHERS[kind]
-    schema = StructType([cells.schema[c] for c in by] + fields)
-    names = by + [f.name for f in fields]
-
-    def resample(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        if cell["x"].isna().any():
-            raise ValueError(f"group {key}: a paired test needs both values in every row")
-        cell = cell.sort_values(["x", "size"])
-        x, size, count = (cell[c].to_numpy(dtype=float) for c in ("x", "size", "count"))
-        moments = _moments(x, size, count)
-        moments["units"] = float(count.sum())
-        constant = kind == "bca" and (moments["n"] < 3 or np.allclose(x, x[0]))
-        reps = (
-            np.full(1, moments["mean"])
-            if constant
-            else _multinomial(x, size, count.astype(int), resamples, seed)
-        )
-        return pd.DataFrame([list(key) + finish(reps, moments, confidence)], columns=names)
-
-    return cells.groupBy(*by).applyInPandas(resample, schema)
+def _attached(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with their group's facts; without groups the one row of facts is a scalar."""
+    names = [c for c in facts.columns if c not in by]
+    if by:
+        return rows.join(facts, by)
+    one = facts.select(F.struct(*names)).scalar()
+    return rows.withColumn("_facts", one).select("*", "_facts.*").drop("_facts")
 
 
-def _spread_out(
-    cells: DataFrame, by: list[str], kind: str, resamples: int, confidence: float, seed: int
+def _resampled(
+    cells: DataFrame, by: Sequence[str], kind: str, resamples: int, confidence: float, seed: int, block_cells: int
 ) -> DataFrame:
-    keyed = cells.select(
-        *by, "x", "size", "count", F.xxhash64(*by, "x", "size", F.lit(seed)).alias("_key")
-    )
-    schema = StructType(
-        [cells.schema[c] for c in by]
-        + [_field("_b", LongType()), _field("_wx", DoubleType()), _field("_w", DoubleType())]
-    )
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(by, dropna=False, sort=False):
-                top, bottom = np.zeros(resamples), np.zeros(resamples)
-                for x, size, count, identity in part[["x", "size", "count", "_key"]].itertuples(
-                    index=False
-                ):
-                    stream = np.random.Generator(np.random.Philox(key=int(identity) % 2**64))
-                    weight = stream.poisson(count, resamples)
-                    top += weight * x
-                    bottom += weight * size
-                out = pd.DataFrame({"_b": np.arange(resamples), "_wx": top, "_w": bottom})
-                for name, value in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out.insert(0, name, value)
-                yield out[[*by, "_b", "_wx", "_w"]]
-
-    sums = keyed.mapInPandas(weigh, schema).groupBy(*by, "_b").agg(
-        F.sum("_wx").alias("_wx"), F.sum("_w").alias("_w")
+    """Intervals for cells (by, x, size, count) of the statistic sum(x) / sum(size)."""
+    by = list(by)
+    finish, fields = FINISHERS[kind]
+    units = F.sum("count").cast("long")
+    sized = cells.groupBy(*by).agg(
+        F.ceil(F.count(F.lit(1)) / block_cells).alias("_blocks"),
+        F.sum(F.col("size") * F.col("count")).alias("n"),
+        (F.sum(F.col("x") * F.col("count")) / F.sum(F.col("size") * F.col("count"))).alias("mean"),
+        units.alias("units"),
     )
-    reps = sums.where(F.col("_w") > 0).groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.col("_wx") / F.col("_w"))).alias("_reps")
+    joined = _attached(cells, sized, by).withColumn(
+        "_block", F.pmod(F.xxhash64("x", "size"), F.col("_blocks"))
     )
-    centred = F.col("x") - F.col("_mean") * F.col("size")
-    moments = cells.groupBy(*by).agg(
-        F.first("_n").alias("n"),
-        F.first("_mean").alias("mean"),
-        F.first("_units").alias("units"),
+    centred = F.col("x") - F.col("mean") * F.col("size")
+    moments = joined.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in ("n", "mean", "units")],
         F.sum(F.col("count") * centred * centred).alias("square"),
         F.sum(F.col("count") * centred * centred * centred).alias("cube"),
         F.min("x").alias("low"),
         F.max("x").alias("high"),
         F.min(F.col("x").isin(0.0, 1.0)).alias("flags"),
     )
-    finish, fields = FINISHERS[kind]
-    out_schema = StructType([cells.schema[c] for c in by] + fields)
-    names = by + [f.name for f in fields]
-    wanted = ["n", "mean", "units", "square", "cube", "low", "high", "flags"]
+    filled = joined.groupBy(*by, "_block").agg(units.alias("_units"))
+    totals = filled.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", "_units"))).alias("_totals"))
+    totals = totals.select(*by, F.col("_totals._block").alias("_names"), F.col("_totals._units").alias("_sizes"))
+    group = (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_group")
+    dealt = _attached(joined.select(*by, "_block", "x", "size", "count", "_blocks"), totals, by).select(
+        *by, "_block", F.col("_blocks"), "x", "size", F.col("count").cast("long").alias("count"), "_names", "_sizes", group
+    )
+    lane = F.pmod("_block", F.ceil(F.sqrt("_blocks"))).alias("_lane")
+    key_fields = [cells.schema[c] for c in by]
+    sums_schema = StructType(
+        key_fields + [_field("_lane", LongType()), _field("_top", BinaryType()), _field("_bottom", BinaryType())]
+    )
 
-    def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                [row[c] for c in by]
-                + finish(np.asarray(row["_reps"]), {k: row[k] for k in wanted}, confidence)
-                for _, row in batch.iterrows()
-            ]
-            yield pd.DataFrame(rows, columns=names)
+    def draw(cell: pd.DataFrame) -> pd.DataFrame:
+        first = cell.iloc[0]
+        if cell["x"].isna().any():
+            raise ValueError("a paired test needs both values in every row")
+        cell = cell.sort_values(["x", "size"])
+        x, size, count = (cell[c].to_numpy(dtype=float) for c in ("x", "size", "count"))
+        names, sizes = np.asarray(first["_names"]), np.asarray(first["_sizes"])
+        place, own = int(np.searchsorted(names, first["_block"])), int(first["_group"])
+        drawn = _block_units(sizes, place, resamples, seed, own)
+        top, bottom = _block_sums(x, size, count, drawn, _generator(seed, own, 2, place))
+        return pd.DataFrame(
+            [[*(first[c] for c in by), first["_lane"], top.tobytes(), bottom.tobytes()]],
+            columns=[*by, "_lane", "_top", "_bottom"],
+        )
 
-    return reps.join(moments, by).mapInPandas(conclude, out_schema)
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        out = part.iloc[:1].copy()
+        for c in ("_top", "_bottom"):
+            out[c] = [sum(np.frombuffer(v) for v in part[c]).tobytes()]
+        return out
 
+    def conclude(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for _, row in batch.iterrows():
+                top, bottom = np.frombuffer(row["_top"]), np.frombuffer(row["_bottom"])
+                facts = {k: row[k] for k in ("n", "mean", "units", "square", "cube", "low", "high", "flags")}
+                rows.append([row[c] for c in by] + finish(top[bottom > 0] / bottom[bottom > 0], facts, confidence))
+            yield pd.DataFrame(rows, columns=by + [f.name for f in fields])
 
-def _resampled(
-    cells: DataFrame,
-    by: Sequence[str],
-    kind: str,
-    resamples: int,
-    confidence: float,
-    seed: int,
-    max_cells: int,
-) -> DataFrame:
-    """Intervals for cells (by, x, size, count) of the statistic sum(x) / sum(size)."""
-    by = list(by)
-    whole = not by
-    if whole:
-        cells, by = cells.withColumn("_all", F.lit("all")), ["_all"]
-    sized = cells.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_cells"),
-        F.sum(F.col("size") * F.col("count")).alias("_n"),
-        (F.sum(F.col("x") * F.col("count")) / F.sum(F.col("size") * F.col("count"))).alias("_mean"),
-        F.sum("count").alias("_units"),
-    )
-    joined = cells.join(sized, by)
-    few = joined.where((F.col("_cells") <= max_cells) | F.col("x").isNull())
-    many = joined.where((F.col("_cells") > max_cells) & F.col("x").isNotNull())
-    out = _exact(few, by, kind, resamples, confidence, seed).unionByName(
-        _spread_out(many, by, kind, resamples, confidence, seed)
-    )
-    return out.drop("_all") if whole else out
+    by_block = dealt.select("*", lane).groupBy(*by, "_block", "_lane").applyInPandas(draw, sums_schema)
+    by_lane = by_block.groupBy(*by, "_lane").applyInPandas(add, sums_schema)
+    whole = by_lane.groupBy(*by).applyInPandas(add, sums_schema).drop("_lane")
+    return _attached(whole, moments, by).mapInPandas(conclude, StructType(key_fields + fields))
 
 
 def _rows(weight: str | None) -> Column:
@@ -279,18 +271,21 @@ def bootstrap_ci(
     resamples: int = RESAMPLES,
     confidence: float = 0.95,
     seed: int = 0,
-    max_cells: int = MAX_CELLS,
+    block_cells: int = BLOCK_CELLS,
     weight: str | None = None,
 ) -> DataFrame:
-    """BCa interval of a mean per group. ``weight`` says how many rows a row stands for. Constant or tiny groups get a Wilson interval if their
-    values are 0/1, else the point itself."""
+    """BCa interval of a mean per group. ``weight`` says how many rows a row stands for.
+
+    Constant or tiny groups get a Wilson interval if their values are 0/1, else the point itself.
+    ``block_cells`` bounds the values drawn from in one task; it changes the draws, not the method.
+    """
     cells = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("x"))
         .agg(_rows(weight).alias("count"))
         .withColumn("size", F.lit(1.0))
     )
-    return _resampled(cells, by, "bca", resamples, confidence, seed, max_cells)
+    return _resampled(cells, by, "bca", resamples, confidence, seed, block_cells)
 
 
 def paired_diff(
@@ -301,7 +296,7 @@ def paired_diff(
     resamples: int = RESAMPLES,
     confidence: float = 0.95,
     seed: int = 0,
-    max_cells: int = MAX_CELLS,
+    block_cells: int = BLOCK_CELLS,
     weight: str | None = None,
 ) -> DataFrame:
     """Mean of a - b with the pairing kept, percentile limits and a centred two-sided p-value.
@@ -315,7 +310,7 @@ def paired_diff(
         .agg(_rows(weight).alias("count"))
         .withColumn("size", F.lit(1.0))
     )
-    return _resampled(cells, by, "paired", resamples, confidence, seed, max_cells)
+    return _resampled(cells, by, "paired", resamples, confidence, seed, block_cells)
 
 
 def cluster_cells(df: DataFrame, by: Sequence[str], cluster: str, value: str) -> DataFrame:
@@ -338,11 +333,11 @@ def cluster_ci(
     resamples: int = RESAMPLES,
     confidence: float = 0.95,
     seed: int = 20260731,
-    max_cells: int = MAX_CELLS,
+    block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
     """Percentile interval of a ratio of totals when whole clusters are resampled."""
     cells = cluster_cells(df, by, cluster, value)
-    return _resampled(cells, by, "ratio", resamples, confidence, seed, max_cells)
+    return _resampled(cells, by, "ratio", resamples, confidence, seed, block_cells)
 
 
 def poisson_ci(
@@ -357,12 +352,14 @@ def poisson_ci(
 ) -> DataFrame:
     """Percentile interval of sum(x) / sum(size) with Poisson(1) weights hashed from the unit.
 
-    Every engine that has MD5 can reproduce it. The map side adds up per group and replicate, so
-    the shuffle carries groups x resamples rows whatever the number of units.
+    Every engine that has MD5 can reproduce it. Rows are added up per unit before weights are drawn, and
+    the map side adds up per group and replicate, so the shuffle carries groups x resamples rows.
     """
     by = list(by)
     replicate = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
-    drawn = units.select(*by, F.col(unit).alias("_unit"), x.alias("_x"), size.alias("_size"), replicate)
+    named = units.select(*by, F.col(unit).alias("_unit"), x.alias("_x"), size.alias("_size"))
+    summed = named.groupBy(*by, "_unit").agg(F.sum("_x").alias("_x"), F.sum("_size").alias("_size"))
+    drawn = summed.select(*by, "_unit", "_x", "_size", replicate)
     weight = poisson_one(uniform(F.col("_unit"), F.col("_b"), seed))
     sums = drawn.groupBy(*by, "_b").agg(
         F.sum(weight * F.col("_x")).alias("_wx"),

@@ -359,7 +359,7 @@ SIMPSON = """(select sum(case when i = 0 or i = 4000 then 1 when i % 2 = 1 then
     f"""with {OUTCOMES_SQL},
 n as (select judge, degradation, count(*) filter (correct_ref_first = 1 and correct_deg_first = 0)
   as b, count(*) filter (correct_deg_first = 1 and correct_ref_first = 0) as c
-  from outcomes where severity > 0.4 group by 1, 2),
+  from outcomes group by 1, 2),
 s as (select *, (b + c) < 25 as exact, case when b + c = 0 then 0 when b + c < 25 then least(b, c)
   else (abs(b - c) - 1) ** 2 / (b + c) end::double as statistic,
   sqrt(case when b + c >= 25 then (abs(b - c) - 1) ** 2 / (b + c) else 0 end / 2) as z from n)
@@ -372,7 +372,7 @@ select judge, degradation, b, c, exact, round(statistic, 6) as statistic,
     "pair_raw",
 )
 def _(t: Inputs) -> DataFrame:
-    late = outcomes(t).where(F.col("severity") > 0.4)
+    late = outcomes(t)
     return rounded(
         agreement.mcnemar(late, ["judge", "degradation"], "correct_ref_first", "correct_deg_first")
     )

@@ -28,7 +28,7 @@ from plumbline.plans.bias import (
 from plumbline.plans.registry import Inputs, query
 from plumbline.plans.shared import rounded, sql_wilson
 
-RESAMPLES = 2000
+RESAMPLES = bootstrap.RESAMPLES
 
 
 def priced_judgments(t: Inputs) -> DataFrame:
@@ -44,7 +44,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("bootstrap_latency")
 def _(t: Inputs) -> DataFrame:
-    return bootstrap.bootstrap_ci(t.view("judgments"), ["judge"], "latency_ms", 200)
+    return bootstrap.bootstrap_ci(t.view("judgments"), ["judge"], "latency_ms")
 
 
 @query("fixed_order_inflation")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -130,15 +132,15 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "teacher_labels",
-    """select item_id || ':' || config || ':' || replicate as uid, (score >= 7)::int as teacher_label,
+    """select judge || ':' || item_id || ':' || config || ':' || replicate as uid, (score >= 7)::int as teacher_label,
   (severity < 0.3)::int as truth_label, degradation, score as teacher_score
-from fx_judgments where score is not null and judge = 'j1'""",
+from fx_judgments where score is not null""",
     "judgments",
 )
 def _(t: Inputs) -> DataFrame:
-    log = t.view("judgments").where(F.col("judge") == "j1")
+    log = t.view("judgments")
     shaped = log.select(
-        F.concat_ws(":", "item_id", "config", F.col("replicate").cast("string")).alias("uid"),
+        F.concat_ws(":", "judge", "item_id", "config", F.col("replicate").cast("string")).alias("uid"),
         "item_id",
         F.lit("q").alias("question"),
         F.col("config").alias("answer"),
@@ -496,15 +498,10 @@ def labelled_examples(t: Inputs) -> DataFrame:
     )
 
 
-def compact_features(df: DataFrame) -> DataFrame:
-    """Hashed features in smaller spaces: the fit's cost per step grows with their size."""
-    return features.hashing_features(df, word_features=2**12, char_features=2**11)
-
-
 def trained(t: Inputs) -> tuple[st.Student, DataFrame]:
-    featured = cut_lineage(compact_features(labelled_examples(t)).drop("context", "question", "answer"))
+    featured = cut_lineage(features.hashing_features(labelled_examples(t)).drop("context", "question", "answer"))
     split = calibration.group_split(featured, "item_group")
-    model = st.fit_student(split.where(F.col("split") == "train"), max_iter=20)
+    model = st.fit_student(split.where(F.col("split") == "train"))
     return st.recalibrate(model, split.where(F.col("split") == "calibration")), split
 
 
@@ -529,7 +526,7 @@ def _(t: Inputs) -> DataFrame:
 @query("trained_student")
 def _(t: Inputs) -> DataFrame:
     model, split = trained(t)
-    path = f"{ensure_checkpoint_dir(t.spark)}/student"
+    path = f"{ensure_checkpoint_dir(t.spark)}/student-{uuid.uuid4().hex}"
     st.save_student(model, t.spark, path)
     loaded = st.load_student(t.spark, path)
     test = loaded.predict(split.where(F.col("split") == "test"))
@@ -546,7 +543,7 @@ def _(t: Inputs) -> DataFrame:
         F.col("text").alias("answer"),
         F.lit("").alias("context"),
     )
-    return st.guard(requests, model, featurise=compact_features).select("doc_id", "p", "decision", "reason")
+    return st.guard(requests, model).select("doc_id", "p", "decision", "reason")
 
 
 @query("held_out_probes")

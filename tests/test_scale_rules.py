@@ -121,3 +121,46 @@ def test_latest_rows_of_each_group(spark):
     df = spark.createDataFrame(rows, "g string, t long, e long")
     got = latency.last_n(df, ["g"], ["t", "e"], 10).collect()
     assert sorted(r.t for r in got if r.g == "a") == list(range(990, 1000)) and len(got) == 12
+
+
+def test_bootstrap_is_one_method_whatever_the_number_of_cells(spark):
+    from plumbline.operators.bootstrap import bootstrap_ci, cluster_ci
+
+    rng = random.Random(6)
+    rows = [(g, rng.gauss(10, 3)) for g in ("a", "b") for _ in range(400)] + [("c", 1.0)] * 5
+    df = spark.createDataFrame(rows, "g string, v double")
+    one = {r.g: r for r in bootstrap_ci(df, ["g"], "v", 4000).collect()}
+    many = {r.g: r for r in bootstrap_ci(df, ["g"], "v", 4000, block_cells=30).collect()}
+    for g in ("a", "b"):
+        values = pd.Series([v for k, v in rows if k == g])
+        half = 1.96 * values.std() / len(values) ** 0.5
+        for r in (one[g], many[g]):
+            assert r.n == 400 and r.method == "bca" and abs(r.value - values.mean()) < 1e-9
+            assert abs(r.lo - (values.mean() - half)) < half / 5 and abs(r.hi - (values.mean() + half)) < half / 5
+    assert one["c"].method == many["c"].method == "wilson"
+    whole = bootstrap_ci(df, [], "v", 500, block_cells=100).collect()
+    assert len(whole) == 1 and whole[0].n == 805 and whole[0].lo < whole[0].value < whole[0].hi
+    clusters = cluster_ci(df.withColumn("s", F.floor("v")), ["g"], "s", "v", 500).collect()
+    assert {r.g: r.n_rows for r in clusters} == {"a": 400, "b": 400, "c": 5}
+
+
+def test_blocks_of_a_replicate_add_up():
+    import numpy as np
+
+    from plumbline.operators.bootstrap import _block_units
+
+    totals = np.array([5, 0, 17, 3, 100, 1, 1])
+    parts = np.array([_block_units(totals, b, 2000, 3, 9) for b in range(len(totals))])
+    assert (parts.sum(axis=0) == totals.sum()).all() and (parts[1] == 0).all()
+    assert np.allclose(parts.mean(axis=1), totals, atol=0.5)
+
+
+def test_folds_always_exist(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from plumbline.operators.student import fit_student
+
+    rng = random.Random(3)
+    rows = [(Vectors.dense([rng.random() + y, rng.random()]), y, f"g{k}") for k in range(7) for y in (0, 1) for _ in range(4)]
+    student = fit_student(spark.createDataFrame(rows, ["features", "teacher_label", "item_group"]), max_iter=20)
+    assert len(student.classifiers) == len(student.calibrators) == 5

@@ -103,7 +103,7 @@ def test_bca_brackets_mean_and_agrees_between_paths(spark):
     rows = [("a", float(v)) for v in rng.normal(5, 2, 400)]
     df = flags(spark, rows, "g string, v double")
     exact = bootstrap.bootstrap_ci(df, ["g"], "v", 2000).first()
-    spread = bootstrap.bootstrap_ci(df, ["g"], "v", 2000, max_cells=10).first()
+    spread = bootstrap.bootstrap_ci(df, ["g"], "v", 2000, block_cells=10).first()
     mean = np.mean([r[1] for r in rows])
     error = np.std([r[1] for r in rows]) / math.sqrt(len(rows))
     for out in (exact, spread):
