@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,33 +153,34 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """Every input row with ``score``, from 0 to 1: the chance that its label is 1.
-
-    Only the text is read. Null and empty texts get the score of the constant alone. Nothing is
-    shuffled; repeated rows stay. An input column ``score`` is kept as ``score_in``.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+def _scored(rows: DataFrame, weights: np.ndarray, text: str) -> DataFrame:
+    """Packed rows with ``score``; the text is read out of the row, so it moves once."""
+    model = rows.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = WordHasher(FINE), model.value
         for batch in batches:
-            sums = np.array(
-                [w[p] @ v for _, data, offsets in text_slices(batch.column(1)) for p, v in features(data, offsets, hasher)]
-            )
+            texts = pc.struct_field(batch.column(0), text)
+            sums = np.array([w[p] @ v for _, data, offsets in text_slices(texts) for p, v in features(data, offsets, hasher)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(1 / (1 + np.exp(-sums)), pa.float64())], [ROW, "score"]
             )
 
-    rows = packed(docs).select(ROW, text_or_empty(field(text)).alias("norm"))
-    done = rows.mapInArrow(run, rows.select(ROW).schema.add("score", "double"))
+    return rows.mapInArrow(run, rows.select(ROW).schema.add("score", "double"))
+
+
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """Every input row with ``score``, from 0 to 1: the chance that its label is 1.
+
+    Only the text is read. Null and empty texts get the score of the constant alone. Nothing is
+    shuffled; repeated rows stay. An input column ``score`` is kept as ``score_in``.
+    """
+    done = _scored(packed(docs), weights, text)
     return done.select(*unpacked(done, docs.columns, ["score"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows whose score reaches the threshold, with their columns."""
     weights = fit(docs, labels, **options)
-    kept = score(packed(docs).select(ROW, field(options.get("text", "text")).alias("text")), weights).where(
-        F.col("score") >= threshold
-    )
+    kept = _scored(packed(docs), weights, options.get("text", "text")).where(F.col("score") >= threshold)
     return kept.select(*unpacked(kept, docs.columns, []))
