@@ -1,12 +1,12 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by keys of whole runs.
 
-Documents are sequences of non-blank lines. Of every three lines in a row the one with the smallest hash
-is a fingerprint, so any repeated run of three lines holds one in both places. A fingerprint meets
-the earliest place that has it with the same lines around it; there the two documents are laid against
-each other, matches are extended both ways, and runs that are long enough are deleted from the later
-document. Documents are ordered by id, so the first place of every run stays.
+Documents are sequences of non-blank lines. A repeated run is long enough if it has three lines or 50
+words, so it is covered by short runs that are repeated with it: every three lines in a row, and fewer
+lines that reach 50 words. Each of these short runs is keyed at every place and meets the earliest
+place with the same whole key; at all later places its lines are deleted. Documents are ordered by id, so
+the first place of every run stays.
 
-A line that very many documents share never makes pairs of documents: each place meets one earliest place.
+A run that very many documents share never makes pairs of documents: each place meets one earliest place.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import ROW, field, null_safe, packed, stored, text_or_empty, unpacked, word_count
 
-WINDOW = 3
 RUN_LINES = 3
 RUN_WORDS = 50
 
@@ -45,92 +44,46 @@ def _documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
-def _fingerprints(lines: DataFrame) -> DataFrame:
-    """(key, k_id, k_text, p): window minima with their neighbours, and every line that is a run by itself."""
-    last = F.greatest(F.size("h") - WINDOW, F.lit(0))
-    lowest = F.transform(F.sequence(F.lit(0), last), lambda s: F.array_min(F.slice("h", s + 1, F.lit(WINDOW))))
-
-    def selected(i: Column) -> Column:
-        first = F.least(F.greatest(i - WINDOW + 1, F.lit(0)), last)
-        around = F.slice("lowest", first + 1, F.least(i, last) - first + 1)
-        return F.array_max(around) == F.get("h", i)
+def _short_runs(lines: DataFrame) -> DataFrame:
+    """(key, h, k_id, k_text, p, n): every run of three lines, and shorter ones that have 50 words; ``h`` is the
+    first line's hash, which keeps runs apart whose keys collide."""
 
     def keys(i: Column) -> Column:
-        alone = F.when(F.get("w", i) >= RUN_WORDS, _key(i, F.lit(1), F.get("h", i)))
-        pair_here = F.when(selected(i) & F.get("h", i + 1).isNotNull(), _key(i, F.lit(2), F.get("h", i), F.get("h", i + 1)))
-        pair_before = F.when(selected(i) & (i > 0), _key(i - 1, F.lit(2), F.get("h", i - 1), F.get("h", i)))
-        inner = F.when(
-            selected(i) & (i > 0) & F.get("h", i + 1).isNotNull(),
-            _key(i - 1, F.lit(3), F.get("h", i - 1), F.get("h", i), F.get("h", i + 1)),
-        )
-        return F.array(alone, pair_here, pair_before, inner)
-
-    places = F.transform(F.sequence(F.lit(0), F.size("h") - 1), keys)
+        hashes, words, found = [], F.lit(0).cast("long"), []
+        for n in range(1, RUN_LINES + 1):
+            hashes.append(F.get("h", i + (n - 1)))
+            words = words + F.get("w", i + (n - 1))
+            whole = hashes[-1].isNotNull() if n == RUN_LINES else words >= RUN_WORDS
+            key = F.xxhash64(F.lit(n), *hashes)
+            found.append(F.when(whole, F.struct(key.alias("key"), hashes[0].alias("h"), i.alias("p"), F.lit(n).alias("n"))))
+        return F.array(*found)
+
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), keys))
     return (
-        lines.withColumn("lowest", lowest)
-        .select("k_id", "k_text", F.explode(F.array_distinct(F.flatten(places))).alias("place"))
-        .where("place is not null")
-        .select("place.key", "k_id", "k_text", "place.p")
+        lines.select("k_id", "k_text", F.explode(F.filter(places, lambda r: r.isNotNull())).alias("run"))
+        .select("run.key", "run.h", "k_id", "k_text", "run.p", "run.n")
     )
 
 
-def _key(p: Column, *parts: Column) -> Column:
-    return F.struct(F.xxhash64(*parts).alias("key"), p.cast("int").alias("p"))
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(k_id, k_text, gone): the places of a document's lines that belong to later repeated runs."""
     lines = stored(_documents(docs, id_col, text), "lines")
-    marks = stored(_fingerprints(lines), "line-marks")
-    order = F.struct(F.col("k_id").isNotNull().alias("named"), "k_id", "k_text", "p")
-    firsts = stored(
-        marks.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "line-firsts",
-    )
-    # one row for each way a document lies against an earlier one
-    laid = (
-        marks.join(firsts, "key")
-        .select(
-            "k_id",
-            "k_text",
-            F.col("first.k_id").alias("a_id"),
-            F.col("first.k_text").alias("a_text"),
-            (F.col("first.p") - F.col("p")).alias("shift"),
-        )
-        .where(~(F.col("k_id").eqNullSafe(F.col("a_id")) & (F.col("k_text") == F.col("a_text")) & (F.col("shift") == 0)))
-        .distinct()
-    )
-    laid = stored(laid, "line-meetings")
-    own = lines.select(*[F.col(c).alias(f"d_{c}") for c in lines.columns])
-    earlier = lines.select(F.col("k_id").alias("e_id"), F.col("k_text").alias("e_text"), F.col("h").alias("e_h"))
-    both = laid.join(own, null_safe([F.col("k_id"), F.col("k_text")], [F.col("d_k_id"), F.col("d_k_text")])).join(
-        earlier, null_safe([F.col("a_id"), F.col("a_text")], [F.col("e_id"), F.col("e_text")])
+    runs = _short_runs(lines)
+    # plain numbers first: most runs occur once and need no place
+    repeated = stored(
+        runs.groupBy("key", "h").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("key", "h"), "line-keys"
     )
-    # a closing place that never matches ends the last run
-    steps = F.transform(
-        F.sequence(F.lit(0), F.size("d_h")),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.coalesce(F.when(i + F.col("shift") >= 0, F.get("e_h", i + F.col("shift"))) == F.get("d_h", i), F.lit(False)).alias("same"),
-            F.coalesce(F.get("d_w", i), F.lit(0)).cast("long").alias("w"),
-        ),
-    )
-    nothing = F.struct(
-        F.lit(0).alias("n"), F.lit(0).cast("long").alias("w"), F.array().cast("array<struct<lo:int,hi:int>>").alias("runs")
+    runs = stored(runs.join(repeated, ["key", "h"], "left_semi"), "line-runs")
+    order = F.struct(F.col("k_id").isNotNull().alias("named"), "k_id", "k_text", "p")
+    firsts = runs.groupBy("key", "h").agg(F.min(order).alias("first"))
+    later = runs.join(firsts, ["key", "h"]).where(
+        ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")) & (F.col("p") == F.col("first.p")))
     )
-
-    def extend(state: Column, step: Column) -> Column:
-        ends = ~step["same"] & ((state["n"] >= RUN_LINES) | (state["w"] >= RUN_WORDS))
-        run = F.struct((step["i"] - state["n"]).alias("lo"), (step["i"] - 1).alias("hi"))
-        return F.struct(
-            F.when(step["same"], state["n"] + 1).otherwise(0).alias("n"),
-            F.when(step["same"], state["w"] + step["w"]).otherwise(F.lit(0).cast("long")).alias("w"),
-            F.when(ends, F.array_append(state["runs"], run)).otherwise(state["runs"]).alias("runs"),
-        )
-
-    runs = both.select("k_id", "k_text", "d_at", F.explode(F.aggregate(steps, nothing, extend)["runs"]).alias("run"))
-    places = runs.select("k_id", "k_text", F.explode(F.slice("d_at", F.col("run.lo") + 1, F.col("run.hi") - F.col("run.lo") + 1)).alias("at")).distinct()
-    return places.groupBy("k_id", "k_text").agg(F.collect_list("at").alias("gone"))
+    later = later.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    at = lines.select(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text"), "at")
+    both = later.join(at, null_safe([F.col("k_id"), F.col("k_text")], [F.col("d_id"), F.col("d_text")]))
+    places = F.flatten(F.transform("runs", lambda run: F.slice("at", run["p"] + 1, run["n"])))
+    return both.select("k_id", "k_text", F.array_distinct(places).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     A run is a stretch of non-blank lines that are equal, but for outer blanks, to a stretch at an earlier
     place (smaller id, or higher up in the same text); it is deleted if it has at least three lines or 50
-    words. Every repeated line of 50 words is found; of a repeated run of five or more lines at least
-    three are. A run is compared with the earliest place of its fingerprints, not with all places.
+    words. Every such run is found, whatever stands around it and wherever its earlier place is.
 
     Null text is empty text and cleans to an empty text; blank lines stay. A null id comes first. Rows
     equal in id and text are one document and get the same result. Lines are compared by 60-bit digests.

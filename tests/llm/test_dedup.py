@@ -275,6 +275,43 @@ def test_line_runs_by_brute_force(spark):
     assert sum(long in r.clean_text for r in got) == 1
 
 
+def all_repeated_runs(rows):
+    """The rule itself: of every stretch of three lines or 50 words, all places but the first; ids are distinct."""
+    docs = {}
+    for i, t in sorted(rows):
+        docs[i] = [(at, x.strip(" "), len(WORD.findall(x))) for at, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+    places = defaultdict(list)
+    for i, lines in docs.items():
+        for p in range(len(lines)):
+            for q in range(p + 1, len(lines) + 1):
+                run = lines[p:q]
+                if len(run) >= 3 or sum(x[2] for x in run) >= 50:
+                    places[tuple(x[1] for x in run)].append([(i, x[0]) for x in run])
+    gone = {x for found in places.values() for run in found[1:] for x in run}
+    return {i: sorted(at for j, at in gone if j == i) for i, _ in rows}
+
+
+def test_every_repeated_run_is_found(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):  # two lines of 30 words each, between lines of their own
+        pair = [" ".join(f"{side}{k}x{j}" for j in range(30)) for side in "ab"]
+        for i in (2 * k, 2 * k + 1):
+            own = [f"{rng.random()} own" for _ in range(4)]
+            rows.append((i, "\n".join([*own[:2], *pair, *own[2:]])))
+    for k in range(40):  # an older document has just a part of the run that two later ones share
+        run = [f"run {k} {j}" for j in range(rng.choice([3, 4]))]
+        part = run[:2] if rng.random() < 0.5 else run[1:3]
+        for i, lines in ((100 + k, part), (200 + k, run), (300 + k, run)):
+            rows.append((i, "\n".join([f"{rng.random()} own", "", *lines, f"{rng.random()} own"])))
+    rows += [(400, "x y\n" * 7), (401, "x y\nx y\nx y\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(df).collect()}
+    want = all_repeated_runs(rows)
+    assert got == want
+    assert all(len(want[2 * k + 1]) == 2 and len(want[300 + k]) >= 3 for k in range(40))
+
+
 def test_lines_with_null_ids_repeats_and_nothing(spark):
     text = "a b\nc d\ne f\ng h"
     df = spark.createDataFrame([(None, text), (1, text), (2, "q"), (2, "q"), (3, None)], "doc_id long, text string")
