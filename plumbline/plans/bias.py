@@ -526,11 +526,11 @@ adj as (select *, least(1, max((m - rk + 1) * p) over (partition by judge
   order by rk rows unbounded preceding)) as p_adjusted from r)"""
 
 
-def _small_tests(t: Inputs) -> DataFrame:
+def _all_tests(t: Inputs) -> DataFrame:
+    """Holm over every McNemar test of a judge. The SQL knows the exact ones only: it differs where b + c >= 25."""
     keys = ["source_id", "judge", "degradation", "severity"]
     tested = agreement.mcnemar(outcomes(t), keys, "correct_ref_first", "correct_deg_first")
-    small = tested.where(F.col("exact"))
-    return agreement.holm(small, ["judge"], "p_value", ["source_id", "degradation", "severity"])
+    return agreement.holm(tested, ["judge"], "p_value", ["source_id", "degradation", "severity"])
 
 
 @query(
@@ -541,7 +541,7 @@ def _small_tests(t: Inputs) -> DataFrame:
     "pair_raw",
 )
 def _(t: Inputs) -> DataFrame:
-    return rounded(_small_tests(t)).select(
+    return rounded(_all_tests(t)).select(
         "judge",
         "source_id",
         "degradation",
@@ -561,4 +561,4 @@ from adj group by judge""",
     "pair_raw",
 )
 def _(t: Inputs) -> DataFrame:
-    return agreement.holm_summary(_small_tests(t), ["judge"])
+    return agreement.holm_summary(_all_tests(t), ["judge"])

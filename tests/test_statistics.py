@@ -149,3 +149,22 @@ def test_sample_size_golden_value(spark):
     df = flags(spark, [(600, 0.80, 0.73)], "n long, p1 double, p2 double")
     out = power.power_report(df, "n", "p1", "p2").first()
     assert out.n_required == 575 and out.adequate and 0.80 < out.power < 0.83
+
+
+def test_holm_queries_keep_well_supported_tests(spark, folder, monkeypatch):
+    from plumbline.plans import bias, load_all
+    from plumbline.plans.registry import QUERIES
+
+    load_all()
+    rows = [("s1", "j", "d", 0.5, 1, 0)] * 40 + [("s1", "j", "d", 0.5, 0, 1)] * 5  # 45 discordant pairs
+    rows += [("s2", "j", "d", 0.5, 1, 0)] * 6 + [("s3", "j", "d", 0.5, 1, 1)] * 9
+    frame = spark.createDataFrame(
+        rows, "source_id string, judge string, degradation string, severity double, correct_ref_first int, correct_deg_first int"
+    )
+    monkeypatch.setattr(bias, "outcomes", lambda t: frame)
+    out = {r.source_id: r for r in QUERIES["holm_adjusted"](spark, folder).collect()}
+    assert {r.n_tests for r in out.values()} == {3} and set(out) == {"s1", "s2", "s3"}
+    chi = (40 - 5 - 1) ** 2 / 45
+    assert out["s1"].p_adjusted == pytest.approx(3 * math.erfc(math.sqrt(chi / 2)), abs=1e-6) and out["s1"].reject
+    assert out["s2"].p_adjusted == pytest.approx(2 * 2 / 2**6, abs=1e-6) and out["s3"].p_adjusted == 1
+    assert [tuple(r) for r in QUERIES["holm_summary"](spark, folder).collect()] == [("j", 3, 1)]
