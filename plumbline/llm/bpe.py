@@ -178,9 +178,11 @@ class Codec:
 
 
 def encode(
-    spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False
+    spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = False, id_bytes: int = 4
 ) -> DataFrame:
-    """Every input row with ``ids`` (little-endian unsigned 32-bit integers) and, on request, ``decoded``.
+    """Every input row with ``ids`` (little-endian unsigned integers) and, on request, ``decoded``.
+
+    ``id_bytes`` is 4, or 2 for a vocabulary of at most 65,536 strings.
 
     Whole texts are encoded as the public library does without added special tokens, truncation or
     padding; special tokens written in a text become their ids. Null and empty texts have no ids and
@@ -188,7 +190,10 @@ def encode(
     differently. Rows are independent of each other: nothing is shuffled and repeated rows
     stay. Input columns named like an added one are kept as ``<name>_in``.
     """
-    tables = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
+    loaded = load_vocabulary(vocabulary)
+    if id_bytes not in (2, 4) or len(loaded["strings"]) > 1 << 8 * id_bytes:
+        raise ValueError(f"ids of {vocabulary} do not fit {id_bytes} bytes")
+    tables = spark.sparkContext.broadcast(loaded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tables.value)
@@ -196,7 +201,8 @@ def encode(
             for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(lo, ROWS_AT_ONCE)
                 ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-                columns, names = [batch.column(0), pa.array(ids, pa.binary())], [ROW, "ids"]
+                sized = ids if id_bytes == 4 else [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
+                columns, names = [batch.column(0), pa.array(sized, pa.binary())], [ROW, "ids"]
                 if decoded:
                     columns.append(pa.array([codec.decode(i) for i in ids], pa.binary()).cast(pa.string()))
                     names.append("decoded")

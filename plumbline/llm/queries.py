@@ -19,7 +19,7 @@ from plumbline.llm import (
     sharding,
     token_shards,
 )
-from plumbline.llm.common import word_count
+from plumbline.llm.common import stored, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,10 +217,12 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_token_shards")
 def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Byte-level tokens (one byte per token) of all documents in training order."""
-    docs = table(spark, folder, "documents")
-    tokens = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("ids"))
-    return token_shards.training_order(tokens, token_bytes=1, record_tokens=1024)
+    """BPE tokens (two bytes per id) of all documents, written in training order and read back from the shards."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = bpe.encode(spark, docs, bpe.vocabulary_path(), id_bytes=2).select("doc_id", "ids")
+    tokens = stored(encoded, "token-ids")  # numbering reads them more than once
+    path = token_shards.write_shards(token_shards.training_order(tokens, token_bytes=2, record_tokens=1024))
+    return token_shards.stored_records(spark, path, token_bytes=2, record_tokens=1024)
 
 
 @query(

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -156,6 +156,42 @@ def write_shards(records: DataFrame, path: str | None = None) -> str:
     return path
 
 
+def stored_records(
+    spark: SparkSession, path: str, token_bytes: int = 4, record_tokens: int = RECORD_TOKENS, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
+    """The rows of :func:`training_order`, read from the files of :func:`write_shards`.
+
+    A shard file is cut at its fixed distances; its name says which slot it starts with. The smallest 64-bit
+    integer reads as a null id.
+    """
+    stride = record_bytes(record_tokens, token_bytes)
+    per_shard = max(1, shard_bytes // stride)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    count = (F.octet_length("content") / stride).cast("int")
+
+    def records(content: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.struct(i.alias("i"), F.substring(content, i * stride + 1, F.lit(stride - 1)).alias("record")),
+        )
+
+    # as an array's only value the content is taken out of its row once, not once a record
+    cut = F.flatten(F.transform(F.array("content"), records))
+    rows = files.where(count > 0).select(
+        F.regexp_extract("path", r"shard=(\d+)/[^/]*$", 1).cast("long").alias("shard"), F.explode(cut).alias("at")
+    )
+    known = F.conv(F.hex(F.substring("at.record", 1, 8)), 16, -10).cast("long")
+    return rows.select(
+        F.nullif(known, F.lit(-(1 << 63)).cast("long")).alias("doc_id"),
+        F.conv(F.hex(F.substring("at.record", 9, 4)), 16, 10).cast("long").alias("part"),
+        F.conv(F.hex(F.substring("at.record", 13, 4)), 16, 10).cast("long").alias("n_tokens"),
+        (F.col("shard") * per_shard + F.col("at.i")).alias("slot"),
+        "shard",
+        (F.col("at.i").cast("long") * stride).alias("offset"),
+        F.col("at.record").alias("record"),
+    )
+
+
 def read_records(file: Iterator | object, slot: int, count: int, per_shard: int, record_tokens: int, token_bytes: int):
     """(id, part, token ids) of ``count`` records from ``slot`` on, out of an open shard file.
 

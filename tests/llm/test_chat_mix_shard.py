@@ -220,3 +220,41 @@ def test_token_shards_read_back_from_any_slot(spark, tmp_path):
 
 def test_token_shards_of_nothing(spark):
     assert token_shards.training_order(spark.createDataFrame([], "doc_id long, ids binary")).count() == 0
+
+
+def test_token_shards_query_writes_bpe_ids_and_reads_them_back(spark, folder, monkeypatch):
+    import numpy as np
+
+    from plumbline.llm import bpe, queries
+
+    written = []
+    write = token_shards.write_shards
+    monkeypatch.setattr(token_shards, "write_shards", lambda records, path=None: written.append(write(records, path)) or written[-1])
+    texts = {i: t for i, t in queries.table(spark, folder, "documents").select("doc_id", "text").collect()}
+    rows = queries.QUERIES["op3_token_shards"](spark, folder).collect()
+    files = {r.shard: r.content for r in spark.read.format("binaryFile").load(written[0]).collect()}
+    stride = token_shards.record_bytes(1024, 2)
+    assert len(written) == 1 and sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert sum(map(len, files.values())) == stride * len(rows)
+    codec, found = bpe.Codec(bpe.load_vocabulary(bpe.vocabulary_path())), defaultdict(dict)
+    for r in rows:
+        assert bytes(files[r.shard])[r.offset : r.offset + stride] == bytes(r.record) + b"\n"
+        found[r.doc_id][r.part] = np.frombuffer(bytes(r.record)[16 : 16 + 2 * r.n_tokens], "<u2")
+    assert set(found) == set(texts)
+    for i, t in texts.items():
+        ids = np.concatenate([found[i][p] for p in sorted(found[i])])
+        assert ids.tolist() == np.frombuffer(codec.encode(t or ""), "<u4").tolist()
+
+
+def test_stored_records_are_the_written_ones(spark, tmp_path):
+    rows = [(1, b"\n\x00" * 40), (None, b"\xff\n" * 3), (-5, b""), (7, None), (7, b"ab" * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary")
+    size = {"token_bytes": 2, "record_tokens": 16, "shard_bytes": 3 * token_shards.record_bytes(16, 2)}
+    records = token_shards.training_order(df, **size)
+    path = token_shards.write_shards(records, str(tmp_path / "tokens"))
+    back = token_shards.stored_records(spark, path, **size)
+    assert back.columns == records.columns
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[3]) == sorted(map(tuple, records.collect()), key=lambda r: r[3])
+    nothing = token_shards.training_order(df.limit(0), **size)
+    empty = token_shards.write_shards(nothing, str(tmp_path / "none"))
+    assert token_shards.stored_records(spark, empty, **size).count() == 0
