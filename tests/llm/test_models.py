@@ -253,3 +253,29 @@ def test_stages_on_empty_and_odd_tables(spark, folder):
         rows = out.collect()
         assert name == "BPE encoding" or out.columns == wide.columns, name
         assert name != "BPE encoding" or len(rows) == 3
+
+
+def test_long_texts_get_the_features_they_would_get_in_one_piece(monkeypatch):
+    rng = np.random.default_rng(6)
+    ranks = rng.permutation(fingerprints.LEVELS).astype(np.int64)
+    texts = [b"abc" * 3_000, b"x" * 5_000, b"abcdefgh" * 900 + b"z" * 40, bytes(rng.integers(97, 123, 9_000, dtype=np.uint8))]
+    texts += [b"abc" * 1_000 + bytes(rng.integers(97, 123, 70, dtype=np.uint8)) + b"abc" * 1_500]
+    texts += [b"ab" * (n // 2) + b"c" * (n % 2) for n in range(1_020, 1_170)]
+
+    def prints():
+        maker = fingerprints.Fingerprinter(ranks)
+        return [maker.many(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+
+    whole = prints()
+    monkeypatch.setattr(fingerprints, "CHUNK_BYTES", 1_024)
+    assert prints() == whole
+    assert not any(one.startswith("0:") for one in whole)
+
+
+def test_a_periodic_text_beyond_a_chunk_is_not_empty():
+    maker = fingerprints.Fingerprinter(np.arange(fingerprints.LEVELS))
+    text = np.frombuffer(b"abc" * 400_000, np.uint8)
+    assert len(text) > fingerprints.CHUNK_BYTES
+    one, other = (maker.many(t, np.array([0, len(t)]))[0] for t in (text, text[: len(text) - 300_000]))
+    assert not one.startswith("0:") and fingerprints.likeness(one, "0:") == 0.0
+    assert fingerprints.likeness(one, other) > 0.5
