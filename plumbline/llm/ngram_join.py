@@ -1,8 +1,11 @@
-"""N-gram Jaccard join: all links between documents whose shingle sets are similar enough, exactly.
+"""N-gram Jaccard components: which documents hang together by shingle sets that are similar enough, exactly.
+
+Only components are computed, not all links: a pair is verified only while its documents are in different
+components, so most links inside a group are never looked at, and none are returned.
 
 A document's set holds its distinct runs of five words as 58-bit tokens. All sets share one global
 order of tokens: rare before frequent, then by value. The order comes from a fixed-size table of counts
-over all shingles of all documents; it only steers cost, any order gives the same links.
+over all shingles of all documents; it only steers cost, any order gives the same components.
 
 Sets that are similar enough share a token among the first ``n - ceil(t n) + 1`` of each, the prefix, so
 prefix tokens decide which sets meet. Where sets meet, they are compared by a prefix-tree join: the
