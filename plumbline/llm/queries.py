@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
     bpe,
     chat_format,
+    chat_repair,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -21,6 +22,20 @@ from plumbline.llm import (
 )
 from plumbline.llm.common import stored, word_count
 
+# CRC-32 of a text in SQL: the byte table by its rule, then a fold over the UTF-8 bytes.
+CRC_SQL = """
+    bytes_of as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc_table)"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a SQL text expression; needs ``bytes_of`` among the joined tables."""
+    code = f"hex(encode({text}))"
+    step = "xor(crc_table[(xor(c, b) & 255) + 1], c >> 8)"
+    data = f"list_transform(range(len({code}) // 2), lambda j: ('0x' || substr({code}, 2 * j + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {data}), lambda c, b: {step}), 4294967295)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -274,3 +289,104 @@ def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "clean_text")
+
+
+@query(
+    "op11_chat_repair",
+    f"""
+    with recursive {CRC_SQL},
+    drawn as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+               {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault
+        from conversations, bytes_of),
+    damaged as (
+        select conv_id, turn, copy, case when fault = 4 then 'user' else role end as role,
+               case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+        from drawn, (select unnest([1, 2]) as copy) where fault <> 0 and (copy = 1 or fault = 3)),
+    placed as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+               row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as said,
+               case when role[1] in ('s', 'u', 'a') then role[1] else '-' end as x from damaged),
+    faulty as (
+        select *, case when said = '' then 'blank' when seen > 1 then 'duplicate'
+                       when said[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault,
+               lag(x) over (partition by conv_id order by i) || x as pair from placed),
+    walk(conv_id, i, s) as (
+        select conv_id, 0::bigint, [{{'c': 0::bigint, 'a': '', 'r': []::varchar[]}}, null, null, null]
+        from (select distinct conv_id from faulty)
+        union all
+        select conv_id, i, list_transform(
+            [[case when d[1] is not null then {{'c': d[1].c + 4, 'a': d[1].a || 'D', 'r': d[1].r}} end],
+             [case when d[2] is not null then {{'c': d[2].c + 4, 'a': d[2].a || 'D', 'r': d[2].r}} end,
+              case when stays and x = 's' and d[1] is not null then {{'c': d[1].c + more, 'a': d[1].a || 'K', 'r': d[1].r || [line]}} end],
+             [case when d[3] is not null then {{'c': d[3].c + 4, 'a': d[3].a || 'D', 'r': d[3].r}} end]
+             || list_transform(list_filter([d[1], d[2], d[4]], lambda o: stays and x = 'u' and o is not null),
+                               lambda o: {{'c': o.c + more, 'a': o.a || 'K', 'r': o.r || [line]}})
+             || list_transform(list_filter([d[1], d[2], d[4]], lambda o: stays and o is not null),
+                               lambda o: {{'c': o.c + more + 3, 'a': o.a || 'R', 'r': o.r || ['user:' || text]}}),
+             [case when d[4] is not null then {{'c': d[4].c + 4, 'a': d[4].a || 'D', 'r': d[4].r}} end,
+              case when stays and x = 'a' and d[3] is not null then {{'c': d[3].c + more, 'a': d[3].a || 'K', 'r': d[3].r || [line]}} end,
+              case when stays and d[3] is not null then {{'c': d[3].c + more + 3, 'a': d[3].a || 'R', 'r': d[3].r || ['assistant:' || text]}} end]],
+            lambda ways: list_sort(list_filter(ways, lambda o: o is not null))[1])
+        from (
+            select conv_id, i, x, line, text, stays, more, [e[1], e[2], e[3], list_sort(list_filter(
+                [e[4], case when e[3] is not null then {{'c': e[3].c + 3, 'a': e[3].a || 'I', 'r': e[3].r || ['assistant:']}} end],
+                lambda o: o is not null))[1]] as d
+            from (
+                select w.conv_id, f.i, f.x, f.role || ':' || f.text as line, f.text, f.fault in ('', 'truncated') as stays,
+                       case when f.fault = 'truncated' then 3 else 0 end as more,
+                       [s[1], s[2], list_sort([s[3]] || list_transform([s[1], s[2], s[4]],
+                            lambda o: case when o is not null then {{'c': o.c + 3, 'a': o.a || 'I', 'r': o.r || ['user:']}} end),
+                            'asc', 'nulls last')[1], s[4]] as e
+                from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1) closed) ready),
+    ends as (
+        select conv_id, list_sort(list_filter([s[1], s[4]]
+            || list_transform(list_filter([s[3]], lambda o: o is not null), lambda o: {{'c': o.c + 3, 'a': o.a || 'I', 'r': o.r || ['assistant:']}})
+            || list_transform(list_filter([s[2]], lambda o: o is not null),
+                              lambda o: {{'c': o.c + 6, 'a': o.a || 'II', 'r': o.r || ['user:', 'assistant:']}}),
+            lambda o: o is not null))[1] as best
+        from walk w where i = (select max(i) from faulty f where f.conv_id is not distinct from w.conv_id)),
+    counts as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+               count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+               count(*) filter (where fault = 'truncated') as truncated,
+               count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+        from faulty group by conv_id)
+    select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+           coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+           coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+           sha256(coalesce(array_to_string(best.r, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) o
+    left join counts n on n.conv_id is not distinct from o.conv_id
+    left join ends e on e.conv_id is not distinct from o.conv_id""",
+)
+def op11_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    chats = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fault, damaged = damaged_chats(chats)
+    repaired = chat_repair.repair(damaged, copies=F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1))
+    names = chats.select("conv_id", chat_repair.conversation_key(F.col("conv_id")).alias("conv")).distinct()
+    found = names.join(repaired.report, "conv", "left").join(repaired.digests(), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def damaged_chats(chats: DataFrame) -> tuple[Column, DataFrame]:
+    """Conversations with the faults of the contract; which fault a row has is the first result (0: lost, 3: twice)."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fault = F.col("fault")
+    drawn = chats.withColumn("fault", F.crc32(key.cast("binary")) % 20)
+    text = F.coalesce("text", blank)
+    return fault, drawn.select(
+        "conv_id",
+        "turn",
+        "fault",
+        F.when(fault == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+    )
