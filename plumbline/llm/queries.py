@@ -18,6 +18,7 @@ from plumbline.llm import (
     ngram_join,
     quality,
     sharding,
+    spelling,
     token_shards,
 )
 from plumbline.llm.common import stored, word_count
@@ -390,3 +391,46 @@ def damaged_chats(chats: DataFrame) -> tuple[Column, DataFrame]:
         F.when(fault == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
         F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
     )
+
+
+SPELLING_DROP = 199
+
+
+@query(
+    "op12_spelling_groups",
+    rf"""
+    with recursive {CRC_SQL},
+    runs as (
+        select doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-z\x{{C0}}-\x{{FF}}]+')) as run
+        from documents),
+    counted as (select doc_id, run, count(*) as k from runs where length(run) >= 6 group by all),
+    drawn as (select run, k, {crc_sql("coalesce(doc_id::varchar, '') || ':' || run")} as h from counted, bytes_of),
+    damaged as (
+        select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k
+        from drawn),
+    vocabulary as (
+        select word, sum(k)::bigint as n from damaged where length(word) >= 6 group by word having sum(k) >= 5),
+    cut as (
+        select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest
+        from vocabulary, unnest(range(1, length(word) + 1)) as t(i)),
+    near as (
+        select a.word, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+        union select a.word, b.word, b.n from cut a join vocabulary b on b.word = a.rest
+        union select b.word, a.word, a.n from cut a join vocabulary b on b.word = a.rest),
+    best as (select word, count(*) as n_near, min({{'less': -near_n, 'near': near}}) as best from near group by word),
+    forms as (
+        select word, n, coalesce(n_near, 0)::bigint as n_near, case when -best.less >= 5 * n then best.near end as form,
+               case when -best.less >= 5 * n then -best.less end as form_n
+        from vocabulary left join best using (word)),
+    chains(word, root) as (
+        select word, word from forms
+        union all
+        select c.word, f.form from chains c join forms f on f.word = c.root where f.form is not null)
+    select f.word, f.form, c.root, f.n, f.n_near, f.form_n
+    from forms f join chains c on c.word = f.word join forms e on e.word = c.root where e.form is null""",
+)
+def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.spelling_groups(spelling.vocabulary(docs, drop=SPELLING_DROP))
