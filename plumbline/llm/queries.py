@@ -17,6 +17,7 @@ from plumbline.llm import (
     mixing,
     ngram_join,
     quality,
+    secret_scan,
     sharding,
     spelling,
     token_shards,
@@ -434,3 +435,78 @@ SPELLING_DROP = 199
 def op12_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return spelling.spelling_groups(spelling.vocabulary(docs, drop=SPELLING_DROP))
+
+
+def _parts_sql(kind: str, group: int) -> str:
+    """Matches of one kind with the lengths between them, by number of the match."""
+    pattern = secret_scan.PATTERNS[kind].replace("'", "''")
+    return f"""
+        select doc_id, t, '{kind}' as kind, unnest(range(1, len(found) + 1)) as nth, unnest(found) as said, unnest(inside) as inside,
+               unnest(gaps[:len(found)]) as gap
+        from (select doc_id, t, regexp_extract_all(t, '{pattern}') as found, regexp_extract_all(t, '{pattern}', {group}) as inside,
+                     string_split_regex(t, '{pattern}') as gaps from texts where regexp_matches(t, '{pattern}'))"""
+
+
+def _kinds_sql(kinds: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
+
+
+_RANK_SQL = "list_position([" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "], kind)"
+
+
+@query(
+    "op13_secret_scan",
+    f"""
+    with texts as (select row_number() over () as doc, doc_id, coalesce(text, '') as t from documents),
+    matches as ({" union all ".join(_parts_sql(k, int(k == "assign")) for k in secret_scan.PATTERNS).replace("doc_id", "doc")}),
+    placed as (
+        select doc, case when kind = 'assign' and length(inside) < {secret_scan.LEAST_SECRET} then 'short' else kind end as kind,
+               (sum(length(gap) + length(said)) over (partition by doc, kind order by nth) - length(said))::bigint as s,
+               sum(length(gap) + length(said)) over (partition by doc, kind order by nth)::bigint as e
+        from matches),
+    strong as (select * from placed where kind in {_kinds_sql(secret_scan.STRONG)}),
+    weak as (
+        select * from placed w where kind not in {_kinds_sql(secret_scan.STRONG)}
+        and not exists (select 1 from strong b where b.doc = w.doc and b.s < w.e and b.e > w.s)),
+    parts as (select * from strong union all select * from weak),
+    pieces as (
+        select doc, unnest(range(1, len(c) + 1)) as nth, unnest(c) as c, unnest(list_append(x, '')) as x
+        from (select doc, string_split_regex(t, '{secret_scan.SCOPE_END}') as c, regexp_extract_all(t, '{secret_scan.SCOPE_END}') as x
+              from texts where doc in (select doc from weak))),
+    scopes as (
+        select doc, nth, sum(length(c) + length(x)) over (partition by doc order by nth) - length(x) - length(c) as o,
+               sum(length(c) + length(x)) over (partition by doc order by nth) - length(x) as z from pieces),
+    scoped as (select p.*, nth from parts p join scopes using (doc) where o <= s and s < z),
+    linked as (
+        select w.doc, w.kind, w.s, w.e from scoped w join scoped o on o.doc = w.doc and o.nth = w.nth and abs(o.s - w.s) <= {secret_scan.REACH}
+        where w.kind not in {_kinds_sql(secret_scan.STRONG)}
+        group by w.doc, w.kind, w.s, w.e
+        having case when w.kind in {_kinds_sql(secret_scan.IDENTIFIERS)} then bool_or(o.kind in {_kinds_sql(secret_scan.SECRETS)})
+                    when w.kind in {_kinds_sql(secret_scan.SECRETS)} then bool_or(o.kind in {_kinds_sql(secret_scan.IDENTIFIERS)})
+                    else bool_or(o.kind in {_kinds_sql(secret_scan.SECRETS)}) and bool_or(o.kind in {_kinds_sql(secret_scan.IDENTIFIERS)}) end),
+    named as (
+        select *, kind || ':' || s || ':' || e as name, {_RANK_SQL} as rank from (select * from strong union all select * from linked)),
+    told as (
+        select doc, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+               count(*) filter (where kind = 'hex') as n_hex, string_agg(name, ',' order by s, rank) as spans,
+               string_agg(name, ',' order by s, rank) filter (where kind in {_kinds_sql(secret_scan.STRONG)}) as base
+        from named group by doc)
+    select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+           sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from texts left join told using (doc)""",
+)
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.STRONG))
+    kinds = F.col("spans.kind")
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in secret_scan.STRONG
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.span_names(base), 256).alias("base_sha256"),
+        secret_scan.span_names(F.col("spans")).alias("spans"),
+    )
