@@ -34,17 +34,17 @@ def _cuts_up_to(key: Column, cuts: Column) -> Column:
     )
 
 
-def _cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int) -> DataFrame:
-    identity = F.xxhash64(F.lit("cut"), *[F.col(c) for c in order])
+def _cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int, salt: str) -> DataFrame:
+    identity = F.xxhash64(F.lit(salt), *[F.col(c) for c in order])
     drawn = df.where(F.pmod(identity, F.lit(range_rows)) == 0)
     return drawn.groupBy(*by).agg(F.array_sort(F.collect_set(_key(order))).alias("_cuts"))
 
 
 def with_chunk(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], range_rows: int | None = None, salt: str = "cut"
 ) -> DataFrame:
-    """Adds ``_chunk``, an order-preserving range number inside each group."""
-    cuts = _cut_points(df, by, order, range_rows or RANGE_ROWS)
+    """Adds ``_chunk``, an order-preserving range number inside each group. Another salt cuts elsewhere."""
+    cuts = _cut_points(df, by, order, range_rows or RANGE_ROWS, salt)
     if by:
         tagged = df.join(cuts, list(by), "left")
     else:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plumbline.functions.intervals import z_value
+from plumbline.session import ensure_checkpoint_dir
+
+if TYPE_CHECKING:
+    from plumbline.plans.registry import Inputs
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -34,3 +41,29 @@ def sql_wilson(k: str, n: str, side: str, confidence: float = 0.95) -> str:
     if side == "lo":
         return f"greatest(0.0, ({centre} - {spread}) / {bottom})"
     return f"least(1.0, ({centre} + {spread}) / {bottom})"
+
+
+def table_stream(t: Inputs, name: str) -> DataFrame:
+    """A table as a stream: a file source that picks the table out of its folder."""
+    return (
+        t.spark.readStream.schema(t.table(name).schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .parquet(t.folder)
+    )
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is stored now, and reads what it wrote."""
+    spark = stream.sparkSession
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode(mode)
+    else:
+
+        def replace(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out")
+
+        writer = stream.writeStream.foreachBatch(replace).outputMode(mode)
+    run = writer.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

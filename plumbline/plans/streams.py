@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.registry import Inputs, query
-from plumbline.plans.shared import rounded
+from plumbline.plans.shared import drained, rounded, table_stream
 from plumbline.plans.stats import CALLS_SQL, calls
-from plumbline.session import ensure_checkpoint_dir
 from plumbline.streaming import operators as streams
 
 
@@ -65,11 +62,11 @@ def _(t: Inputs) -> DataFrame:
     and count(*) filter (event_type = 'error') / count(*) > 0.2 as stop from events group by 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    log = _event_stream(t).select(
+    log = table_stream(t, "events").select(
         F.concat(F.lit("j"), (F.col("user_id") % 4).cast("string")).alias("judge"),
         F.when(F.col("event_type") == "error", "HTTPError: bad").otherwise("").alias("error"),
     )
-    return rounded(_drained(streams.stream_failures(log), "complete"))
+    return rounded(drained(streams.stream_failures(log), "complete"))
 
 
 @query(
@@ -78,16 +75,16 @@ def _(t: Inputs) -> DataFrame:
   'candidate' end as role from events group by 1, 2""",
 )
 def _(t: Inputs) -> DataFrame:
-    log = _event_stream(t).select(
+    log = table_stream(t, "events").select(
         F.concat(F.lit("p"), F.expr("event_id div 3").cast("string")).alias("pair_id"),
         F.when(F.col("event_id") % 3 == 0, "reference").otherwise("candidate").alias("role"),
         F.col("ts").alias("created_at"),
     )
-    return _drained(streams.stream_ingest(log, "30 days"), "append").select("pair_id", "role")
+    return drained(streams.stream_ingest(log, "30 days"), "append").select("pair_id", "role")
 
 
 def _streamed_latency(t: Inputs) -> DataFrame:
-    requests = _event_stream(t).select(
+    requests = table_stream(t, "events").select(
         "event_id",
         F.col("event_type").alias("endpoint"),
         F.col("value").alias("ms"),
@@ -95,7 +92,7 @@ def _streamed_latency(t: Inputs) -> DataFrame:
         "ts",
     )
     # complete: a table that ends never moves the watermark past its last windows
-    return _drained(streams.stream_latency(requests, "1 hour", watermark="1 hour"), "complete")
+    return drained(streams.stream_latency(requests, "1 hour", watermark="1 hour"), "complete")
 
 
 @query(
@@ -113,29 +110,3 @@ def _(t: Inputs) -> DataFrame:
 @query("streamed_latency_percentiles")
 def _(t: Inputs) -> DataFrame:
     return _streamed_latency(t).select("window_start", "endpoint", "p50", "p95", "p99", "within_budget")
-
-
-def _event_stream(t: Inputs) -> DataFrame:
-    """The events as a stream: a file source that picks the table's file out of its folder."""
-    return (
-        t.spark.readStream.schema(t.table("events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(t.folder)
-    )
-
-
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is stored now, and reads what it wrote."""
-    spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode(mode)
-    else:
-
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{base}/out")
-
-        writer = stream.writeStream.foreachBatch(replace).outputMode(mode)
-    run = writer.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text_features as tf
-from plumbline.operators import calibration, features, gates, latency
+from plumbline.operators import calibration, features, gates, latency, text_variants
 from plumbline.operators import student as st
 from plumbline.operators.discrimination import discrimination_report
 from plumbline.plans.bias import ROWS_SQL, judged_rows
+from plumbline.plans.gold import order_items
 from plumbline.plans.registry import Inputs, query
-from plumbline.plans.shared import rounded, sql_wilson
+from plumbline.plans.shared import drained, rounded, sql_wilson, table_stream
 from plumbline.session import cut_lineage, ensure_checkpoint_dir
+from plumbline.streaming.operators import stream_guard
 
 
 def _list(values: list[str]) -> str:
@@ -499,7 +499,7 @@ def labelled_examples(t: Inputs) -> DataFrame:
 
 
 def trained(t: Inputs) -> tuple[st.Student, DataFrame]:
-    featured = cut_lineage(features.hashing_features(labelled_examples(t)).drop("context", "question", "answer"))
+    featured = cut_lineage(features.hashing_features(labelled_examples(t)))
     split = calibration.group_split(featured, "item_group")
     model = st.fit_student(split.where(F.col("split") == "train"))
     return st.recalibrate(model, split.where(F.col("split") == "calibration")), split
@@ -508,19 +508,41 @@ def trained(t: Inputs) -> tuple[st.Student, DataFrame]:
 @query("hashed_features")
 def _(t: Inputs) -> DataFrame:
     out = features.hashing_features(labelled_examples(t))
-    return out.groupBy("degradation").agg(
-        Summarizer.metrics("count").summary(F.col("features")).alias("s")
-    ).select("degradation", F.col("s.count").alias("n_rows"))
+    return out.select(
+        "uid",
+        F.size("features.indices").alias("n_features"),
+        F.aggregate("features.indices", F.lit(0).cast("bigint"), lambda a, i: a + i).alias("index_sum"),
+        F.round(F.aggregate("features.values", F.lit(0.0), lambda a, v: a + v), 6).alias("value_sum"),
+    )
 
 
-@query("embedding_features")
+@query(
+    "embedding_features",
+    f"""with {STRUCTURAL_SQL.strip().replace(" from w)", " from w),").replace("select doc_id, round(ln(1 + length", "f as (select doc_id, round(ln(1 + length", 1)})
+select doc_id, (len(embedding) + 18)::int as n_features,
+  round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as vector_sum,
+  round(log_chars + log_words + type_token_ratio + hedge_density + filler_count + numeric_density + commas_per_sentence
+    + words_per_sentence + capital_start + log_sentences + long_word_share + p_equals_zero, 4) as interpretable_sum
+from f join embeddings on vec_id = doc_id""",
+)
 def _(t: Inputs) -> DataFrame:
     vectors = t.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = t.table("documents").select(
         "doc_id", features.render_example(F.col("source"), F.col("text"), F.lit("")).alias("text")
     )
     out = features.embedding_features(docs.join(vectors, "doc_id"), "embedding")
-    return out.select("doc_id", F.size(vector_to_array("features")).alias("n_features"))
+    given = F.size("embedding")
+    rest = F.transform(F.slice("features.values", given + 1, F.lit(18)), lambda v: F.round(v, 6))
+
+    def total(values: Column) -> Column:
+        return F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 4)
+
+    return out.select(
+        "doc_id",
+        F.size("features.values").alias("n_features"),
+        total(F.slice("features.values", F.lit(1), given)).alias("vector_sum"),
+        total(rest).alias("interpretable_sum"),
+    )
 
 
 @query("trained_student")
@@ -534,20 +556,43 @@ def _(t: Inputs) -> DataFrame:
     return point.withColumn("threshold", F.lit(loaded.threshold))
 
 
-@query("guarded_documents")
-def _(t: Inputs) -> DataFrame:
-    model, _ = trained(t)
-    requests = t.table("documents").select(
+def document_requests(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id",
         F.col("source").alias("question"),
         F.col("text").alias("answer"),
         F.lit("").alias("context"),
     )
+
+
+@query("guarded_documents")
+def _(t: Inputs) -> DataFrame:
+    model, _ = trained(t)
+    requests = document_requests(t.table("documents"))
     return st.guard(requests, model).select("doc_id", "p", "decision", "reason")
 
 
+@query("streamed_guard")
+def _(t: Inputs) -> DataFrame:
+    """The documents as a stream through the guard."""
+    model, _ = trained(t)
+    requests = document_requests(table_stream(t, "documents"))
+    return drained(stream_guard(requests, model), "append").select("doc_id", "p", "decision", "reason")
+
+
 @query("held_out_probes")
 def _(t: Inputs) -> DataFrame:
-    model, split = trained(t)
-    scored = model.predict(split.where(F.col("split") == "test"))
-    return st.probe_report(scored.where(F.col("truth_label") == 1), model.threshold)
+    """A student of the balanced gold sample, met with the padded references it was never shown."""
+    items = order_items(t)
+    training, probes = text_variants.balanced_sample(items, text_variants.build_variants(items))
+    asked = items.select("item_id", "question", "context")
+
+    def rendered(rows: DataFrame) -> DataFrame:
+        text = features.render_example(F.col("question"), F.col("text"), F.col("context"))
+        return rows.join(asked, "item_id").select("uid", "item_id", "truth", text.alias("text"))
+
+    featured = cut_lineage(features.hashing_features(rendered(training)))
+    split = calibration.group_split(featured, "item_id")
+    model = st.fit_student(split.where(F.col("split") == "train"), "truth", "item_id")
+    model = st.recalibrate(model, split.where(F.col("split") == "calibration"), "truth")
+    return st.probe_report(st.predict_texts(rendered(probes), model), model.threshold)
