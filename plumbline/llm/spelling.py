@@ -31,6 +31,7 @@ LEAST_LETTERS = 6
 LEAST_COUNT = 5
 FORM_RATIO = 5
 BLOCK_WORDS = 1024
+TASK_WORDS = 50_000
 HELD_WORDS = 300_000
 FAR = 2
 LAST = "\U0010ffff"
@@ -216,7 +217,9 @@ def near_words(words: DataFrame) -> DataFrame:
     blocks = done[0]
     for more in done[1:]:
         blocks = blocks.unionByName(more)
-    meeting = blocks.select("block", "size", "low", "high", "word", "n").repartition("block").sortWithinPartitions(*BLOCK_KEYS)
+    meeting = blocks.select(*BLOCK_KEYS, "word", "n")
+    tasks = 1 + meeting.count() // TASK_WORDS  # the searches cost far more than their bytes tell adaptive execution
+    meeting = meeting.repartition(tasks, "block").sortWithinPartitions(*BLOCK_KEYS)
     return meeting.mapInArrow(_near, "word string, near string, near_n bigint")
 
 
