@@ -8,8 +8,15 @@ from plumbline.operators.latency import last_n_latency
 from plumbline.streaming import operators as streams
 
 
+SMALL = {"word_features": 256, "char_features": 128}
+
+
 def small_features(df):
-    return features.hashing_features(df, word_features=256, char_features=128)
+    return features.hashing_features(df, **SMALL)
+
+
+def small_predict(df, model):
+    return student.predict_texts(df, model, **SMALL)
 
 
 def examples(spark):
@@ -30,7 +37,7 @@ def test_student_learns_saves_and_guards_a_stream(spark, tmp_path):
     assert {r.split: r.n for r in split.groupBy("split").agg(F.count_distinct("item_group").alias("n")).collect()} == {
         "test": 6, "calibration": 6, "train": 18,
     }
-    model = student.fit_student(split.where("split = 'train'"), max_iter=10)
+    model = student.fit_student(split.where("split = 'train'"), size=256 + 128 + 18)
     model = student.recalibrate(model, split.where("split = 'calibration'"))
     test = model.predict(split.where("split = 'test'"))
     point = calibration.operating_point(test, "p", "truth_label", model.threshold).first()
@@ -45,7 +52,7 @@ def test_student_learns_saves_and_guards_a_stream(spark, tmp_path):
     (tmp_path / "in" / "r.json").write_text("\n".join(json.dumps(r) for r in requests))
     stream = spark.readStream.schema("question string, answer string, context string").json(f"{tmp_path}/in")
     run = (
-        streams.stream_guard(stream, loaded, featurise=small_features)
+        streams.stream_guard(stream, loaded, predict=small_predict)
         .writeStream.format("memory").queryName("guarded").start()
     )
     run.processAllAvailable()
