@@ -9,21 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cumulative Poisson(1) probabilities: sum of exp(-1)/k! up to k = 0..10.
-POISSON_CDF = [
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-    0.9999999899522336,
-]
-
 
 def as_column(part) -> Column:
     return part if isinstance(part, Column) else F.lit(str(part))
@@ -34,19 +19,6 @@ def draw(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[as_column(p).cast("string") for p in parts]))
 
 
-def uniform(*parts) -> Column:
-    """A number in [0, 1) from the first 32 bits of the draw."""
-    return F.conv(F.substring(draw(*parts), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
-def poisson_one(u: Column) -> Column:
-    """The Poisson(1) quantile of a uniform number."""
-    weight = F.lit(0)
-    for cut in POISSON_CDF:
-        weight = weight + F.when(u >= F.lit(cut), 1).otherwise(0)
-    return weight
-
-
 def shuffled(values: Column, *identity) -> Column:
     """An array in the order of its elements' draws; an element's draw uses its 0-based index."""
     tagged = F.transform(

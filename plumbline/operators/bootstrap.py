@@ -5,13 +5,15 @@ handful of rows whatever the table size. The method is the same for every group:
 its cells. The cells of a group are dealt into blocks; a replicate's total is split over the blocks by
 binomial draws down a tree, which every block repeats for its own path alone, and then over the cells
 of the block. That is one multinomial draw, made without gathering the group; only the replicate totals
-meet, in two steps.
+meet, in two steps. A block gets its path, two numbers per level of the tree, once; its cells carry nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,9 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from plumbline.functions.draws import poisson_one, uniform
 from plumbline.functions.intervals import z_value
 from plumbline.functions.numerics import NORMAL
+from plumbline.operators.ordered import numbered
 
 RESAMPLES = 10_000
 BLOCK_CELLS = 4096
@@ -55,31 +57,34 @@ def _generator(seed: int, *place: int) -> np.random.Generator:
     return np.random.default_rng([seed % 2**63, *(p % 2**63 for p in place)])
 
 
-def _block_units(totals: np.ndarray, block: int, resamples: int, seed: int, group: int) -> np.ndarray:
-    """How many units each replicate draws from one block, given the units of all blocks."""
-    lo, hi = 0, len(totals)
-    units = np.full(resamples, int(totals.sum()), np.int64)
-    while hi - lo > 1:
-        middle = (lo + hi) // 2
-        left, whole = int(totals[lo:middle].sum()), int(totals[lo:hi].sum())
+def _block_units(path: Sequence[dict], total: int, resamples: int, seed: int, group: int) -> np.ndarray:
+    """How many units each replicate draws from one block, given the nodes from the root to it."""
+    units = np.full(resamples, total, np.int64)
+    for node in path:
+        left, whole = node["left"], node["whole"]
         # the draw belongs to the node, so all blocks below it see the same numbers
-        drawn = _generator(seed, group, 1, lo, hi).binomial(units, left / whole if whole else 0.0)
-        if block < middle:
-            units, hi = drawn, middle
-        else:
-            units, lo = units - drawn, middle
+        drawn = _generator(seed, group, 1, node["lo"], node["hi"]).binomial(units, left / whole if whole else 0.0)
+        units = drawn if node["goes_left"] else units - drawn
     return units
 
 
 def _block_sums(
-    x: np.ndarray, size: np.ndarray, count: np.ndarray, units: np.ndarray, rng: np.random.Generator
+    x: np.ndarray, size: np.ndarray, count: np.ndarray, units: np.ndarray | int, rng: np.random.Generator
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Per replicate the sums of x and of size over the units drawn from a block's cells."""
+    """Per replicate the sums of x and of size over the units drawn from a block's cells.
+
+    ``units`` is what each replicate draws from the block; a plain number of replicates asks for Poisson weights instead: each
+    unit counts Poisson(1) times, a cell of equal units as often as the Poisson number of their count.
+    """
     share = count / count.sum()
+    resamples = units if isinstance(units, int) else len(units)
     step = max(1, DRAW_BLOCK // len(x))
     top, bottom = [], []
-    for start in range(0, len(units), step):
-        weights = rng.multinomial(units[start : start + step], share)
+    for start in range(0, resamples, step):
+        if isinstance(units, int):
+            weights = rng.poisson(count, (min(step, resamples - start), len(count)))
+        else:
+            weights = rng.multinomial(units[start : start + step], share)
         top.append(weights @ x)
         bottom.append(weights @ size)
     return np.concatenate(top), np.concatenate(bottom)
@@ -131,6 +136,12 @@ def _paired_row(reps: np.ndarray, moments: dict[str, float], confidence: float)
     return [moments["mean"], float(low), float(high), p, int(moments["n"]), bool(low > 0 or high < 0)]
 
 
+def _poisson_row(reps: np.ndarray, moments: dict[str, float], confidence: float) -> list:
+    tail = (1 - confidence) / 2
+    low, high = np.quantile(reps, [tail, 1 - tail]) if len(reps) else (None, None)
+    return [moments["mean"], low, high]
+
+
 def _ratio_row(reps: np.ndarray, moments: dict[str, float], confidence: float) -> list:
     tail = (1 - confidence) / 2
     low, high = np.quantile(reps, [tail, 1 - tail])
@@ -164,6 +175,10 @@ FINISHERS = {
             _field("significant", BooleanType()),
         ],
     ),
+    "poisson": (
+        _poisson_row,
+        [_field("value", DoubleType()), _field("lo", DoubleType()), _field("hi", DoubleType())],
+    ),
     "ratio": (
         _ratio_row,
         [
@@ -186,6 +201,46 @@ def _attached(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("_facts", one).select("*", "_facts.*").drop("_facts")
 
 
+def _paths(filled: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _block, place, path) for blocks (by, _block, _units): the nodes from the root of the group's tree to each block.
+
+    A node is a run of blocks [lo, hi), split in the middle. Nodes are summed level by level and meet their blocks by their
+    borders, so a row holds as many nodes as the tree is deep.
+    """
+    placed = numbered(filled, by, ["_block"], "_place").withColumn("_place", F.col("_place") - 1)
+    counts = filled.groupBy(*by).agg(F.count(F.lit(1)).alias("_many"))
+    placed = _attached(placed, counts, by)
+    node = "struct<level:int,lo:bigint,hi:bigint>"
+
+    def deeper(way: Column, level: Column) -> Column:
+        last = F.element_at(way, -1)
+        middle = F.floor((last["lo"] + last["hi"]) / 2)
+        left = F.col("_place") < middle
+        below = F.struct(
+            level.cast("int").alias("level"),
+            F.when(left, last["lo"]).otherwise(middle).alias("lo"),
+            F.when(left, middle).otherwise(last["hi"]).alias("hi"),
+        )
+        return F.when(last["hi"] - last["lo"] > 1, F.array_append(way, below.cast(node))).otherwise(way)
+
+    root = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("lo"), F.col("_many").alias("hi")).cast(node))
+    depth = F.greatest(F.ceil(F.log2("_many")).cast("int"), F.lit(0)) + 1
+    way = F.aggregate(F.sequence(F.lit(1), depth), root, deeper)
+    steps = placed.select(*by, "_block", "_place", "_units", F.inline(way))
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2)
+    nodes = (
+        steps.where("hi - lo > 1")
+        .groupBy(*by, "lo", "hi")
+        .agg(F.sum(F.when(F.col("_place") < middle, F.col("_units")).otherwise(0)).alias("left"), F.sum("_units").alias("whole"))
+    )
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*by, "lo", "hi")]
+    met = steps.alias("s").join(nodes.alias("n"), reduce(and_, same), "left").select(
+        *[F.col(f"s.{c}") for c in (*by, "_block", "_place", "level", "lo", "hi")], "left", "whole", (F.col("s._place") < F.floor((F.col("s.lo") + F.col("s.hi")) / 2)).alias("goes_left")
+    )
+    entry = F.when(F.col("whole").isNotNull(), F.struct("level", "lo", "hi", "left", "whole", "goes_left"))
+    return met.groupBy(*by, "_block", F.col("_place").alias("place")).agg(F.array_sort(F.collect_list(entry)).alias("path"))
+
+
 def _resampled(
     cells: DataFrame, by: Sequence[str], kind: str, resamples: int, confidence: float, seed: int, block_cells: int
 ) -> DataFrame:
@@ -212,30 +267,30 @@ def _resampled(
         F.min(F.col("x").isin(0.0, 1.0)).alias("flags"),
     )
     filled = joined.groupBy(*by, "_block").agg(units.alias("_units"))
-    totals = filled.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", "_units"))).alias("_totals"))
-    totals = totals.select(*by, F.col("_totals._block").alias("_names"), F.col("_totals._units").alias("_sizes"))
-    group = (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_group")
-    dealt = _attached(joined.select(*by, "_block", "x", "size", "count", "_blocks"), totals, by).select(
-        *by, "_block", F.col("_blocks"), "x", "size", F.col("count").cast("long").alias("count"), "_names", "_sizes", group
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    blocks = _attached(_paths(filled, by), sized.select(*by, "_blocks", F.col("units").alias("total")), by).select(
+        *[F.col(c).alias(f"_of_{c}") for c in by], F.col("_block").alias("_own"), F.pmod("_block", F.ceil(F.sqrt("_blocks"))).alias("_lane"), "place", "path", "total", group.alias("group")
     )
-    lane = F.pmod("_block", F.ceil(F.sqrt("_blocks"))).alias("_lane")
+    dealt = joined.select(*by, "_block", "x", "size", F.col("count").cast("long").alias("count"))
     key_fields = [cells.schema[c] for c in by]
     sums_schema = StructType(
         key_fields + [_field("_lane", LongType()), _field("_top", BinaryType()), _field("_bottom", BinaryType())]
     )
 
-    def draw(cell: pd.DataFrame) -> pd.DataFrame:
-        first = cell.iloc[0]
+    def draw(cell: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        named, first = cell.iloc[0], block.iloc[0]
         if cell["x"].isna().any():
             raise ValueError("a paired test needs both values in every row")
         cell = cell.sort_values(["x", "size"])
         x, size, count = (cell[c].to_numpy(dtype=float) for c in ("x", "size", "count"))
-        names, sizes = np.asarray(first["_names"]), np.asarray(first["_sizes"])
-        place, own = int(np.searchsorted(names, first["_block"])), int(first["_group"])
-        drawn = _block_units(sizes, place, resamples, seed, own)
+        place, own = int(first["place"]), int(first["group"])
+        if kind == "poisson":
+            drawn = resamples
+        else:
+            drawn = _block_units(first["path"], int(first["total"]), resamples, seed, own)
         top, bottom = _block_sums(x, size, count, drawn, _generator(seed, own, 2, place))
         return pd.DataFrame(
-            [[*(first[c] for c in by), first["_lane"], top.tobytes(), bottom.tobytes()]],
+            [[*(named[c] for c in by), first["_lane"], top.tobytes(), bottom.tobytes()]],
             columns=[*by, "_lane", "_top", "_bottom"],
         )
 
@@ -254,7 +309,8 @@ def _resampled(
                 rows.append([row[c] for c in by] + finish(top[bottom > 0] / bottom[bottom > 0], facts, confidence))
             yield pd.DataFrame(rows, columns=by + [f.name for f in fields])
 
-    by_block = dealt.select("*", lane).groupBy(*by, "_block", "_lane").applyInPandas(draw, sums_schema)
+    of = [f"_of_{c}" for c in by]
+    by_block = dealt.groupBy(*by, "_block").cogroup(blocks.groupBy(*of, "_own")).applyInPandas(draw, sums_schema)
     by_lane = by_block.groupBy(*by, "_lane").applyInPandas(add, sums_schema)
     whole = by_lane.groupBy(*by).applyInPandas(add, sums_schema).drop("_lane")
     return _attached(whole, moments, by).mapInPandas(conclude, StructType(key_fields + fields))
@@ -346,33 +402,18 @@ def poisson_ci(
     unit: str,
     x: Column,
     size: Column,
-    resamples: int = 200,
+    resamples: int = RESAMPLES,
     confidence: float = 0.95,
     seed: int = 0,
+    block_cells: int = BLOCK_CELLS,
 ) -> DataFrame:
-    """Percentile interval of sum(x) / sum(size) with Poisson(1) weights hashed from the unit.
+    """Percentile interval of sum(x) / sum(size) when each unit counts Poisson(1) times.
 
-    Every engine that has MD5 can reproduce it. Rows are added up per unit before weights are drawn, and
-    the map side adds up per group and replicate, so the shuffle carries groups x resamples rows.
+    Rows are added up per unit, and units with equal sums are one cell, whose weight is one Poisson draw with their
+    count as mean. Draws of different cells do not depend on each other, so blocks need no tree.
     """
     by = list(by)
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
-    named = units.select(*by, F.col(unit).alias("_unit"), x.alias("_x"), size.alias("_size"))
-    summed = named.groupBy(*by, "_unit").agg(F.sum("_x").alias("_x"), F.sum("_size").alias("_size"))
-    drawn = summed.select(*by, "_unit", "_x", "_size", replicate)
-    weight = poisson_one(uniform(F.col("_unit"), F.col("_b"), seed))
-    sums = drawn.groupBy(*by, "_b").agg(
-        F.sum(weight * F.col("_x")).alias("_wx"),
-        F.sum(weight * F.col("_size")).alias("_w"),
-        F.sum("_x").alias("_sx"),
-        F.sum("_size").alias("_ss"),
-    )
-    tail = (1 - confidence) / 2
-    ratio = F.when(F.col("_w") > 0, F.col("_wx") / F.col("_w"))
-    return sums.groupBy(*by).agg(
-        (F.first("_sx") / F.first("_ss")).alias("value"),
-        F.percentile(ratio, F.lit(tail)).alias("lo"),
-        F.percentile(ratio, F.lit(1 - tail)).alias("hi"),
-    )
-
-
+    named = units.select(*by, F.col(unit).alias("_unit"), x.cast("double").alias("x"), size.cast("double").alias("size"))
+    summed = named.groupBy(*by, "_unit").agg(F.sum("x").alias("x"), F.sum("size").alias("size"))
+    cells = summed.groupBy(*by, "x", "size").agg(F.count(F.lit(1)).alias("count"))
+    return _resampled(cells, by, "poisson", resamples, confidence, seed, block_cells)

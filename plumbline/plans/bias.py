@@ -517,9 +517,12 @@ n as (select source_id, judge, degradation, severity,
   count(*) filter (correct_ref_first = 1 and correct_deg_first = 0) as b,
   count(*) filter (correct_deg_first = 1 and correct_ref_first = 0) as c
   from outcomes group by 1, 2, 3, 4),
-p as (select *, case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(
+z as (select *, sqrt(case when b + c >= 25 then (abs(b - c) - 1) ** 2 / (b + c) else 0 end / 2) as z from n),
+p as (select *, case when b + c = 0 then 1 when z > 6 then 0
+    when b + c >= 25 then 1 - 2 / sqrt(pi()) * {SIMPSON}
+    else least(1, 2 * list_sum(list_transform(
       range(0, least(b, c) + 1), lambda k: gamma(b + c + 1) / gamma(k + 1) / gamma(b + c - k + 1)))
-      / 2 ** (b + c)) end as p from n where b + c < 25),
+      / 2 ** (b + c)) end as p from z),
 r as (select *, row_number() over (partition by judge order by p, source_id, degradation, severity)
   as rk, count(*) over (partition by judge) as m from p),
 adj as (select *, least(1, max((m - rk + 1) * p) over (partition by judge
@@ -527,7 +530,7 @@ adj as (select *, least(1, max((m - rk + 1) * p) over (partition by judge
 
 
 def _all_tests(t: Inputs) -> DataFrame:
-    """Holm over every McNemar test of a judge. The SQL knows the exact ones only: it differs where b + c >= 25."""
+    """Holm over every McNemar test of a judge."""
     keys = ["source_id", "judge", "degradation", "severity"]
     tested = agreement.mcnemar(outcomes(t), keys, "correct_ref_first", "correct_deg_first")
     return agreement.holm(tested, ["judge"], "p_value", ["source_id", "degradation", "severity"])

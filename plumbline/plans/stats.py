@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.draws import POISSON_CDF
 from plumbline.functions.intervals import wilson
 from plumbline.operators import (
     ablation,
@@ -66,77 +67,87 @@ def _(t: Inputs) -> DataFrame:
     return bootstrap.cluster_ci(outcomes(t), ["judge"], "source_id", "correct_swapped", RESAMPLES)
 
 
-def sql_poisson(unit: str, seed: int) -> str:
-    u = f"(('0x' || substr(md5({unit} || '|' || b || '|{seed}'), 1, 8))::bigint / 4294967296::double)"
-    return " + ".join(f"({u} >= {c!r}::double)::int" for c in POISSON_CDF)
+@query("poisson_cluster_interval")
+def _(t: Inputs) -> DataFrame:
+    return bootstrap.poisson_ci(outcomes(t), ["judge"], "source_id", F.col("correct_swapped"), F.lit(1.0), seed=7)
 
 
-@query(
-    "poisson_cluster_interval",
-    f"""with {OUTCOMES_SQL},
-c as (select judge, source_id, sum(correct_swapped)::double as x, count(*)::double as size
-  from outcomes group by 1, 2),
-d as (select *, {sql_poisson("source_id", 7)} as w from (select *, unnest(range(0, 400)) as b from c)),
-s as (select judge, b, sum(w * x) / nullif(sum(w * size), 0) as r, sum(x) / sum(size) as v
-  from d group by 1, 2)
-select judge, round(any_value(v), 6) as value, round(quantile_cont(r, 0.025), 6) as lo,
-  round(quantile_cont(r, 0.975), 6) as hi from s group by judge""",
-    "pair_raw",
-)
+@query("poisson_mean_interval")
 def _(t: Inputs) -> DataFrame:
-    clusters = outcomes(t).groupBy("judge", "source_id").agg(
-        F.sum("correct_swapped").cast("double").alias("x"),
-        F.count(F.lit(1)).cast("double").alias("size"),
-    )
-    return rounded(
-        bootstrap.poisson_ci(
-            clusters, ["judge"], "source_id", F.col("x"), F.col("size"), resamples=400, seed=7
-        )
-    )
+    flipped = F.when(F.col("consistent"), 0.0).otherwise(1.0)
+    return bootstrap.poisson_ci(outcomes(t), ["judge"], "uid", flipped, F.lit(1.0), seed=11)
 
 
-@query(
-    "poisson_mean_interval",
-    f"""with {OUTCOMES_SQL},
-d as (select *, {sql_poisson("uid", 11)} as w
-  from (select judge, uid, consistent, unnest(range(0, 60)) as b from outcomes)),
-s as (select judge, b, sum(w * (not consistent)::int)::double / nullif(sum(w), 0) as r,
-  avg((not consistent)::int) as v from d group by 1, 2)
-select judge, round(any_value(v), 6) as value, round(quantile_cont(r, 0.025), 6) as lo,
-  round(quantile_cont(r, 0.975), 6) as hi from s group by judge""",
-    "pair_raw",
-)
+@query("poisson_paired_interval")
 def _(t: Inputs) -> DataFrame:
-    return rounded(
-        bootstrap.poisson_ci(
-            outcomes(t),
-            ["judge"],
-            "uid",
-            F.when(F.col("consistent"), 0.0).otherwise(1.0),
-            F.lit(1.0),
-            resamples=60,
-            seed=11,
-        )
-    )
+    difference = F.col("correct_swapped") - F.col("correct_ref_first")
+    return bootstrap.poisson_ci(outcomes(t), ["judge"], "uid", difference, F.lit(1.0), seed=13)
+
+
+def _estimate_sql(kind: str, x: str, source: str, unit: str = "uid", size: str = "1") -> str:
+    """Value, n and normal-theory standard error of a ratio of totals over resampled units."""
+    return f"""select '{kind}' as kind, judge, value, n, sqrt(sum((x - value * size) ** 2)) / n as error
+  from (select judge, sum({x})::double as x, sum({size})::double as size from {source} group by judge, {unit}) u
+  join (select judge, (sum({x}) / sum({size}))::double as value, sum({size})::bigint as n from {source} group by judge) v using (judge)
+  group by judge, value, n"""
+
+
+ESTIMATES_SQL = " union all ".join(
+    [
+        _estimate_sql("mean", "latency_ms", "(select *, row_number() over () as uid from fx_judgments where latency_ms is not null)"),
+        _estimate_sql("paired", "(correct_swapped - correct_single_random)", "outcomes"),
+        _estimate_sql("cluster", "correct_swapped", "outcomes", "source_id"),
+        _estimate_sql("poisson mean", "(not consistent)::int", "outcomes"),
+        _estimate_sql("poisson cluster", "correct_swapped", "outcomes", "source_id"),
+    ]
+)
 
 
 @query(
-    "poisson_paired_interval",
-    f"""with {OUTCOMES_SQL},
-d as (select *, {sql_poisson("uid", 13)} as w from (select judge, uid,
-  correct_swapped - correct_ref_first as x, unnest(range(0, 60)) as b from outcomes)),
-s as (select judge, b, sum(w * x)::double / nullif(sum(w), 0) as r, avg(x) as v from d group by 1, 2)
-select judge, round(any_value(v), 6) as value, round(quantile_cont(r, 0.025), 6) as lo,
-  round(quantile_cont(r, 0.975), 6) as hi from s group by judge""",
-    "pair_raw",
+    "bootstrap_estimates",
+    f"""with {OUTCOMES_SQL}, e as ({ESTIMATES_SQL})
+select kind, judge, round(value, 6) as value, n, true as inside, error > 0 as spread from e""",
+    "pair_raw judgments",
 )
 def _(t: Inputs) -> DataFrame:
-    difference = (F.col("correct_swapped") - F.col("correct_ref_first")).cast("double")
-    return rounded(
-        bootstrap.poisson_ci(
-            outcomes(t), ["judge"], "uid", difference, F.lit(1.0), resamples=60, seed=13
+    """Every interval method beside what theory says: is the value inside, and is the width that of 1.96 standard errors
+    on each side, within three tenths?"""
+    pairs, judged = outcomes(t), t.view("judgments").where(F.col("latency_ms").isNotNull())
+    flipped = F.when(F.col("consistent"), 0.0).otherwise(1.0)
+    one = F.lit(1.0)
+    sources = {
+        "mean": (judged, F.monotonically_increasing_id(), F.col("latency_ms")),
+        "paired": (pairs, F.col("uid"), F.col("correct_swapped") - F.col("correct_single_random")),
+        "cluster": (pairs, F.col("source_id"), F.col("correct_swapped")),
+        "poisson mean": (pairs, F.col("uid"), flipped),
+        "poisson cluster": (pairs, F.col("source_id"), F.col("correct_swapped")),
+    }
+    found = {
+        "mean": bootstrap.bootstrap_ci(judged, ["judge"], "latency_ms"),
+        "paired": bootstrap.paired_diff(pairs, ["judge"], "correct_swapped", "correct_single_random").withColumnRenamed("diff", "value"),
+        "cluster": bootstrap.cluster_ci(pairs, ["judge"], "source_id", "correct_swapped"),
+        "poisson mean": bootstrap.poisson_ci(pairs, ["judge"], "uid", flipped, one, seed=11),
+        "poisson cluster": bootstrap.poisson_ci(pairs, ["judge"], "source_id", F.col("correct_swapped"), one, seed=7),
+    }
+    parts = []
+    for kind, (rows, unit, x) in sources.items():
+        sums = rows.groupBy("judge", unit.alias("unit")).agg(F.sum(x.cast("double")).alias("x"), F.count(F.lit(1)).alias("size"))
+        whole = rows.groupBy("judge").agg(F.avg(x.cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
+        spread = F.sqrt(F.sum((F.col("x") - F.col("v") * F.col("size")) ** 2)) / F.first("n")
+        error = sums.join(whole, "judge").groupBy("judge", "n").agg(spread.alias("error"))
+        drawn = found[kind].select("judge", "value", "lo", "hi").join(error, "judge")
+        width = (F.col("hi") - F.col("lo")) / (2 * 1.959964 * F.col("error"))
+        parts.append(
+            drawn.select(
+                F.lit(kind).alias("kind"),
+                "judge",
+                "value",
+                "n",
+                F.col("value").between(F.col("lo"), F.col("hi")).alias("inside"),
+                F.when(F.col("error") > 0, width.between(0.7, 1.3)).otherwise(F.col("hi") > F.col("lo")).alias("spread"),
+            )
         )
-    )
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @query(

@@ -144,23 +144,49 @@ def test_bootstrap_is_one_method_whatever_the_number_of_cells(spark):
     assert {r.g: r.n_rows for r in clusters} == {"a": 400, "b": 400, "c": 5}
 
 
-def test_blocks_of_a_replicate_add_up():
+def test_blocks_of_a_replicate_add_up(spark):
     import numpy as np
 
-    from plumbline.operators.bootstrap import _block_units
+    from plumbline.operators.bootstrap import _block_units, _paths
 
-    totals = np.array([5, 0, 17, 3, 100, 1, 1])
-    parts = np.array([_block_units(totals, b, 2000, 3, 9) for b in range(len(totals))])
-    assert (parts.sum(axis=0) == totals.sum()).all() and (parts[1] == 0).all()
-    assert np.allclose(parts.mean(axis=1), totals, atol=0.5)
+    totals = {None: [9], "a": [5, 0, 17, 3, 100, 1, 1], "b": [4, 4]}
+    rows = [(g, 3 * i + 2, n) for g, blocks in totals.items() for i, n in enumerate(blocks)]  # block numbers with holes
+    paths = _paths(spark.createDataFrame(rows[1:], "g string, _block long, _units long"), ["g"]).collect()
+    assert len(paths) == 9 and all(len(r.path) <= 3 for r in paths)
+    for g in ("a", "b"):
+        own = sorted((r for r in paths if r.g == g), key=lambda r: r.place)
+        assert [r._block for r in own] == [3 * i + 2 for i in range(len(own))]
+        assert own[0].path[0].whole == sum(totals[g]) and own[0].path[0].hi == len(own)
+        parts = np.array([_block_units(r.path, sum(totals[g]), 2000, 3, 9) for r in own])
+        assert (parts.sum(axis=0) == sum(totals[g])).all()
+        assert np.allclose(parts.mean(axis=1), totals[g], atol=0.5)
 
 
-def test_folds_always_exist(spark):
-    from pyspark.ml.linalg import Vectors
+def test_poisson_interval_counts_units(spark):
+    import numpy as np
+
+    from plumbline.operators.bootstrap import poisson_ci
 
+    rng = np.random.default_rng(8)
+    values = rng.normal(3, 1, 500).round(1)
+    rows = [("g", i, float(v)) for i, v in enumerate(values)] + [("g", i, 0.5) for i in range(100)] + [("one", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, u int, v double")
+    sums = values + np.where(np.arange(500) < 100, 0.5, 0.0)
+    sizes = np.where(np.arange(500) < 100, 2.0, 1.0)
+    weights = rng.poisson(1, (4000, 500))
+    want = np.quantile(weights @ sums / (weights @ sizes), [0.025, 0.975])
+    for cells in (4096, 7):
+        out = {r.g: r for r in poisson_ci(df, ["g"], "u", F.col("v"), F.lit(1), 4000, block_cells=cells).collect()}
+        assert abs(out["g"].value - sums.sum() / sizes.sum()) < 1e-9
+        assert abs(out["g"].lo - want[0]) < 0.03 and abs(out["g"].hi - want[1]) < 0.03
+        assert out["one"].value == out["one"].lo == out["one"].hi == 2.0
+
+
+def test_folds_always_exist(spark):
     from plumbline.operators.student import fit_student
 
     rng = random.Random(3)
-    rows = [(Vectors.dense([rng.random() + y, rng.random()]), y, f"g{k}") for k in range(7) for y in (0, 1) for _ in range(4)]
-    student = fit_student(spark.createDataFrame(rows, ["features", "teacher_label", "item_group"]), max_iter=20)
-    assert len(student.classifiers) == len(student.calibrators) == 5
+    rows = [(([0, 1], [rng.random() + y, rng.random()]), y, f"g{k}") for k in range(7) for y in (0, 1) for _ in range(4)]
+    schema = "features struct<indices:array<int>,values:array<double>>, teacher_label int, item_group string"
+    student = fit_student(spark.createDataFrame(rows, schema), size=2)
+    assert student.weights.shape == (3, 5) and len(student.calibrators) == 5
