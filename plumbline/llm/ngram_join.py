@@ -3,12 +3,13 @@
 Only components are computed, not all links: a pair is verified only while its documents are in different
 components, so most links inside a group are never looked at, and none are returned.
 
-A document's set holds its distinct runs of five words as 58-bit tokens. All sets share one global
-order of tokens: rare before frequent, then by value. The order comes from a fixed-size table of counts
-over all shingles of all documents; it only steers cost, any order gives the same components.
+A document's set holds its distinct runs of five words as 58-bit tokens. Sets that are similar enough share a token
+among the first ``n - ceil(t n) + 1`` of each, the prefix, in one global order, so prefix tokens decide which sets
+meet. The order is rare before frequent: how many sets hold a token is counted over all tokens, by a shuffle of sorted and
+difference-coded slots that go to the counts of their slice and come back to their block (``shared_prefixes``). A token that only one set holds meets
+nothing; a set with enough of them has no prefix to offer and is done.
 
-Sets that are similar enough share a token among the first ``n - ceil(t n) + 1`` of each, the prefix, so
-prefix tokens decide which sets meet. Where sets meet, they are compared by a prefix-tree join: the
+Where sets meet, they are compared by a prefix-tree join: the
 ordered sets form a tree in which equal beginnings are one path, a set walks down the tree, overlaps
 are counted once per shared path, and subtrees are left as soon as the lengths that remain cannot
 reach the overlap needed.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,20 +36,19 @@ from pyspark.sql.window import Window
 from plumbline.llm.common import ROW, field, null_safe, packed, stored, text_or_empty, unpacked
 from plumbline.llm.components import components
 from plumbline.llm.hashing import TOKEN_BITS, WordHasher, draws, mix, text_slices
-from plumbline.llm.streams import binary, bounds, int_lists, whole_groups
+from plumbline.llm.streams import binary, bounds, whole_groups
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-SKETCH_BITS = 22  # counters of the shared frequency table: 2^22, whatever the input
-SLICE = 1 << 12
-FILTER_BITS = 24  # bits of the token filter: 2^24, two megabytes, whatever the input
-TEXT_BUCKETS = 1 << 20  # rows of the broadcast text filter at most
+TEXT_BUCKETS = 1 << 20  # rows of the broadcast text filter at most; for more texts than a quarter of it a join takes over
 STAR_TOKENS = 8
 BLOCK = 512  # sets of one meeting that are compared in one place
 TREE_SETS = 64  # sets in one tree
 PAIRS_AT_ONCE = 1 << 20
-BORDERS = 16
-NOTE_SIGNATURE = 32  # bytes of a signature that travels with every prefix token at most
+NOTE_BYTES = 64  # of a signature that travels with a token
+SLICE_TOKENS = 1 << 22  # tokens counted in one place
+BLOCK_TOKENS = 1 << 21  # tokens of a task that are sent together
+BLOCK_SETS = 1 << 16
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -55,58 +56,10 @@ def needed(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray
     return -(-(n + m) * percent // (100 + percent))
 
 
-def frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """How frequent a token is, by its first bits: 0 for ordinary, one more for each doubling.
-
-    Every shingle of every text is counted in 2^22 counters per task; the counters are summed in slices
-    by Spark, and the fixed-size sum comes to the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = WordHasher(), np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
-                tokens, _ = hasher.shingles(data, offsets, width)
-                np.add.at(total, tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS), 1)
-        parts = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, SLICE)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["slice", "counts"]
-        )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, part in enumerate(batch.column(0).to_pylist()):
-                counts = np.frombuffer(binary(batch.column(1), i), "<u2")
-                sums[part] = sums[part] + counts if part in sums else counts.astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
-            ["slice", "counts"],
-        )
-
-    schema = "slice int, counts binary"
-    sums = texts.mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema)
-    total = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for row in sums.toLocalIterator():
-        total[row["slice"]] += np.frombuffer(row["counts"], np.int64)
-    total = total.reshape(-1)
-    ordinary = max(32, 2 * int(total.mean()))
-    levels = np.floor(np.log2(np.maximum(total, 1) / ordinary)) + 1
-    return np.clip(levels, 0, 31).astype(np.uint8)
-
-
-def _ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Tokens with their level in front, so that sorting gives the global order."""
-    level = levels[tokens >> np.uint64(TOKEN_BITS - SKETCH_BITS)].astype(np.uint64)
-    return (level << np.uint64(TOKEN_BITS)) | tokens
-
-
-def _sets(column: pa.Array, hasher: WordHasher, levels: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its distinct tokens in the global order) for every text with words."""
+def _sets(column: pa.Array, hasher: WordHasher, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct tokens, ascending) for every text with words."""
     for first, data, offsets in text_slices(column):
         tokens, owner = hasher.shingles(data, offsets, width)
-        tokens = _ordered(tokens, levels)
         at = bounds(owner)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             if hi > lo:
@@ -117,7 +70,6 @@ def _sets(column: pa.Array, hasher: WordHasher, levels: np.ndarray, width: int)
 
 
 _SALT = draws(3, 1)[0]
-_VALUE = np.uint64((1 << TOKEN_BITS) - 1)
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -135,15 +87,8 @@ def _signature(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount(tokens & np.uint64(places - 1), minlength=places) & 1 > 0).tobytes()
 
 
-def _profile(tokens: np.ndarray, prefix: int) -> bytes:
-    """How many ordinary tokens lie below each of sixteen fixed borders, and how many borders the prefix passes."""
-    below = np.searchsorted(tokens, np.arange(1, BORDERS + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - 6))
-    passed = min(BORDERS, int(tokens[prefix - 1] >> np.uint64(TOKEN_BITS - 6)))
-    return np.minimum(np.r_[0, below, passed], 0xFFFF).astype("<u2").tobytes()
-
-
-def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """Per text: n, class, and once per class and task its prefix, profile, signature and smallest tokens by value."""
+def _described(texts: DataFrame, width: int) -> DataFrame:
+    """Per text: n, class, and once per class and task its signature, a short form of it, and its smallest tokens."""
     kinds = dict(texts.dtypes)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,57 +96,193 @@ def _described(texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
         for batch in batches:
             rows = batch.num_rows
             sizes, names = [0] * rows, [None] * rows
-            prefixes, profiles, signs, smallest = ([None] * rows for _ in range(4))
-            for row, one in _sets(batch.column("norm"), hasher, levels.value, width):
-                name, n = _class(one), len(one)
-                sizes[row], names[row] = n, name
+            signs, notes, smallest = ([None] * rows for _ in range(3))
+            for row, one in _sets(batch.column("norm"), hasher, width):
+                name = _class(one)
+                sizes[row], names[row] = len(one), name
                 if name in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                end = n - -(-percent * n // 100) + 1
-                prefixes[row] = one[:end].astype(np.int64)
                 signs[row] = _signature(one)
-                profiles[row] = _profile(one, end)
-                if len(signs[row]) <= NOTE_SIGNATURE:
-                    profiles[row] += signs[row]
-                smallest[row] = np.sort(one & _VALUE)[:STAR_TOKENS].astype(np.int64)
+                notes[row] = _folded(np.frombuffer(signs[row], np.uint8)[None], NOTE_BYTES).tobytes()
+                smallest[row] = one[:STAR_TOKENS].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k_id"),
                     batch.column("k_text"),
                     pa.array(sizes, pa.int64()),
                     pa.array(names, pa.int64()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array(profiles, pa.binary()),
                     pa.array(signs, pa.binary()),
+                    pa.array(notes, pa.binary()),
                     pa.array(smallest, pa.list_(pa.int64())),
                 ],
-                ["k_id", "k_text", "n", "class", "prefix", "profile", "sign", "smallest"],
+                ["k_id", "k_text", "n", "class", "sign", "note", "smallest"],
             )
 
     return texts.mapInArrow(
         describe,
-        f"k_id {kinds['k_id']}, k_text bigint, n bigint, class bigint, prefix array<bigint>, profile binary, "
-        "sign binary, smallest array<bigint>",
+        f"k_id {kinds['k_id']}, k_text bigint, n bigint, class bigint, sign binary, note binary, smallest array<bigint>",
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, with a text of each) that are linked, by a prefix-tree join around each b."""
-    # which texts to read again is told by a filter of bounded size; one text per class is enough
-    chosen = pairs.select(F.explode(F.array("a_text", "b_text")).alias("k_text"))
-    buckets = chosen.select(F.pmod("k_text", F.lit(TEXT_BUCKETS)).alias("bucket")).distinct()
-    again = texts.withColumn("bucket", F.pmod("k_text", F.lit(TEXT_BUCKETS))).join(
-        F.broadcast(buckets), "bucket", "left_semi"
+def _packed_slots(slots: np.ndarray, owners: np.ndarray) -> bytes:
+    """Ascending slots as differences, byte by byte (the upper bytes are mostly zero and compress away), and their owners."""
+    steps = np.diff(slots, prepend=np.uint64(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + owners.astype("<u2").tobytes()
+
+
+def _unpacked_slots(data: memoryview, tail: int = 0) -> tuple[np.ndarray, ...]:
+    """Slots, owners and, with a ``tail`` of 1, a byte each."""
+    count = len(data) // (6 + tail)
+    steps = np.frombuffer(data, np.uint8, 4 * count).reshape(4, -1).T.copy().view("<u4").ravel()
+    owners = np.frombuffer(data, "<u2", count, 4 * count)
+    more = (np.frombuffer(data, np.uint8, count, 6 * count),) if tail else ()
+    return np.cumsum(steps.astype(np.uint64)), owners, *more
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """How often, in a byte: exact to 200, one more for each doubling beyond."""
+    return np.where(count <= 200, count, 200 + np.floor(np.log2(np.maximum(count, 1) / 200.0))).clip(0, 255).astype(np.uint8)
+
+
+def shared_prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(class, n, first, prefix): the tokens of each set's prefix that other sets hold too, rare before frequent.
+
+    ``first`` is how many tokens of the set come before them, as nothing else holds these. Sets whose prefix is all their own
+    have no row. A class has a row per task that met it. Tokens are cut to so many bits that few of them meet by chance, whatever the
+    number of tokens; a chance meeting costs a comparison, not a wrong link.
+    """
+    chars = texts.agg(F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()[0]
+    bits = max(1, int(chars // 4).bit_length())  # about as many tokens or more
+    slot_bits = min(TOKEN_BITS, bits + 6)
+    slice_bits = max(0, bits - SLICE_TOKENS.bit_length() + 1)
+    drop, inside = np.uint64(TOKEN_BITS - slot_bits), np.uint64(slot_bits - slice_bits)
+    slices = 1 << slice_bits
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen, number = WordHasher(), set(), TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        names: list[int] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            sizes = np.array([len(h) for h in held])
+            slots = np.concatenate(held) >> drop
+            owners = np.repeat(np.arange(len(held)), sizes)
+            order = np.argsort(slots, kind="stable")
+            slots, owners = slots[order], owners[order]
+            cuts = np.searchsorted(slots, np.arange(slices + 1, dtype=np.uint64) << inside)
+            known = np.array(names, "<i8").tobytes() + sizes.astype("<i4").tobytes()
+            rows = [(number % slices, number, True, known)]
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                run = slice(cuts[part], cuts[part + 1])
+                rows.append((part, number, False, _packed_slots(slots[run] - (np.uint64(part) << inside), owners[run])))
+            held.clear()
+            names.clear()
+            types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["slice", "block", "named", "data"])
+
+        for batch in batches:
+            for _, one in _sets(batch.column(0), hasher, width):
+                name = _class(one)
+                if name in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(name)
+                held.append(one)
+                names.append(name)
+                size += len(one)
+                if size >= BLOCK_TOKENS or len(held) == BLOCK_SETS:
+                    yield block()
+                    number, size = number + 1, 0
+        if held:
+            yield block()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["slice"]):
+            parts = group.column("slice").to_numpy()
+            for lo, hi in zip((at := bounds(parts))[:-1], at[1:], strict=True):
+                told = group.column("named").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                blocks = group.column("block").to_numpy()[lo:hi]
+                known = np.flatnonzero(told)
+                lists = [_unpacked_slots(binary(group.column("data"), lo + i)) for i in np.flatnonzero(~told)]
+                of = np.repeat(blocks[~told], [len(x[0]) for x in lists])
+                names, data = blocks[known].tolist(), [bytes(binary(group.column("data"), lo + i)) for i in known]
+                flags = [True] * len(names)
+                if lists:
+                    slots, owners = (np.concatenate([x[k] for x in lists]) for k in range(2))
+                    order = np.argsort(slots, kind="stable")
+                    slots, owners, of = slots[order], owners[order], of[order]
+                    starts = bounds(slots)
+                    many = np.diff(starts)
+                    level = np.repeat(_level(many), many)
+                    shared = np.repeat(many > 1, many)
+                    slots, owners, of, level = slots[shared], owners[shared], of[shared], level[shared]
+                    order = np.argsort(of, kind="stable")  # slots stay ascending inside a block
+                    slots, owners, of, level = slots[order], owners[order], of[order], level[order]
+                    front = np.uint64(parts[lo]) << inside
+                    for a, b in zip((cut := bounds(of))[:-1], cut[1:], strict=True):
+                        names.append(int(of[a]))
+                        data.append(int(front).to_bytes(8, "little") + _packed_slots(slots[a:b], owners[a:b]) + level[a:b].tobytes())
+                        flags.append(False)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(flags, pa.bool_()), pa.array(data, pa.binary())], ["block", "named", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["block"]):
+            told = group.column("named").to_numpy(zero_copy_only=False)
+            for lo, hi in zip((at := bounds(group.column("block").to_numpy()))[:-1], at[1:], strict=True):
+                known = binary(group.column("data"), lo + int(np.flatnonzero(told[lo:hi])[0]))
+                sets = len(known) // 12
+                names, sizes = np.frombuffer(known, "<i8", sets), np.frombuffer(known, "<i4", sets, 8 * sets).astype(np.int64)
+                found = []
+                for i in (lo + np.flatnonzero(~told[lo:hi])).tolist():
+                    data = binary(group.column("data"), i)
+                    slots, owners, level = _unpacked_slots(data[8:], 1)
+                    found.append((slots + np.uint64(int.from_bytes(data[:8], "little")), owners, level))
+                if not found:
+                    continue
+                slots, owners, level = (np.concatenate([f[k] for f in found]) for k in range(3))
+                order = np.lexsort((slots, level, owners))
+                slots, owners = slots[order].astype(np.int64), owners[order]
+                own = sizes - np.bincount(owners, minlength=sets)
+                wanted = sizes - -(-percent * sizes // 100) + 1 - own  # shared tokens of the prefix
+                rank = np.arange(len(owners)) - np.searchsorted(owners, owners)
+                keep = rank < wanted[owners]
+                counts = np.bincount(owners[keep], minlength=sets)
+                rows = np.flatnonzero(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts[rows])].astype(np.int32)), pa.array(slots[keep]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[rows]), pa.array(sizes[rows]), pa.array(own[rows]), lists], ["class", "n", "first", "prefix"]
+                )
+
+    asked = texts.select("norm").mapInArrow(ask, "slice int, block bigint, named boolean, data binary")
+    counted = asked.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(count, "block bigint, named boolean, data binary")
+    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(
+        answer, "class bigint, n bigint, first bigint, prefix array<bigint>"
     )
 
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, with a text of each) that are linked, by a prefix-tree join around each b."""
+    # one text per class is read again; which ones is told by a filter of bounded size, or by a join where it would pass most
+    chosen = pairs.select(F.explode(F.array("a_text", "b_text")).alias("k_text")).distinct()
+    if 4 * chosen.count() <= TEXT_BUCKETS:
+        buckets = chosen.select(F.pmod("k_text", F.lit(TEXT_BUCKETS)).alias("bucket")).distinct()
+        again = texts.withColumn("bucket", F.pmod("k_text", F.lit(TEXT_BUCKETS))).join(
+            F.broadcast(buckets), "bucket", "left_semi"
+        )
+    else:
+        again = texts.join(chosen, "k_text", "left_semi")
+
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         for batch in batches:
             names, values = [], []
-            for _, one in _sets(batch.column("norm"), hasher, levels.value, width):
+            for _, one in _sets(batch.column("norm"), hasher, width):
                 name = _class(one)
                 if name not in seen:
                     if len(seen) > 500_000:
@@ -343,53 +424,27 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(possible, "a bigint, b bigint, a_text bigint, b_text bigint")
 
 
-def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) -> DataFrame:
-    """Pairs from different components that share one of the named tokens and that no bound rules out.
+def _crossing(sets: DataFrame, notes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs from different components that share one of the tokens of ``sets`` and that no bound rules out.
 
-    ``classes`` has (class, n, comp, note) and the array column ``tokens``. With ``best_only``, ``note`` is the
-    signature and each meeting gives a class only its closest partner; else it is the profile.
+    ``sets`` has (class, n, comp, first, tokens): the tokens, in the global order, from place ``first`` of the set on. ``notes`` has
+    the short signature (note) of each class. With ``best_only``, each meeting gives a class only its closest partner.
+
+    Only tokens of several components go on, told exactly by their counts.
     """
-    spark = classes.sparkSession
-    by_comp = classes.select(F.explode(tokens).alias("token"), "comp").groupBy("token", "comp").agg(
-        F.count(F.lit(1)).alias("sets")
-    )
+    tokens = sets.select("class", "n", "comp", "first", F.posexplode("tokens").alias("at", "token"))
+    tokens = tokens.select("token", (F.col("first") + F.col("at")).cast("int").alias("position"), "class", "comp", F.col("n").cast("int"))
+    by_comp = tokens.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("sets"))
     met = (
         by_comp.groupBy("token")
         .agg(F.max(F.struct("sets", "comp")).alias("top"), F.sum("sets").alias("sets"), F.count(F.lit(1)).alias("comps"))
         .where("comps > 1")
         .select("token", F.col("top.comp").alias("top"), F.col("top.sets").alias("top_sets"), "sets")
     )
+    # written before the join, which then can split a token that very many sets share
     met = stored(met, "crossing-tokens")
-    bit = F.expr(f"shiftleft(1L, cast(pmod(token, {1 << FILTER_BITS}) % 64 as int))")
-    words = (
-        met.select(F.shiftright(F.pmod("token", F.lit(1 << FILTER_BITS)), 6).alias("word"), bit.alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.toLocalIterator():  # at most 2^18 rows
-        table[row["word"]] = row["bits"]
-    passes = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, at = int_lists(batch.column("tokens"))
-            hit = passes.value[values & ((1 << FILTER_BITS) - 1)]
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            kept, position = owner[hit], (np.arange(len(values)) - at[owner])[hit]
-            ends = np.searchsorted(kept, np.arange(batch.num_rows), "right")
-            ahead = ends[kept] - np.arange(len(kept))  # tokens that can be shared, from this one on
-            for lo in range(0, len(kept), 8192):
-                rows = pa.array(kept[lo : lo + 8192])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[hit][lo : lo + 8192]), pa.array(position[lo : lo + 8192], pa.int32()), pa.array(ahead[lo : lo + 8192], pa.int32())]
-                    + [batch.column(c).take(rows) for c in ("class", "comp", "n", "note")],
-                    ["token", "position", "ahead", "class", "comp", "n", "note"],
-                )
-
-    postings = classes.select(F.col(tokens).alias("tokens"), "class", "comp", F.col("n").cast("int"), "note").mapInArrow(
-        post, "token bigint, position int, ahead int, class bigint, comp bigint, n int, note binary"
-    )
+    postings = stored(tokens.join(met, "token"), "crossing-postings")
+    noted = postings.join(notes.select("class", "note").dropDuplicates(["class"]), "class")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ["token", "i", "j"]):
@@ -397,7 +452,7 @@ def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
     return (
-        _dealt(postings, met)
+        _dealt(noted)
         .repartition("token", "i", "j")
         .sortWithinPartitions("token", "i", "j", "comp")
         .mapInArrow(meet, "a bigint, b bigint")
@@ -405,51 +460,44 @@ def _crossing(classes: DataFrame, tokens: str, percent: int, best_only: bool) ->
     )
 
 
-def _dealt(postings: DataFrame, met: DataFrame) -> DataFrame:
+def _dealt(postings: DataFrame) -> DataFrame:
     """Postings with their meetings (token, i, j); most tokens are one meeting.
 
     A token with very many sets is met in blocks. Its largest component is never met with itself: a block
     of it (j) only meets the blocks of the other sets (i < 0), and those meet each other (0 <= i <= j).
     ``side`` tells which rows of a meeting of two blocks belong together.
     """
-    large = met.where(F.col("sets") > BLOCK).select(
-        "token",
-        "top",
-        F.ceil(F.col("top_sets") / BLOCK).alias("top_blocks"),
-        F.ceil((F.col("sets") - F.col("top_sets")) / BLOCK).alias("blocks"),
-    )
-    # written, so that its size is known before the join: mostly it is empty and the postings stay put
-    large = stored(large, "large-tokens")
+    top_blocks = F.ceil(F.col("top_sets") / BLOCK)
+    rest_blocks = F.ceil((F.col("sets") - F.col("top_sets")) / BLOCK)
     one = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("side"))
     draw = F.xxhash64("class")
-    top_block, block = F.pmod(draw, F.col("top_blocks")), F.pmod(draw, F.col("blocks"))
+    top_block, block = F.pmod(draw, top_blocks), F.pmod(draw, rest_blocks)
 
     def blocks(count: Column) -> Column:
         return F.sequence(F.lit(0).cast("long"), count - 1)
 
     of_top = F.transform(
-        blocks(F.col("blocks")), lambda r: F.struct((-1 - r).alias("i"), top_block.alias("j"), F.lit(-1).cast("long").alias("side"))
+        blocks(rest_blocks), lambda r: F.struct((-1 - r).alias("i"), top_block.alias("j"), F.lit(-1).cast("long").alias("side"))
     )
     with_top = F.transform(
-        blocks(F.col("top_blocks")), lambda t: F.struct((-1 - block).alias("i"), t.alias("j"), F.lit(0).cast("long").alias("side"))
+        blocks(top_blocks), lambda t: F.struct((-1 - block).alias("i"), t.alias("j"), F.lit(0).cast("long").alias("side"))
     )
     with_rest = F.transform(
-        blocks(F.col("blocks")),
+        blocks(rest_blocks),
         lambda r: F.struct(F.least(block, r).alias("i"), F.greatest(block, r).alias("j"), block.alias("side")),
     )
     meetings = (
-        F.when(F.col("top").isNull(), F.array(one))
+        F.when(F.col("sets") <= BLOCK, F.array(one))
         .when(F.col("comp") == F.col("top"), of_top)
         .otherwise(F.concat(with_top, with_rest))
     )
-    return postings.join(large, "token", "left").select(
-        *postings.columns, F.explode(meetings).alias("meeting")
-    ).select(*postings.columns, "meeting.*")
+    kept = ["token", "position", "class", "comp", "n", "note"]
+    return postings.select(*kept, F.explode(meetings).alias("meeting")).select(*kept, "meeting.*")
 
 
 def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Class pairs of whole meetings that may be linked, larger name first; rows are sorted by component."""
-    col = {c: batch.column(c).to_numpy() for c in ("token", "position", "ahead", "i", "j", "side", "class", "comp", "n")}
+    col = {c: batch.column(c).to_numpy() for c in ("token", "position", "i", "j", "side", "class", "comp", "n")}
     col["n"] = col["n"].astype(np.int64)
     rows = batch.num_rows
     new = np.ones(rows, bool)
@@ -461,13 +509,7 @@ def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[
     new[1:] |= col["comp"][1:] != col["comp"][:-1]
     start = np.flatnonzero(new)
     before = np.repeat(start, np.diff(np.r_[start, rows])) - first  # rows of the meeting in earlier components
-    if best_only:
-        signs = _Signatures(batch.column("note"))
-    else:
-        notes = [binary(batch.column("note"), i) for i in range(rows)]
-        size = 2 * (BORDERS + 2)
-        profiles = np.stack([np.frombuffer(note[:size], "<u2") for note in notes]).astype(np.int64)
-        signs = _Signatures(pa.array([bytes(note[size:]) or b"\0" for note in notes], pa.binary()))
+    signs = _Signatures(batch.column("note"))
     row, done = 0, np.r_[0, np.cumsum(before)]
     while row < rows:
         stop = max(row + 1, int(np.searchsorted(done, done[row] + PAIRS_AT_ONCE)) - 1)
@@ -483,17 +525,9 @@ def _meetings(batch: pa.RecordBatch, percent: int, best_only: bool) -> Iterator[
         # where this token is the first they share, no more than what follows it can be shared
         keep &= np.minimum(n - col["position"][left], m - col["position"][right]) >= need
         left, right, n, m, need = left[keep], right[keep], n[keep], m[keep], need[keep]
-        if best_only:
-            differ = signs.differ(left, right)
-            keep = differ <= n + m - 2 * need
-            differ = differ[keep]
-        else:
-            # below a border that both prefixes pass, what is shared is a prefix token of both
-            border = np.minimum(profiles[left, -1], profiles[right, -1])
-            above = np.minimum(n - profiles[left, border], m - profiles[right, border])
-            keep = np.minimum(col["ahead"][left], col["ahead"][right]) + above >= need
-            short = np.flatnonzero(keep & signs.present[left] & signs.present[right])
-            keep[short] = signs.differ(left[short], right[short]) <= (n + m - 2 * need)[short]
+        differ = signs.differ(left, right)
+        keep = differ <= n + m - 2 * need
+        differ = differ[keep]
         left, right = left[keep], right[keep]
         if best_only and len(left):
             one, other, apart = np.r_[left, right], np.r_[right, left], np.r_[differ, differ]
@@ -548,24 +582,23 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 def _grouped(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
     """(k_id, k_text, n, class, comp, low): per row its class, component and the component's lowest row."""
-    spark = docs.sparkSession
     texts = packed(docs).select(
         field(id_col).alias("k_id"), F.xxhash64(field(text)).alias("k_text"), text_or_empty(field(text)).alias("norm")
     )
-    levels = spark.sparkContext.broadcast(frequency_levels(texts.select("norm"), width))
-    described = stored(_described(texts, levels, width, percent), "ngram-sets")
-    classes = described.where(F.col("prefix").isNotNull()).select(
-        "class", "n", "k_text", "prefix", "profile", "sign", "smallest"
-    )
+    described = stored(_described(texts, width), "ngram-sets")
+    classes = described.where(F.col("sign").isNotNull()).select("class", "n", "k_text", "sign", "note", "smallest")
     pairs = stored(_stars(classes, percent), "pairs")
-    links = stored(_verified(pairs, texts, levels, width, percent), "links")
-    for tokens, note, best_only in (("smallest", "sign", True), ("prefix", "profile", False)):
+    links = stored(_verified(pairs, texts, width, percent), "links")
+    smallest = classes.select("class", "n", F.lit(0).alias("first"), F.col("smallest").alias("tokens")).dropDuplicates(["class"])
+    prefixes = shared_prefixes(texts, width, percent).withColumnRenamed("prefix", "tokens").dropDuplicates(["class"])
+    for sets, best_only in ((smallest, True), (prefixes, False)):
         labels = components(links)
-        labelled = classes.join(labels, F.col("class") == F.col("node"), "left").select(
-            "class", "n", F.col(note).alias("note"), tokens, F.coalesce("component", "class").alias("comp")
+        labelled = sets.join(labels, F.col("class") == F.col("node"), "left").select(
+            "class", "n", "first", "tokens", F.coalesce("component", "class").alias("comp")
         )
-        pairs = stored(_plausible(_crossing(labelled, tokens, percent, best_only), classes, percent), "pairs")
-        links = stored(links.unionByName(_verified(pairs, texts, levels, width, percent)), "links")
+        found = _crossing(stored(labelled, "labelled-sets"), classes, percent, best_only)
+        pairs = stored(_plausible(found, classes, percent), "pairs")
+        links = stored(links.unionByName(_verified(pairs, texts, width, percent)), "links")
     labels = stored(components(links), "labels")
     named = described.select("k_id", "k_text", "n", "class").join(labels, F.col("class") == F.col("node"), "left").select(
         "k_id", "k_text", "n", "class", F.coalesce("component", "class").alias("comp")
