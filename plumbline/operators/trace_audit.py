@@ -8,6 +8,8 @@ dimensions; traces are exploded to calls once and rolled up in one shuffle by tr
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,31 +201,43 @@ def conversion_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CONVERSION_FACTORS, "frm string, to string, factor double")
 
 
+def _looked_up(calls: DataFrame, keys: list[str], table: DataFrame, small: bool) -> DataFrame:
+    """Calls with the table's row for their keys.
+
+    A built-in table is broadcast. With a caller's table, which may be of any size, calls without all keys (those of other tools)
+    bypass the join, so no null key is shuffled, and the table is first cut to the keys that are asked for.
+    """
+    if small:
+        return calls.join(F.broadcast(table), keys, "left")
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    asked = calls.where(whole)
+    wanted = table.join(asked.select(*keys).distinct(), keys, "left_semi")
+    found = asked.join(wanted, keys, "left")
+    values = {f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name not in keys}
+    return found.unionByName(calls.where(~whole).withColumns(values))
+
+
 def replay_lookup(calls: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Value of the key in a reference table; the built-in one has 20 rows."""
-    small = table is None
-    values = lookup_table(calls.sparkSession) if small else table
+    values = lookup_table(calls.sparkSession) if table is None else table
     named = values.select(F.col("key").alias("_key"), F.col("value").alias("replayed"))
     key = F.when(_named_exactly("key") & _is_text("key"), argument("key")["text"])
-    return (
-        calls.withColumn("_key", key)
-        .join(F.broadcast(named) if small else named, "_key", "left")
-        .drop("_key")
-    )
+    return _looked_up(calls.withColumn("_key", key), ["_key"], named, table is None).drop("_key")
 
 
 def replay_convert(calls: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """Unit conversion with four decimals, units in any case; the built-in table has 12 rows."""
-    small = factors is None
-    table = conversion_table(calls.sparkSession) if small else factors
+    table = conversion_table(calls.sparkSession) if factors is None else factors
     named = table.withColumnsRenamed({"frm": "_frm", "to": "_to", "factor": "_factor"})
     right = _named_exactly("value", "frm", "to")
     value = F.when(argument("value")["number"], argument("value")["text"].try_cast("double"))
-    return (
+    keyed = (
         calls.withColumn("_frm", F.when(right, F.lower(argument("frm")["text"])))
         .withColumn("_to", F.when(right, F.lower(argument("to")["text"])))
         .withColumn("_x", F.coalesce(value, to_number(argument("value")["text"])))
-        .join(F.broadcast(named) if small else named, ["_frm", "_to"], "left")
+    )
+    return (
+        _looked_up(keyed, ["_frm", "_to"], named, factors is None)
         .withColumn("_out", F.col("_x") * F.col("_factor"))
         .withColumn(
             "replayed",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -43,6 +43,11 @@ def sql_wilson(k: str, n: str, side: str, confidence: float = 0.95) -> str:
     return f"least(1.0, ({centre} + {spread}) / {bottom})"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def table_stream(t: Inputs, name: str) -> DataFrame:
     """A table as a stream: a file source that picks the table out of its folder."""
     return (
@@ -55,7 +60,7 @@ def table_stream(t: Inputs, name: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is stored now, and reads what it wrote."""
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = shared_folder(spark, "streams")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode(mode)
     else:

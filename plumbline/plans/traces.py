@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import trace_audit, traces
@@ -330,40 +332,41 @@ def _(t: Inputs) -> DataFrame:
     return rounded(trace_audit.detection_by_degradation(unique, trace_audit.audit(damaged)))
 
 
-@query(
-    "trace_payload_validation",
-    """with c as (select trace_id, count(*) as n from fx_trace_calls group by 1)
-select trace_id, case when trace_id::int % 11 = 4 then 'unknown field'
-  when trace_id::int % 7 = 2 then 'task length'
-  when trace_id::int % 13 = 3 then 'argument bounds' end as reject_reason, n::int as n_steps from c""",
-    "trace_calls",
-)
-def _(t: Inputs) -> DataFrame:
-    number = F.col("trace_id").cast("int")
+def trace_payloads(t: Inputs, note: Column, task: Column | None = None, argument: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """Traces as JSON payloads; ``note`` is a field that no payload should have (null: it has none)."""
     steps = F.transform(
         "steps",
         lambda s: F.struct(
             s["tool"],
-            F.map_from_entries(
-                F.transform(
-                    s["args"],
-                    lambda a: F.struct(
-                        a["name"],
-                        F.when(number % 13 == 3, F.repeat(F.lit("x"), 600)).otherwise(a["text"]),
-                    ),
-                )
-            ).alias("args"),
+            F.map_from_entries(F.transform(s["args"], lambda a: F.struct(a["name"], argument(a["text"])))).alias("args"),
             s["result"],
         ),
     )
-    task = F.when(number % 7 == 2, F.repeat(F.lit("t"), 4001)).otherwise(F.col("task"))
     doc = F.struct(
-        task.alias("task"),
+        (F.col("task") if task is None else task).alias("task"),
         steps.alias("steps"),
         "final_answer",
         "expected_final_answer",
-        F.when(number % 11 == 4, "surplus").alias("note"),
+        note.alias("note"),
+    )
+    return nested_traces(t).select("trace_id", F.to_json(doc).alias("payload"))
+
+
+@query(
+    "trace_payload_validation",
+    """with c as (select trace_id, count(*) as n from fx_trace_calls group by 1)
+select trace_id, case when trace_id::int % 11 = 4 then 'unknown field'
+  when trace_id::int % 7 = 2 then 'task length'
+  when trace_id::int % 13 = 3 then 'argument bounds' end as reject_reason, n::int as n_steps from c""",
+    "trace_calls",
+)
+def _(t: Inputs) -> DataFrame:
+    number = F.col("trace_id").cast("int")
+    payloads = trace_payloads(
+        t,
+        note=F.when(number % 11 == 4, "surplus"),
+        task=F.when(number % 7 == 2, F.repeat(F.lit("t"), 4001)).otherwise(F.col("task")),
+        argument=lambda text: F.when(number % 13 == 3, F.repeat(F.lit("x"), 600)).otherwise(text),
     )
-    payloads = nested_traces(t).select("trace_id", F.to_json(doc).alias("payload"))
     checked = trace_audit.validate_traces(payloads)
     return checked.select("trace_id", "reject_reason", F.size("steps").alias("n_steps"))

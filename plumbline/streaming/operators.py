@@ -6,9 +6,12 @@ Operators that need a whole-table form reuse it per micro-batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumbline.operators.accounting import (
     DAY_OFFSET_HOURS,
@@ -22,6 +25,15 @@ from plumbline.operators.trace_audit import audit, validate_traces
 from plumbline.sources.tables import exists
 
 BUDGET_MS = 150.0
+PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+SKETCH_SIZE = 1024
+RANK_ERROR = 0.01
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SAMPLE = "ts timestamp, event_id bigint, ms double"
+SUMMARY = (
+    "endpoint string, count bigint, errors bigint, window bigint, mean double, p50 double, p90 double, p95 double, "
+    "p99 double, max double, within_budget boolean, idle boolean"
+)
 
 
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -38,7 +50,9 @@ def stream_latency(
 ) -> DataFrame:
     """Request counts, errors and latency per endpoint in event-time windows.
 
-    Percentiles are approximate here; ``latency_windows`` gives exact ones for stored requests.
+    Percentiles come from a mergeable sketch per window (KLL, ``SKETCH_SIZE`` items a level), whose state is a few kilobytes however many
+    requests a window has: the rank of each lies within ``RANK_ERROR`` of the one asked for. ``latency_windows`` gives exact ones
+    for stored requests.
     """
     timed = with_event_time(requests).withWatermark("ts", watermark)
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
@@ -47,7 +61,7 @@ def stream_latency(
         F.count(F.lit(1)).alias("count"),
         F.count_if("is_error").alias("errors"),
         F.avg(ms).alias("mean"),
-        F.percentile_approx(ms, [0.50, 0.95, 0.99], 10_000).alias("_p"),
+        F.kll_sketch_agg_double(ms, SKETCH_SIZE).alias("_sketch"),
         F.max(ms).alias("max"),
     )
     return counted.select(
@@ -57,10 +71,9 @@ def stream_latency(
         "count",
         "errors",
         "mean",
-        *[F.col("_p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))],
+        *[F.kll_sketch_get_quantile_double("_sketch", F.lit(p)).alias(n) for n, p in PERCENTILES.items()],
         "max",
-        (F.col("_p")[2] <= budget).alias("within_budget"),
-    )
+    ).withColumn("within_budget", F.col("p99") <= budget)
 
 
 def latency_windows(
@@ -101,14 +114,74 @@ def stream_last_n(
     return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
 
+class LastSamples(StatefulProcessor):
+    """The last n samples of one endpoint, by event time and id, as a ring in the state store."""
+
+    def __init__(self, n: int, budget: float, idle_ms: int | None) -> None:
+        self.n, self.budget, self.idle_ms = n, budget, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getListState("ring", SAMPLE)
+        self.totals = handle.getValueState("totals", "count bigint, errors bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([tuple(r) for r in self.ring.get()], columns=["ts", "event_id", "ms"])
+        count, errors = tuple(self.totals.get()) if self.totals.exists() else (0, 0)
+        for batch in rows:
+            count += len(batch)
+            errors += int(batch["is_error"].sum())
+            parts = [p for p in (held, batch[["ts", "event_id", "ms"]]) if len(p)]
+            held = pd.concat(parts).sort_values(["ts", "event_id"]).tail(self.n) if parts else held
+        self.ring.put([(t.to_pydatetime(), int(e), None if pd.isna(m) else float(m)) for t, e, m in held.itertuples(index=False)])
+        self.totals.update((count, errors))
+        if self.idle_ms is not None:
+            for timer in [t for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._row(key, held["ms"], count, errors, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """An idle endpoint is told once; its window is let go, its totals stay."""
+        count, errors = tuple(self.totals.get()) if self.totals.exists() else (0, 0)
+        self.ring.clear()
+        yield self._row(key, pd.Series(dtype=float), count, errors, True)
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, key, ms: pd.Series, count: int, errors: int, idle: bool) -> pd.DataFrame:
+        ms = ms.dropna().astype(float).sort_values().to_numpy()
+        # nearest rank, half to even, as in the batch form
+        picked = [float(ms[round(p * (len(ms) - 1))]) if len(ms) else None for p in (0.50, 0.90, 0.95, 0.99)]
+        mean, top = (float(ms.mean()), float(ms[-1])) if len(ms) else (None, None)
+        within = picked[3] <= self.budget if len(ms) else None
+        row = [key[0], count, errors, len(ms), mean, *picked, top, within, idle]
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SUMMARY.split(", ")])
+
+
+def stream_last_samples(
+    requests: DataFrame, n: int = 5000, budget: float = BUDGET_MS, idle_ms: int | None = None
+) -> DataFrame:
+    """Latency over the last n samples of each endpoint, exactly, as a stream of new values (update mode).
+
+    Rows whose ``idle`` is true tell that an endpoint had no request for ``idle_ms`` of processing time. A state holds n samples, so
+    memory is bounded by the endpoints; a restart goes on from the checkpoint. Needs the RocksDB state store (``ROCKS``).
+    """
+    shaped = requests.select("endpoint", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("ms").cast("double").alias("ms"), "is_error")
+    return shaped.groupBy("endpoint").transformWithStateInPandas(
+        LastSamples(n, budget, idle_ms), SUMMARY, "Update", "None" if idle_ms is None else "ProcessingTime"
+    )
+
+
 def stream_guard(requests: DataFrame, student: Student, **options) -> DataFrame:
     """Scores and decides every request as it arrives."""
     return guard(requests, student, **options)
 
 
-def stream_audit(payloads: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def stream_audit(payloads: DataFrame, sink: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Validates and audits trace payloads per micro-batch. Verdicts and rejected traces go to
-    folders of their batch, so a batch that is run again replaces its own output."""
+    folders of their batch, so a batch that is run again replaces its own output. With ``available_now`` it ends when all that is there is done."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         checked = validate_traces(batch)
@@ -118,7 +191,8 @@ def stream_audit(payloads: DataFrame, sink: str, checkpoint: str) -> StreamingQu
             "trace_id", "reject_reason"
         ).write.mode("overwrite").parquet(f"{sink}/rejected/batch={batch_id}")
 
-    return payloads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
+    writer = payloads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def stream_ingest(log: DataFrame, watermark: str = "1 day") -> DataFrame:
