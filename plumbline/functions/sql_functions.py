@@ -12,6 +12,7 @@ from plumbline.functions.extraction import (
 )
 from plumbline.functions.intervals import z_value
 from plumbline.operators.consistency import BANDS, LOWEST_BAND
+from plumbline.operators.traces import ARGS_TYPE, STEPS_TYPE
 
 
 def _cleaned(argument: str) -> str:
@@ -21,7 +22,12 @@ def _cleaned(argument: str) -> str:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers judge_score, judge_verdict, score_band, wilson_low and wilson_high."""
+    """Registers judge_score, judge_verdict, score_band, wilson_low, wilson_high and flag_kappa, and the table functions
+    trace_calls (the calls of a step list) and both_orders (a pair in both display orders), for use after ``lateral``.
+
+    flag_kappa is Cohen's kappa of two flags from four counts that aggregate before the shuffle: rows, first flags, second flags, equal
+    ones. All are SQL expressions, so the optimiser sees through them.
+    """
     text = _cleaned("t")
     scores = ", ".join(
         f"get(filter(transform(regexp_extract_all({text}, r'{p}', 1), s -> cast(s as double)), "
@@ -52,6 +58,19 @@ def register(spark: SparkSession) -> list[str]:
             f"case when n > 0 then least(1D, ({centre} + {spread}) / {bottom}) end"
         ),
     }
+    chance = "(a / cast(n as double) * b / n + (1 - a / cast(n as double)) * (1 - b / cast(n as double)))"
+    definitions["flag_kappa(n bigint, a bigint, b bigint, same bigint) returns double"] = (
+        f"case when n > 0 and {chance} < 1 then (same / cast(n as double) - {chance}) / (1 - {chance}) end"
+    )
+    definitions[
+        f"trace_calls(steps {STEPS_TYPE}) returns table (step int, tool string, args {ARGS_TYPE}, recorded string)"
+    ] = "select at + 1, s.tool, array_sort(s.args), s.result from (select posexplode(trace_calls.steps) as (at, s))"
+    definitions[
+        "both_orders(reference string, degraded string) returns table (reference_first boolean, option_a string, option_b string)"
+    ] = (
+        "select first, if(first, both_orders.reference, both_orders.degraded), if(first, both_orders.degraded, both_orders.reference) "
+        "from (select explode(array(true, false)) as first)"
+    )
     for signature, body in definitions.items():
         spark.sql(f"create or replace temporary function {signature} return {body}")
     return [s.split("(")[0] for s in definitions]

@@ -32,6 +32,7 @@ from pyspark.sql.types import (
 from plumbline.functions.intervals import z_value
 from plumbline.functions.numerics import NORMAL
 from plumbline.operators.ordered import numbered
+from plumbline.session import cut_lineage
 
 RESAMPLES = 10_000
 BLOCK_CELLS = 4096
@@ -247,6 +248,7 @@ def _resampled(
     """Intervals for cells (by, x, size, count) of the statistic sum(x) / sum(size)."""
     by = list(by)
     finish, fields = FINISHERS[kind]
+    cells = cut_lineage(cells)  # counted once, read for sizes, moments, paths and draws
     units = F.sum("count").cast("long")
     sized = cells.groupBy(*by).agg(
         F.ceil(F.count(F.lit(1)) / block_cells).alias("_blocks"),

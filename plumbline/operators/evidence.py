@@ -6,13 +6,16 @@ text, score, prompt_tokens, completion_tokens, model_served, simulated, cached a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.extraction import score_of
 from plumbline.operators.bootstrap import cluster_ci
 from plumbline.operators.ordered import take_first
-from plumbline.sources.tables import exists, load, save
+from plumbline.sources.tables import create_file, exists, list_files, load, read_file, save
 
 ROLES = ("reference", "candidate")
 
@@ -163,20 +166,72 @@ def summary_matches(summary: DataFrame, published: DataFrame) -> bool:
     ).exceptAll(summary).isEmpty()
 
 
+class Conflict(RuntimeError):
+    """Another writer published first."""
+
+
 def publish(
-    pairs: DataFrame, log: DataFrame, base: str, name: str, stamp: dict[str, str | int]
-) -> str:
-    """Writes the summary and its evidence, only if every integrity check passes and the run is
-    complete. ``stamp`` carries the run, model and dataset identity."""
+    pairs: DataFrame,
+    log: DataFrame,
+    base: str,
+    name: str,
+    stamp: dict[str, str | int],
+    expected_version: int | None = None,
+) -> int:
+    """Writes the summary, its evidence and a manifest as the next version, only if every integrity check passes and the
+    run is complete. ``stamp`` carries the run, model and dataset identity. Returns the version.
+
+    Everything goes to a folder of its own first. Readers see it when the file of the next version number is created, which
+    the store lets one writer do alone; it names the folder. A writer that loses gets :class:`Conflict`, as does one
+    whose ``expected_version`` is no longer the latest, and what it wrote is never read.
+    """
     broken = [r for r in verify_evidence(pairs, log).collect() if r.n_rows]
     if broken:
         raise ValueError("; ".join(f"{r.violation}: {r.n_rows}" for r in broken))
     summary = summarize_pairs(pairs, log)
     if not summary.first().complete:
         raise ValueError("the run is not complete")
-    save(log, base, f"{name}-evidence", stamp)
-    return save(summary, base, name, stamp)
+    spark = log.sparkSession
+    latest = published_version(spark, base, name)
+    if expected_version is not None and latest != expected_version:
+        raise Conflict(f"{name} is at version {latest}, not {expected_version}")
+    folder = f"run-{uuid.uuid4().hex}"
+    place = f"{base.rstrip('/')}/{name}/{folder}"
+    save(log, place, "evidence", stamp)
+    save(summary, place, "summary", stamp)
+    manifest = {
+        "version": latest + 1,
+        "parts": {"evidence": log.count(), "summary": 1},
+        "stamp": stamp,
+    }
+    create_file(spark, f"{place}/manifest.json", json.dumps(manifest, sort_keys=True))
+    try:
+        create_file(spark, _pointer(base, name, latest + 1), folder)
+    except FileExistsError as taken:
+        raise Conflict(f"version {latest + 1} of {name} was published by another writer") from taken
+    return latest + 1
+
+
+def _pointer(base: str, name: str, version: int) -> str:
+    return f"{base.rstrip('/')}/{name}/versions/{version:010d}"
+
+
+def published_version(spark: SparkSession, base: str, name: str) -> int:
+    """The latest version, 0 if there is none. A pointer that is still being written does not count."""
+    found = [int(f) for f in list_files(spark, f"{base.rstrip('/')}/{name}/versions") if f.isdigit()]
+    return max((v for v in found if read_file(spark, _pointer(base, name, v))), default=0)
+
+
+def published(spark: SparkSession, base: str, name: str, version: int | None = None) -> dict[str, DataFrame | dict]:
+    """``manifest``, ``summary`` and ``evidence`` of a version, the latest by default."""
+    at = published_version(spark, base, name) if version is None else version
+    folder = read_file(spark, _pointer(base, name, at)) if at else None
+    if not folder:
+        raise FileNotFoundError(f"no version {at} of {name} under {base}")
+    place = f"{base.rstrip('/')}/{name}/{folder}"
+    manifest = json.loads(read_file(spark, f"{place}/manifest.json"))
+    return {"manifest": manifest, **{part: load(spark, place, part) for part in manifest["parts"]}}
 
 
-def published_summary(spark, base: str, name: str) -> DataFrame:
-    return load(spark, base, name)
+def published_summary(spark: SparkSession, base: str, name: str) -> DataFrame:
+    return published(spark, base, name)["summary"]

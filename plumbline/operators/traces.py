@@ -18,10 +18,8 @@ from plumbline.functions.printing import fixed4, short4
 
 SEED = 20260731
 SEVERITIES = (0.2, 0.5, 0.9)
-STEPS_TYPE = (
-    "array<struct<tool:string,args:array<struct<name:string,text:string,number:boolean>>,"
-    "result:string,reasoning:string>>"
-)
+ARGS_TYPE = "array<struct<name:string,text:string,number:boolean>>"
+STEPS_TYPE = f"array<struct<tool:string,args:{ARGS_TYPE},result:string,reasoning:string>>"
 
 # Undeclared tools, harmless extra steps, and the argument swaps.
 PHANTOM_TOOLS = ["web_search", "sql_query", "currency_api", "weather_lookup", "geocode"]

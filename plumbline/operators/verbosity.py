@@ -64,3 +64,16 @@ def verbosity_intervals(pairs: DataFrame, resamples: int = 10_000, seed: int = 0
         resamples=resamples,
         seed=seed,
     )
+
+
+def padded_trace_pairs(padded: DataFrame, references: DataFrame) -> DataFrame:
+    """The score of every padded trace beside that of its own undamaged trace by the same judge, where both were given.
+
+    ``padded`` has judge, trace_id, severity, len_ratio and score; ``references`` has judge, trace_id and score.
+    """
+    return padded_pairs(padded, references, ("judge", "trace_id"))
+
+
+def trace_length_bias(pairs: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """Paired difference of padded and reference score per judge: what length alone is worth."""
+    return paired_diff(pairs, ["judge"], "padded_score", "reference_score", resamples, seed=seed)

@@ -21,7 +21,8 @@ from plumbline.plans.bias import (
 )
 from plumbline.plans.gold import ALL_VARIANTS_SQL, FACTS_SQL, order_items
 from plumbline.plans.registry import Inputs, query
-from plumbline.plans.shared import rounded, sql_wilson
+from plumbline.plans.shared import rounded, shared_folder, sql_wilson
+from plumbline.plans.traces import nested_traces
 from plumbline.sources import qa_mining, tables
 
 
@@ -180,14 +181,98 @@ def _(t: Inputs) -> DataFrame:
     return tables.read_models(nested)
 
 
-@query("saved_result_round_trip")
+@query(
+    "saved_result_round_trip",
+    f"""with {ROWS_SQL}
+select judge, count(correct) as n_pairs, round(avg(correct), 6) as accuracy, 'batch' as provenance_mode, 20260731 as provenance_seed,
+  false as full_result_touched, true as clean_name_only from rows_ group by judge""",
+    "judgments reference_scores",
+)
 def _(t: Inputs) -> DataFrame:
-    from plumbline.session import ensure_checkpoint_dir
-
-    base = f"{ensure_checkpoint_dir(t.spark)}/results"
+    """A smoke result written and read again; the full result's folder stays untouched and odd names are refused."""
+    base = shared_folder(t.spark, "results")
     report = discrimination_report(judged_rows(t)).where(F.col("level") == "judge")
     tables.save(report, base, "discrimination", tables.provenance("batch", 20260731, "0.1.0"), smoke=True)
-    return tables.load(t.spark, base, "discrimination", smoke=True).drop("provenance_generated_at")
+    touched = tables.exists(t.spark, base, "discrimination")
+    try:
+        tables.save(report, base, "../discrimination", {})
+        refused = False
+    except ValueError:
+        refused = True
+    again = tables.load(t.spark, base, "discrimination", smoke=True)
+    return rounded(
+        again.select(
+            "judge",
+            "n_pairs",
+            "accuracy",
+            "provenance_mode",
+            "provenance_seed",
+            F.lit(touched).alias("full_result_touched"),
+            F.lit(refused).alias("clean_name_only"),
+        )
+    )
+
+
+def complete_run(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The pairs that have both answers, and their log as a live run would have left it."""
+    pairs = t.view("evidence_pairs").where(F.col("id").cast("bigint") % 19 != 7)
+    log = t.view("evidence_log").where(F.col("pair_id").cast("bigint") % 19 != 7)
+    return pairs, log.withColumn("simulated", F.lit(False)).withColumn("finish_reason", F.lit("stop"))
+
+
+@query(
+    "published_evidence",
+    """with l as (select * from fx_evidence_log where pair_id::bigint % 19 <> 7),
+p as (select r.score as rs, c.score as cs from l r join l c on c.pair_id = r.pair_id and r.role = 'reference' and c.role = 'candidate')
+select 2::bigint as version, true as second_writer_refused, count(*) as completed_pairs, (select count(*) from l) as evidence_rows,
+  (select count(*) from l) as listed_rows, round(avg(coalesce(rs > cs, false)::int), 6) as accuracy from p""",
+    "evidence_log",
+)
+def _(t: Inputs) -> DataFrame:
+    """A run published, published again, refused to a writer that had not seen the second version, and read back."""
+    base = shared_folder(t.spark, "published")
+    pairs, log = complete_run(t)
+    first = evidence.publish(pairs, log, base, "pilot", {"run": "first"})
+    evidence.publish(pairs, log, base, "pilot", {"run": "second"}, expected_version=first)
+    try:
+        evidence.publish(pairs, log, base, "pilot", {"run": "late"}, expected_version=first)
+        refused = False
+    except evidence.Conflict:
+        refused = True
+    read = evidence.published(t.spark, base, "pilot")
+    rows = read["evidence"].agg(F.count(F.lit(1))).scalar()
+    return rounded(
+        read["summary"].select(
+            F.lit(read["manifest"]["version"]).cast("bigint").alias("version"),
+            F.lit(refused).alias("second_writer_refused"),
+            "completed_pairs",
+            rows.alias("evidence_rows"),
+            F.lit(read["manifest"]["parts"]["evidence"]).cast("bigint").alias("listed_rows"),
+            "accuracy",
+        )
+    )
+
+
+@query(
+    "refused_publication",
+    """with e as (select id as pair_id, unnest(['reference', 'candidate']) as role from fx_evidence_pairs),
+v as (select 1 as i, 'missing' as violation, (select count(*) from e where not exists (select 1
+  from fx_evidence_log l where l.pair_id = e.pair_id and l.role = e.role)) as n
+union all select 4, 'simulated or cached', count(*) filter (simulated or cached) from fx_evidence_log
+union all select 5, 'not finished', count(*) filter (finish_reason <> 'stop') from fx_evidence_log)
+select string_agg(violation || ': ' || n, '; ' order by i) as reason, 0::bigint as version from v where n > 0""",
+    "evidence_pairs evidence_log",
+)
+def _(t: Inputs) -> DataFrame:
+    """Why the whole log may not be published, and that no version of it exists."""
+    base = shared_folder(t.spark, "published")
+    reason = None
+    try:
+        evidence.publish(t.view("evidence_pairs"), t.view("evidence_log"), base, "pilot", {"run": "broken"})
+    except ValueError as refusal:
+        reason = str(refusal)
+    version = evidence.published_version(t.spark, base, "pilot")
+    return t.spark.createDataFrame([(reason, version)], "reason string, version bigint")
 
 
 @query(
@@ -378,6 +463,61 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "steps_by_table_function",
+    """select trace_id, step::int as step, tool, recorded, (name1 is not null)::int
+  + (name2 is not null)::int + (name3 is not null)::int as n_args from fx_trace_calls""",
+    "trace_calls",
+)
+def _(t: Inputs) -> DataFrame:
+    register(t.spark)
+    return t.spark.sql(
+        "select t.trace_id, c.step, c.tool, c.recorded, size(c.args) as n_args from {traces} t, lateral trace_calls(t.steps) c",
+        traces=nested_traces(t),
+    )
+
+
+@query(
+    "orders_by_table_function",
+    """select uid, reference_first, case when reference_first then 'good ' || uid else 'bad ' || uid end as option_a,
+  case when reference_first then 'bad ' || uid else 'good ' || uid end as option_b
+from fx_pair_raw, (select unnest([true, false]) as reference_first)""",
+    "pair_raw",
+)
+def _(t: Inputs) -> DataFrame:
+    register(t.spark)
+    pairs = t.view("pair_raw").select(
+        "uid", F.concat(F.lit("good "), "uid").alias("reference"), F.concat(F.lit("bad "), "uid").alias("degraded")
+    )
+    return t.spark.sql(
+        "select p.uid, o.reference_first, o.option_a, o.option_b from {pairs} p, lateral both_orders(p.reference, p.degraded) o",
+        pairs=pairs,
+    )
+
+
+@query(
+    "agreement_by_sql_function",
+    """with j as (select judge, score_a, score_b from (select judge, item_id, config,
+    max(score) filter (replicate = 0) as score_a, max(score) filter (replicate = 1) as score_b from fx_judgments group by 1, 2, 3)
+  where score_a is not null and score_b is not null),
+c as (select judge, (score_a >= 5)::int as a, (score_b >= 5)::int as b from j)
+select judge, round((avg((a = b)::int) - (avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b))))
+  / (1 - (avg(a) * avg(b) + (1 - avg(a)) * (1 - avg(b)))), 6) as kappa from c group by judge""",
+    "judgments",
+)
+def _(t: Inputs) -> DataFrame:
+    register(t.spark)
+    return t.spark.sql(
+        """with j as (select judge, item_id, config, max(score) filter (where replicate = 0) as score_a,
+            max(score) filter (where replicate = 1) as score_b from {log} group by all)
+        select judge, round(kappa, 6) as kappa from (
+            select judge, flag_kappa(count(*), count_if(score_a >= 5), count_if(score_b >= 5),
+                count_if((score_a >= 5) = (score_b >= 5))) as kappa
+            from j where score_a is not null and score_b is not null group by judge)""",
+        log=t.view("judgments"),
+    )
+
+
 def prompt_tasks(t: Inputs) -> DataFrame:
     key = F.col("o_orderkey")
     return t.table("orders").select(

@@ -17,6 +17,7 @@ from plumbline.operators import (
     latency,
     power,
     self_preference,
+    traces,
     verbosity,
 )
 from plumbline.plans.bias import (
@@ -28,6 +29,7 @@ from plumbline.plans.bias import (
 )
 from plumbline.plans.registry import Inputs, query
 from plumbline.plans.shared import rounded, sql_wilson
+from plumbline.plans.traces import nested_traces
 
 RESAMPLES = bootstrap.RESAMPLES
 
@@ -210,10 +212,44 @@ def _(t: Inputs) -> DataFrame:
     return verbosity.verbosity_intervals(padded(t), RESAMPLES)
 
 
-@query("trace_length_bias")
+def judged_traces(traces: DataFrame) -> DataFrame:
+    """Scores of traces by four stand-in judges that like length to different degrees and at times give none."""
+    steps = F.size("steps")
+    judges = F.array(
+        *[
+            F.struct(
+                F.lit(f"j{j}").alias("judge"),
+                F.when(F.col("trace_id").cast("bigint") % 17 != j, F.least(F.lit(10.0), 4.0 + 0.3 * j * steps)).alias("score"),
+            )
+            for j in range(4)
+        ]
+    )
+    return traces.select("*", F.inline(judges))
+
+
+LENGTH_SQL = """
+n as (select trace_id, count(*) as k from fx_trace_calls group by 1),
+v as (select trace_id, k, k + least(greatest(1, round_even(severity * 4, 0)::int), 4) as kp
+  from n, (select unnest([0.2, 0.5, 0.9]::double[]) as severity)),
+b as (select 'j' || j as judge, least(10.0, 4.0 + 0.3 * j * kp)::double - least(10.0, 4.0 + 0.3 * j * k)::double as d
+  from v, (select unnest([0, 1, 2, 3]) as j) where trace_id::bigint % 17 <> j)"""
+
+
+@query(
+    "trace_length_bias",
+    f"""with {LENGTH_SQL} select judge, round(avg(d), 6) as diff, count(*) as n, avg(d) > 0 as significant, true as inside
+from b group by judge""",
+    "trace_calls",
+)
 def _(t: Inputs) -> DataFrame:
-    rubric = padded(t).where(F.col("config") == "rubric")
-    return bootstrap.paired_diff(rubric, ["judge"], "padded_score", "reference_score", RESAMPLES)
+    """Padded traces against their own reference traces, all severities, over all judges."""
+    whole = nested_traces(t)
+    variants = traces.build_trace_variants(whole, ["length_padding"])
+    references = judged_traces(whole.select("trace_id", "steps")).select("judge", "trace_id", "score")
+    padded_traces = judged_traces(variants.select("trace_id", "severity", "len_ratio", "steps"))
+    pairs = verbosity.padded_trace_pairs(padded_traces.drop("steps"), references)
+    out = verbosity.trace_length_bias(pairs, RESAMPLES)
+    return rounded(out.select("judge", "diff", "n", "significant", F.col("diff").between(F.col("lo"), F.col("hi")).alias("inside")))
 
 
 LOO_SQL = """

@@ -478,7 +478,15 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
-@query("interval_gate")
+@query(
+    "interval_gate",
+    f"""with {ROWS_SQL},
+r as (select judge, count(correct) as n, {sql_wilson("sum(correct)", "count(correct)", "lo")} as lo,
+  {sql_wilson("sum(correct)", "count(correct)", "hi")} as hi from rows_ group by judge)
+select 'interval of ' || judge as name, hi > lo or n < 3 as passed, printf('%.3f, %.3f', lo, hi) as observed,
+  'a real interval' as expected, true as gating from r""",
+    "judgments reference_scores",
+)
 def _(t: Inputs) -> DataFrame:
     report = discrimination_report(judged_rows(t)).where(F.col("level") == "judge")
     return gates.interval_checks(report.withColumnRenamed("n_pairs", "n"), "judge")

@@ -7,6 +7,7 @@ import re
 import sys
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
@@ -170,3 +171,41 @@ def exists(spark: SparkSession, base: str, name: str, smoke: bool = False) -> bo
     """Whether a result was completely written."""
     location = spark._jvm.org.apache.hadoop.fs.Path(f"{_result_path(base, name, smoke)}/_SUCCESS")
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """A new small text file; FileExistsError if there is one already."""
+    system, location = _file_system(spark, path)
+    try:
+        out = system.create(location, False)
+    except Py4JJavaError as problem:
+        if "AlreadyExists" in problem.java_exception.getClass().getName():
+            raise FileExistsError(path) from problem
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small text file, null if there is none."""
+    system, location = _file_system(spark, path)
+    if not system.exists(location):
+        return None
+    source = system.open(location)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    system, location = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(location)] if system.exists(location) else []

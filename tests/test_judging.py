@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.extraction import score_of, verdict_of
 from plumbline.functions.sql_functions import register
 from plumbline.operators import evidence, judging, swaps
+from plumbline.sources import tables
 
 SCORES = [
     ("SCORE: 7.5", 7.5),
@@ -151,8 +152,18 @@ def test_resume_publish_and_refusal(spark, tmp_path):
     evidence.append_log(log, path, "settings-1")
     with pytest.raises(ValueError):
         evidence.append_log(log, path, "settings-2")
-    written = evidence.publish(pairs, log, str(tmp_path), "run", {"mode": "live"})
+    assert evidence.publish(pairs, log, str(tmp_path), "run", {"mode": "live"}) == 1
     again = evidence.published_summary(spark, str(tmp_path), "run")
-    assert written.endswith("/run") and evidence.summary_matches(evidence.summarize_pairs(pairs, log), again)
+    assert evidence.summary_matches(evidence.summarize_pairs(pairs, log), again)
+    # a writer that is still at work is not seen, and its number is taken
+    tables.create_file(spark, f"{tmp_path}/run/versions/0000000002", "")
+    assert evidence.published_version(spark, str(tmp_path), "run") == 1
+    with pytest.raises(evidence.Conflict, match="another writer"):
+        evidence.publish(pairs, log, str(tmp_path), "run", {"mode": "live"})
+    with pytest.raises(evidence.Conflict, match="not 0"):
+        evidence.publish(pairs, log, str(tmp_path), "run", {"mode": "live"}, expected_version=0)
+    assert evidence.published(spark, str(tmp_path), "run", 1)["manifest"]["parts"] == {"evidence": log.count(), "summary": 1}
+    with pytest.raises(FileNotFoundError):
+        evidence.published(spark, str(tmp_path), "nothing")
     with pytest.raises(ValueError, match="missing"):
         evidence.publish(pairs, log.limit(5), str(tmp_path), "other", {"mode": "live"})
