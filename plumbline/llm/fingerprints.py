@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import field, packed, text_or_empty
@@ -32,6 +32,8 @@ HASHES = 5
 CHANCE_MARGIN = 0.1
 RANGE_BYTES = 8 << 20
 MOST_RANGES = 1 << 16
+LARGE_RANGE = 256 << 20
+TASK_BYTES = 16 << 20
 
 # f(c) - f(c - 1) for f(c) = c log2 c, in whole steps so that sums are exact
 _STEPS = np.round(
@@ -62,31 +64,35 @@ def entropy_levels(data: np.ndarray) -> np.ndarray:
     return (_FULL - total) * (LEVELS - 1) // _FULL
 
 
-def _block_levels(data: np.ndarray) -> np.ndarray:
-    """Levels of windows that do not overlap."""
-    rows = np.sort(data[: len(data) // WINDOW * WINDOW].reshape(-1, WINDOW), axis=1)
-    new = np.ones((len(rows), WINDOW + 1), bool)
-    new[:, 1:-1] = rows[:, 1:] != rows[:, :-1]
-    row, at = np.nonzero(new)
-    inside = at < WINDOW
-    length = np.diff(at, append=0)[inside]
-    whole = np.cumsum(_STEPS)[length]
-    total = np.bincount(row[inside], weights=whole, minlength=len(rows)).astype(np.int64)
-    return (_FULL - total) * (LEVELS - 1) // _FULL
+def _level_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many windows of each level lie inside the texts; the same however texts are put together."""
+    found = np.zeros(LEVELS, np.int64)
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        start, end = int(offsets[lo]), int(offsets[hi])
+        # a text beyond the chunk size goes in chunks that share all but one byte of a window
+        for first in range(start, end, CHUNK_BYTES):
+            part = data[first : min(end, first + CHUNK_BYTES + WINDOW - 1)]
+            levels = entropy_levels(part)
+            places = first + np.arange(len(levels))
+            within = places + WINDOW <= offsets[np.searchsorted(offsets, places, "right")]
+            found += np.bincount(levels[within], minlength=LEVELS)
+        lo = hi
+    return found
 
 
 def rarity_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The rank of each entropy level, rarest first, over all texts cut into runs of 64 bytes.
+    """The rank of each entropy level, rarest first, over every window inside every text.
 
-    Only the 1,024 counts reach the driver. Levels that never occur come first; ties go by level.
+    Only the 1,024 counts reach the driver. Levels that never occur come first; ties go by level. How the table is stored or
+    dealt out makes no difference.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            data, _ = utf8(batch.column(0))
-            for lo in range(0, len(data), CHUNK_BYTES):
-                found += np.bincount(_block_levels(data[lo : lo + CHUNK_BYTES]), minlength=LEVELS)
+            found += _level_counts(*utf8(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(found)], ["level", "n"])
 
     texts = packed(docs).select(text_or_empty(field(text)).alias("norm"))
@@ -269,19 +275,28 @@ def fingerprint(docs: DataFrame, ranks: np.ndarray, text: str = "text", name: st
     return rows.mapInArrow(run, rows.select("row").schema.add(name, "string"))
 
 
+def _ordinal(kind: str) -> Column:
+    """A number that rises with the id ``k_id``."""
+    if kind == "string":
+        letters = F.substring(F.hex(F.encode(F.substring("k_id", 1, 6), "utf-8")), 1, 12)
+        return F.conv(F.rpad(letters, 12, "0"), 16, 10).cast("double")
+    return F.col("k_id").cast("double")
+
+
 def with_next(docs: DataFrame, id_col: str, text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(part, tail, k_id, k_text, norm): rows laid out so that a reader meets each text's successor next.
 
-    Rows go by ranges of the id (a number; null first), sorted inside a range by id, then text. The first
+    Rows go by ranges of the id (null first; a text by its first six bytes), sorted inside a range by id, then text. The first
     row of each range also comes, marked as tail, at the end of the range before it, and the very first at
-    the very end. Ranges are near-even quantiles; there are at most 2^16, which bounds the broadcast.
+    the very end. Ranges are near-even quantiles of about ``range_bytes``; beyond 2^16 of them, of up to 256 megabytes, as the
+    table of their first rows is broadcast.
     """
     rows = packed(docs).select(
         field(id_col).alias("k_id"), F.xxhash64(field(text)).alias("k_text"), text_or_empty(field(text)).alias("norm")
     )
     total = rows.agg(F.sum(F.octet_length("norm") + 1)).first()[0] or 0
-    ranges = min(MOST_RANGES, -(-total // range_bytes)) or 1
-    number = rows.withColumn("key", F.coalesce(F.col("k_id").cast("double"), F.lit(float("-inf"))))
+    ranges = max(min(MOST_RANGES, -(-total // range_bytes)), total // LARGE_RANGE) or 1
+    number = rows.withColumn("key", F.coalesce(_ordinal(dict(rows.dtypes)["k_id"]), F.lit(float("-inf"))))
     steps = [i / ranges for i in range(1, ranges)]
     inner = sorted(set(number.select("key").approxQuantile("key", steps, 0.2 / ranges))) if steps else []
     splits = [float("-inf"), *([s for s in inner if s > float("-inf")] or [0.0]), float("inf")]
@@ -300,7 +315,7 @@ def with_next(docs: DataFrame, id_col: str, text: str, range_bytes: int = RANGE_
         (F.col("part") == F.col("p")) & F.col("k_id").eqNullSafe(F.col("i")) & (F.col("k_text") == F.col("t")),
     ).select(F.col("to").alias("part"), F.lit(True).alias("tail"), "k_id", "k_text", "norm")
     both = dealt.select("part", F.lit(False).alias("tail"), "k_id", "k_text", "norm").unionByName(tails)
-    return both.repartition("part").sortWithinPartitions("part", "tail", F.col("k_id").asc_nulls_first(), "k_text")
+    return both.repartition(total // TASK_BYTES + 1, "part").sortWithinPartitions("part", "tail", F.col("k_id").asc_nulls_first(), "k_text")
 
 
 def edited_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: np.ndarray | None = None) -> DataFrame:

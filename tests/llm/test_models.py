@@ -279,3 +279,36 @@ def test_a_periodic_text_beyond_a_chunk_is_not_empty():
     one, other = (maker.many(t, np.array([0, len(t)]))[0] for t in (text, text[: len(text) - 300_000]))
     assert not one.startswith("0:") and fingerprints.likeness(one, "0:") == 0.0
     assert fingerprints.likeness(one, other) > 0.5
+
+
+def test_rarity_and_fingerprints_do_not_depend_on_the_layout(spark, hundredth, monkeypatch):
+    docs = spark.read.parquet(f"{hundredth}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    texts = [r.text or "" for r in docs.collect()] + ["", "é" * 40, "x" * 63, "abc" * 3000]
+    want = np.zeros(fingerprints.LEVELS, np.int64)
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        want += np.bincount(fingerprints.entropy_levels(data), minlength=fingerprints.LEVELS)
+    monkeypatch.setattr(fingerprints, "CHUNK_BYTES", 4000)
+    for order in (texts, texts[::-1]):
+        found = fingerprints._level_counts(*utf8(pa.array(order)))
+        assert (found == want).all()
+    monkeypatch.undo()
+    seen = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts, "text")
+        ranks = fingerprints.rarity_ranks(dealt)
+        rows = fingerprints.edited_copies(dealt).select("doc_id", "fingerprint", "edited_fingerprint", "near_next").collect()
+        seen.append((ranks.tolist(), sorted(map(tuple, rows))))
+    assert seen[0] == seen[1]
+
+
+def test_text_ids_are_ordered_by_their_letters(spark):
+    ids = ["b", "a", None, "aaaaaaaz", "aaaaaaab", "é", "B", "10", "9"]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id string, text string").repartition(3)
+    out = {r.doc_id: r for r in fingerprints.edited_copies(df).collect()}
+    named = sorted((i for i in ids if i is not None), key=lambda i: i.encode())
+    ring = [None, *named]
+    for at, name in enumerate(ring):
+        following = f"text of {ring[(at + 1) % len(ring)]}"
+        own = f"text of {name}"
+        assert out[name].edited == own[: len(own) - len(own) // 2] + following[: len(own) // 2]
