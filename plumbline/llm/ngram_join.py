@@ -261,7 +261,7 @@ def shared_prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     asked = texts.select("norm").mapInArrow(ask, "slice int, block bigint, named boolean, data binary")
     counted = asked.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(count, "block bigint, named boolean, data binary")
-    return counted.repartition("block").sortWithinPartitions("block").mapInArrow(
+    return counted.repartition(slices, "block").sortWithinPartitions("block").mapInArrow(
         answer, "class bigint, n bigint, first bigint, prefix array<bigint>"
     )
 

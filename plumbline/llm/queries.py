@@ -251,36 +251,16 @@ def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
         from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
     l as (
-        select *, row_number() over (partition by doc_id order by pos) - 1 as p, count(*) over (partition by doc_id) as n
-        from lines where w > 0),
-    lowest as (
-        select *, case when p <= greatest(n - 3, 0) then
-                  min(h) over (partition by doc_id order by p rows between current row and 2 following) end as m from l),
-    marked as (
-        select *, max(m) over (partition by doc_id order by p rows between 2 preceding and current row) = h as sel,
-               lag(h) over (partition by doc_id order by p) as before, lead(h) over (partition by doc_id order by p) as after
-        from lowest),
-    keys as (
-        select '1:' || h as key, doc_id, p from marked where w >= 50
-        union select '2:' || h || ':' || after, doc_id, p from marked where sel and after is not null
-        union select '2:' || before || ':' || h, doc_id, p - 1 from marked where sel and before is not null
-        union select '3:' || before || ':' || h || ':' || after, doc_id, p - 1 from marked
-              where sel and before is not null and after is not null),
-    firsts as (select key, min(row(doc_id, p)) as f from keys group by key having count(*) > 1),
-    laid as (
-        select distinct k.doc_id, (f).doc_id as a, (f).p - k.p as shift
-        from (select key, {'doc_id': f[1], 'p': f[2]} as f from firsts) join keys k using (key)
-        where (f).doc_id <> k.doc_id or (f).p <> k.p),
-    same as (
-        select d.doc_id, d.a, d.shift, x.p, x.pos, x.w, y.h is not null as same
-        from laid d join l x on x.doc_id = d.doc_id
-        left join l y on y.doc_id = d.a and y.p = x.p + d.shift and y.h = x.h),
-    islands as (
-        select *, sum(case when same then 0 else 1 end) over (partition by doc_id, a, shift order by p) as island from same),
+        select *, row_number() over d - 1 as p, lead(h) over d as h2, lead(h, 2) over d as h3, lead(w) over d as w2
+        from lines where w > 0 window d as (partition by doc_id order by pos)),
     runs as (
-        select doc_id, unnest(list(pos)) as pos, count(*) as n, sum(w) as words from islands
-        where same group by doc_id, a, shift, island having count(*) >= 3 or sum(w) >= 50),
-    gone as (select distinct doc_id, pos from runs)
+        select 'a' || h as key, doc_id, p, 1 as n from l where w >= 50
+        union all select 'b' || h || ':' || h2, doc_id, p, 2 from l where h2 is not null and w + w2 >= 50
+        union all select 'c' || h || ':' || h2 || ':' || h3, doc_id, p, 3 from l where h3 is not null),
+    placed as (select *, row_number() over (partition by key order by doc_id, p) as nth from runs),
+    gone as (
+        select distinct l.doc_id, l.pos from placed r join l on l.doc_id = r.doc_id and l.p >= r.p and l.p < r.p + r.n
+        where r.nth > 1)
     select d.doc_id, len(string_split(coalesce(text, ''), chr(10)))::bigint as n_lines,
            coalesce(g.removed, 0)::bigint as n_removed, coalesce(k.clean, '') as clean_text
     from documents d
