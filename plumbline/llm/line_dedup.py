@@ -1,10 +1,14 @@
-"""Line dedup by keys of whole runs.
+"""Line dedup by winnowing over line hashes.
 
 Documents are sequences of non-blank lines. A repeated run is long enough if it has three lines or 50
-words, so it is covered by short runs that are repeated with it: every three lines in a row, and fewer
-lines that reach 50 words. Each of these short runs is keyed at every place and meets the earliest
-place with the same whole key; at all later places its lines are deleted. Documents are ordered by id, so
-the first place of every run stays.
+words. Of every window of three lines (or fewer that reach 50 words) the line with the least hash is a fingerprint. Equal
+windows have equal fingerprints, so a window whose fingerprint stands at one place only repeats nothing: fingerprints, single
+numbers, are counted first, and only windows around shared ones go on. Their whole keys are joined by position: each place meets the
+earliest one with the same lines. Windows that overlap are one match, so a match reaches as far both ways as its
+lines agree, and the lines of all later places are deleted. Documents are ordered by id, so the first place of every run stays.
+
+Extending from single fingerprints alone would lose runs (an earliest place may hold the fingerprint and no more of the run);
+meeting the earliest place of each whole window does not.
 
 A run that very many documents share never makes pairs of documents: each place meets one earliest place.
 """
@@ -44,38 +48,57 @@ def _documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
-def _short_runs(lines: DataFrame) -> DataFrame:
-    """(key, h, k_id, k_text, p, n): every run of three lines, and shorter ones that have 50 words; ``h`` is the
-    first line's hash, which keeps runs apart whose keys collide."""
+def _windows() -> Column:
+    """Per document (n, p, mark): its windows of three lines, and shorter ones that have 50 words, with the place of the
+    least hash in each, the first of equals."""
 
-    def keys(i: Column) -> Column:
-        hashes, words, found = [], F.lit(0).cast("long"), []
+    def at(i: Column) -> Column:
+        hashes, words, best, found = [], F.lit(0).cast("long"), i, []
         for n in range(1, RUN_LINES + 1):
-            hashes.append(F.get("h", i + (n - 1)))
-            words = words + F.get("w", i + (n - 1))
+            place = i + (n - 1)
+            hashes.append(F.get("h", place))
+            words = words + F.get("w", place)
+            if n > 1:
+                best = F.when(hashes[-1] < F.get("h", best), place).otherwise(best)
             whole = hashes[-1].isNotNull() if n == RUN_LINES else words >= RUN_WORDS
-            key = F.xxhash64(F.lit(n), *hashes)
-            found.append(F.when(whole, F.struct(key.alias("key"), hashes[0].alias("h"), i.alias("p"), F.lit(n).alias("n"))))
+            found.append(F.when(whole, F.struct(F.lit(n).alias("n"), i.alias("p"), best.alias("mark"))))
         return F.array(*found)
 
-    places = F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), keys))
-    return (
-        lines.select("k_id", "k_text", F.explode(F.filter(places, lambda r: r.isNotNull())).alias("run"))
-        .select("run.key", "run.h", "k_id", "k_text", "run.p", "run.n")
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 1), at)), lambda r: r.isNotNull())
+
+
+def _short_runs(lines: DataFrame) -> DataFrame:
+    """(key, h, k_id, k_text, p, n): the windows whose fingerprint stands at two places or more, by a key of all their lines;
+    ``h`` is the first line's hash, which keeps windows apart whose keys collide."""
+    runs = lines.select("k_id", "k_text", "h", F.explode(_windows()).alias("run"))
+
+    def line(k: int) -> Column:
+        return F.when(F.col("run.n") > k, F.get("h", F.col("run.p") + k))
+
+    keyed = runs.select(
+        F.xxhash64("run.n", *[line(k) for k in range(RUN_LINES)]).alias("key"),
+        line(0).alias("h"),
+        "k_id",
+        "k_text",
+        "run.p",
+        "run.n",
+        F.get("h", F.col("run.mark")).alias("mark"),
+        F.xxhash64("k_id", "k_text", "run.mark").alias("place"),
     )
+    places = keyed.groupBy("mark").agg(F.min("place").alias("one"), F.max("place").alias("other"))
+    # written before the join, which then can split a line that very many documents have
+    shared = stored(places.where("one != other").select("mark"), "line-marks")
+    return keyed.drop("place").join(shared, "mark", "left_semi").drop("mark")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(k_id, k_text, gone): the places of a document's lines that belong to later repeated runs."""
     lines = stored(_documents(docs, id_col, text), "lines")
-    runs = _short_runs(lines)
-    # plain numbers first: most runs occur once and need no place
-    repeated = stored(
-        runs.groupBy("key", "h").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("key", "h"), "line-keys"
-    )
-    runs = stored(runs.join(repeated, ["key", "h"], "left_semi"), "line-runs")
+    runs = stored(_short_runs(lines), "line-runs")
     order = F.struct(F.col("k_id").isNotNull().alias("named"), "k_id", "k_text", "p")
-    firsts = runs.groupBy("key", "h").agg(F.min(order).alias("first"))
+    firsts = runs.groupBy("key", "h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    # written before the join, which then can split a run that very many documents share
+    firsts = stored(firsts.drop("places"), "line-firsts")
     later = runs.join(firsts, ["key", "h"]).where(
         ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")) & (F.col("p") == F.col("first.p")))
     )
@@ -103,8 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         gone.alias("g"), null_safe([F.col("d.k_id"), F.col("d.k_text")], [F.col("g.k_id"), F.col("g.k_text")]), "left"
     ).select(ROW, F.coalesce(F.array_sort("gone"), F.array().cast("array<int>")).alias("removed"))
     lines = F.split(text_or_empty(field(text)), "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("removed", i))
-    done = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn(
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
+    done = joined.withColumn("lines", lines).withColumn("n_lines", F.size("lines").cast("long")).withColumn(
         "clean_text",
         F.when(F.size("removed") == 0, text_or_empty(field(text))).otherwise(F.array_join(kept, "\n")),
     )
