@@ -126,7 +126,7 @@ def training_order(
         return pd.Series(order.slots(numbers.to_numpy()))
 
     placed = numbered.withColumn("slot", slot_of("number")).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    sorted_ = placed.repartition("shard").sortWithinPartitions("shard", "slot")
+    sorted_ = placed.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard", "slot")
     count = (F.octet_length("tokens") / token_bytes).cast("long")
     known = F.coalesce("k_id", F.lit(-(1 << 63)).cast("long"))
     head = F.concat(_wide(known, 16), _wide(F.col("part"), 8), _wide(count, 8))
