@@ -1,12 +1,12 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records by a seeded hash into buckets that fit in memory; pass two shuffles each
+Pass one scatters records by a seeded hash into buckets that fit in memory; pass two makes a Fisher-Yates shuffle of each
 bucket and writes it. The buckets, end to end, are one random order of all records; it is cut into
 shards whose row counts differ by at most one.
 
-Inside a bucket the uniform permutation is made by sorting on seeded random keys. It is distributed as
-a Fisher-Yates shuffle is, but it can spill, and it comes out the same in every run and after every
-retry; the built-in ``shuffle`` draws by partition number and row order, which a retry may change.
+What is shuffled is a bucket's row numbers, with the built-in ``shuffle``, which is Fisher-Yates in linear work; each record then
+takes the place drawn for its number. The built-in draws by partition number and row order, so the buckets are dealt to a fixed number
+of partitions and sorted there first: the order comes out the same in every run and after every retry.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import ROW, field, packed, shared_path, text_or_empty, unpacked
+from plumbline.llm.common import ROW, field, packed, shared_path, stored, text_or_empty, unpacked
 
 BUCKET_BYTES = 8 << 20
+TASK_BUCKETS = 2
 LAW = "rows"
 
 
@@ -48,18 +49,25 @@ def external_shuffle(
     keyed = rows.withColumn("draw", F.xxhash64(F.lit(seed), field(id_col), field(text))).withColumn(
         "bucket", F.pmod("draw", F.lit(buckets))
     )
+    tasks = buckets // TASK_BUCKETS + 1
     by_bucket = Window.orderBy("bucket")
     # one row per bucket; a bucket's place is known before its records are sorted
     places = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).select(
         "bucket",
+        "rows",
         F.coalesce(F.sum("rows").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
         F.sum("rows").over(Window.partitionBy()).alias("total"),
     )
-    inside = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "draw"), "draw", field(id_col), field(text))
+    counted = places.select("bucket", "rows", "start", "total").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    numbers = F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))
+    drawn = stored(counted.select("bucket", "start", "total", F.shuffle(numbers, seed + 1).alias("order")), "bucket-orders")
+    inside = Window.partitionBy("bucket").orderBy("draw", field(id_col), field(text))
     shuffled = (
-        keyed.withColumn("nth", F.row_number().over(inside))
-        .join(places, "bucket")
-        .withColumn("at", F.col("start") + F.col("nth") - 1)
+        keyed.repartition(tasks, "bucket")
+        .withColumn("nth", F.row_number().over(inside))
+        .join(drawn, "bucket")
+        .withColumn("at", F.col("start") + F.get("order", F.col("nth") - 1))
+        .drop("order")
         .withColumn("shard", F.expr(f"at * {shards} div total").cast("int"))
         .withColumn("slot", F.col("at") - F.ceil(F.col("shard") * F.col("total") / shards))
         .withColumn("law", F.lit(LAW))

@@ -258,3 +258,21 @@ def test_stored_records_are_the_written_ones(spark, tmp_path):
     nothing = token_shards.training_order(df.limit(0), **size)
     empty = token_shards.write_shards(nothing, str(tmp_path / "none"))
     assert token_shards.stored_records(spark, empty, **size).count() == 0
+
+
+def test_buckets_are_shuffled_by_seed_and_alike_in_every_run(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
+
+    def order(seed, parts):
+        rows = sharding.external_shuffle(docs.repartition(parts), shards=1, seed=seed, bucket_bytes=400).orderBy("slot").collect()
+        assert [r.slot for r in rows] == list(range(300))
+        return [r.doc_id for r in rows]
+
+    first = order(1, 3)
+    assert first == order(1, 6) != order(2, 3) and sorted(first) == list(range(300))
+    # neighbours in a bucket are not in the order of their draws
+    one = sharding.external_shuffle(docs, shards=1, bucket_bytes=1 << 20).orderBy("slot").select(
+        F.xxhash64(F.lit(0), "doc_id", "text").alias("draw")
+    ).collect()
+    rises = sum(a.draw < b.draw for a, b in zip(one, one[1:], strict=False))
+    assert 110 < rises < 190
