@@ -312,3 +312,33 @@ def test_text_ids_are_ordered_by_their_letters(spark):
         following = f"text of {ring[(at + 1) % len(ring)]}"
         own = f"text of {name}"
         assert out[name].edited == own[: len(own) - len(own) // 2] + following[: len(own) // 2]
+
+
+def test_leader_updates_by_plain_python():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Good", "words", "here", "!!", "42", "spam", "é"]) for _ in range(rng.randrange(12))) for _ in range(25)]
+    rows = list(quality.features(*utf8(pa.array(texts)), WordHasher(FINE)))
+    labels = [float("spam" not in t) for t in texts]
+    settings = quality.Leader(alpha=0.7, beta=0.9, l1=0.05, l2=0.2, epochs=3)
+    lead, seen = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(place):
+        z, n = lead[place], seen[place]
+        if abs(z) <= settings.l1:
+            return 0.0
+        return (np.copysign(settings.l1, z) - z) / ((settings.beta + n**0.5) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for y, (places, values) in zip(labels, rows, strict=True):
+            known = {p: weight(p) for p in places.tolist()}
+            margin = sum(known[p] * v for p, v in zip(places.tolist(), values.tolist(), strict=True))
+            off = 1 / (1 + np.exp(-margin)) - y
+            for p, v in zip(places.tolist(), values.tolist(), strict=True):
+                g = off * v
+                rate = ((seen[p] + g * g) ** 0.5 - seen[p] ** 0.5) / settings.alpha
+                lead[p] += g - rate * known[p]
+                seen[p] += g * g
+    found = quality.train(((y, p, v) for y, (p, v) in zip(labels, rows, strict=True)), settings)
+    want = {p: weight(p) for p in lead if weight(p)}
+    assert set(np.flatnonzero(found).tolist()) == set(want) and len(want) > 20
+    assert all(abs(found[p] - w) < 1e-9 for p, w in want.items())
