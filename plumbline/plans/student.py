@@ -592,7 +592,8 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     """A student of the balanced gold sample, met with the padded references it was never shown."""
     items = order_items(t)
-    training, probes = text_variants.balanced_sample(items, text_variants.build_variants(items))
+    variants = cut_lineage(text_variants.build_variants(items))  # training rows and probes are drawn from the same
+    training, probes = text_variants.balanced_sample(items, variants)
     asked = items.select("item_id", "question", "context")
 
     def rendered(rows: DataFrame) -> DataFrame:
