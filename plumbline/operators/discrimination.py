@@ -13,9 +13,10 @@ def discrimination_rows(
 ) -> DataFrame:
     """Each variant judgment beside the reference score of the same item and judge.
 
-    ``correct`` and ``tie`` are null when either score is missing; a tie is never correct.
+    ``correct`` and ``tie`` are null when either score is missing; a tie is never correct. References grow with the items,
+    and Spark takes rows exploded from a narrow table for few: the hint keeps them from being broadcast.
     """
-    reference = references.select(*on, F.col("score").alias("reference_score"))
+    reference = references.select(*on, F.col("score").alias("reference_score")).hint("merge")
     joined = judgments.withColumnRenamed("score", "variant_score").join(reference, list(on), "left")
     return joined.withColumn(
         "correct", (F.col("variant_score") < F.col("reference_score")).cast("int")

@@ -13,8 +13,8 @@ from plumbline.operators.discrimination import share
 def padded_pairs(
     padded: DataFrame, references: DataFrame, on: tuple[str, ...] = ("judge", "item_id")
 ) -> DataFrame:
-    """Padded score beside the reference score of the same item, where both were parsed."""
-    reference = references.select(*on, F.col("score").alias("reference_score"))
+    """Padded score beside the reference score of the same item, where both were parsed. No side is small, so none is broadcast."""
+    reference = references.select(*on, F.col("score").alias("reference_score")).hint("merge")
     joined = padded.withColumnRenamed("score", "padded_score").join(reference, list(on))
     return joined.where(F.col("padded_score").isNotNull() & F.col("reference_score").isNotNull())
 
