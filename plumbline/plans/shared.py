@@ -49,12 +49,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(t: Inputs, name: str) -> DataFrame:
-    """A table as a stream: a file source that picks the table out of its folder."""
-    return (
-        t.spark.readStream.schema(t.table(name).schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(t.folder)
-    )
+    """A table as a stream, be it one file or a folder of part files.
+
+    The brackets match the name itself: a file source takes a pattern that finds one file, but not the bare path of one.
+    """
+    return t.spark.readStream.schema(t.table(name).schema).parquet(f"{t.folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Work and data movement of the queries that large tables stopped."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import discrimination, verbosity
+from plumbline.plans.registry import Inputs
+from plumbline.plans.shared import drained, table_stream
 
 
 def test_references_are_not_broadcast(spark):
@@ -13,3 +16,15 @@ def test_references_are_not_broadcast(spark):
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
         assert joined.count() == 200
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, tmp_path, parts):
+    path, rows = f"{tmp_path}/things.parquet", spark.range(10)
+    if parts:
+        rows.repartition(parts).write.parquet(path)
+    else:
+        rows.toPandas().to_parquet(path)
+    spark.range(5).write.parquet(f"{tmp_path}/others.parquet")
+    found = drained(table_stream(Inputs(spark, str(tmp_path)), "things"), "append")
+    assert sorted(r.id for r in found.collect()) == list(range(10))
