@@ -37,6 +37,8 @@ from plumbline.session import cut_lineage
 RESAMPLES = 10_000
 BLOCK_CELLS = 4096
 DRAW_BLOCK = 2_000_000
+UNIT_DRAWS = 131_072  # drawn at once, so that they stay in a core's cache
+FEW_UNITS = 6  # up to so many units a cell, drawing units costs less than a binomial per cell
 
 
 def _moments(x: np.ndarray, size: np.ndarray, count: np.ndarray) -> dict[str, float]:
@@ -69,6 +71,29 @@ def _block_units(path: Sequence[dict], total: int, resamples: int, seed: int, gr
     return units
 
 
+def _unit_sums(
+    x: np.ndarray, size: np.ndarray, count: np.ndarray, units: np.ndarray, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same sums where most cells stand for few units: every unit drawn by its number, all equally likely."""
+    count = count.astype(np.int64)
+    whole = int(count.sum())
+    x, size = np.repeat(x, count), np.repeat(size, count)
+    even = bool((size == size[0]).all())
+    step = max(1, UNIT_DRAWS // whole)
+    top, bottom = np.zeros(len(units)), units * size[0] if even else np.zeros(len(units))
+    for start in range(0, len(units), step):
+        many = units[start : start + step]
+        at = rng.integers(0, whole, int(many.sum()))
+        some = np.flatnonzero(many)  # reduceat would give an empty stretch its next value
+        if not len(some):
+            continue
+        begins = (np.cumsum(many) - many)[some]
+        top[start + some] = np.add.reduceat(x[at], begins)
+        if not even:
+            bottom[start + some] = np.add.reduceat(size[at], begins)
+    return top, bottom
+
+
 def _block_sums(
     x: np.ndarray, size: np.ndarray, count: np.ndarray, units: np.ndarray | int, rng: np.random.Generator
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +102,8 @@ def _block_sums(
     ``units`` is what each replicate draws from the block; a plain number of replicates asks for Poisson weights instead: each
     unit counts Poisson(1) times, a cell of equal units as often as the Poisson number of their count.
     """
+    if not isinstance(units, int) and count.sum() <= FEW_UNITS * len(count):
+        return _unit_sums(x, size, count, units, rng)
     share = count / count.sum()
     resamples = units if isinstance(units, int) else len(units)
     step = max(1, DRAW_BLOCK // len(x))
@@ -268,6 +295,8 @@ def _resampled(
         F.max("x").alias("high"),
         F.min(F.col("x").isin(0.0, 1.0)).alias("flags"),
     )
+    # a block is little data and much work: as many partitions as there is work, which adaptive execution must not merge
+    deals = max(1, math.ceil(cells.count() / BLOCK_CELLS))
     filled = joined.groupBy(*by, "_block").agg(units.alias("_units"))
     group = F.xxhash64(*by) if by else F.lit(0).cast("long")
     blocks = _attached(_paths(filled, by), sized.select(*by, "_blocks", F.col("units").alias("total")), by).select(
@@ -312,7 +341,9 @@ def _resampled(
             yield pd.DataFrame(rows, columns=by + [f.name for f in fields])
 
     of = [f"_of_{c}" for c in by]
-    by_block = dealt.groupBy(*by, "_block").cogroup(blocks.groupBy(*of, "_own")).applyInPandas(draw, sums_schema)
+    ours = dealt.repartition(deals, *by, "_block").groupBy(*by, "_block")
+    theirs = blocks.repartition(deals, *of, "_own").groupBy(*of, "_own")
+    by_block = ours.cogroup(theirs).applyInPandas(draw, sums_schema)
     by_lane = by_block.groupBy(*by, "_lane").applyInPandas(add, sums_schema)
     whole = by_lane.groupBy(*by).applyInPandas(add, sums_schema).drop("_lane")
     return _attached(whole, moments, by).mapInPandas(conclude, StructType(key_fields + fields))
