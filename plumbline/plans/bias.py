@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.extraction import verdict_of
 from plumbline.operators import agreement, consistency, discrimination, swaps
 from plumbline.plans.registry import Inputs, query
-from plumbline.plans.shared import rounded, sql_wilson
+from plumbline.plans.shared import rounded, spread, sql_wilson
 
 ROWS_SQL = """
 rows_ as (
@@ -21,8 +21,13 @@ rows_ as (
     on j.judge = r.judge and j.item_id = r.item_id)"""
 
 
+def spread_judgments(t: Inputs) -> DataFrame:
+    """The judgments dealt as their join with reference scores wants them."""
+    return spread(t.view("judgments"), ["judge", "item_id"])
+
+
 def judged_rows(t: Inputs) -> DataFrame:
-    return discrimination.discrimination_rows(t.view("judgments"), t.view("reference_scores"))
+    return discrimination.discrimination_rows(spread_judgments(t), t.view("reference_scores"))
 
 
 @query(

@@ -43,6 +43,18 @@ def sql_wilson(k: str, n: str, side: str, confidence: float = 0.95) -> str:
     return f"least(1.0, ({centre} + {spread}) / {bottom})"
 
 
+SPREAD_ROWS = 500_000
+
+
+def spread(df: DataFrame, keys: list[str], rows: int = SPREAD_ROWS) -> DataFrame:
+    """The rows dealt by ``keys`` to as many partitions as keep each at about ``rows`` rows, for a sort that must not grow with the table.
+
+    Where the session's own number of partitions is enough, dealing is left to Spark.
+    """
+    parts = -(-df.count() // rows)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"

@@ -26,6 +26,7 @@ from plumbline.plans.bias import (
     SIMPSON,
     judged_rows,
     outcomes,
+    spread_judgments,
 )
 from plumbline.plans.registry import Inputs, query
 from plumbline.plans.shared import rounded, sql_wilson
@@ -35,7 +36,7 @@ RESAMPLES = bootstrap.RESAMPLES
 
 
 def priced_judgments(t: Inputs) -> DataFrame:
-    return costs.with_cost(t.view("judgments"), t.view("models"))
+    return costs.with_cost(spread_judgments(t), t.view("models"))
 
 
 @query("bootstrap_accuracy")
@@ -178,7 +179,7 @@ rep as (select judge, config, severity, count(*) as n, avg(len_ratio) as mean_le
 
 
 def padded(t: Inputs) -> DataFrame:
-    return verbosity.padded_pairs(t.view("judgments"), t.view("reference_scores").select("judge", "item_id", "score"))
+    return verbosity.padded_pairs(spread_judgments(t), t.view("reference_scores").select("judge", "item_id", "score"))
 
 
 @query(
@@ -424,7 +425,7 @@ u as (select *, 1000 * cost / greatest(n_pairs, 1) as c1k,
 def cost_table(t: Inputs) -> DataFrame:
     models = t.view("models")
     rows = discrimination.discrimination_rows(
-        costs.with_cost(t.view("judgments"), models), t.view("reference_scores")
+        costs.with_cost(spread_judgments(t), models), t.view("reference_scores")
     )
     references = costs.with_cost(t.view("reference_scores"), models)
     return costs.cost_accuracy(discrimination.judge_summary(rows, references), models)

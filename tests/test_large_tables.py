@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import bootstrap, discrimination, verbosity
 from plumbline.plans.registry import Inputs
-from plumbline.plans.shared import drained, table_stream
+from plumbline.plans.shared import drained, spread, table_stream
 
 
 def test_references_are_not_broadcast(spark):
@@ -53,3 +53,9 @@ def test_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
     assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(g") and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     one = found.first()
     assert one.lo < one.value < one.hi and one.n == 40_000
+
+
+def test_judgments_are_sorted_in_parts_of_bounded_size(spark):
+    rows = spark.range(1000).select((F.col("id") % 90).cast("string").alias("item_id"), F.lit("j0").alias("judge"))
+    assert spread(rows, ["judge", "item_id"], rows=50).rdd.getNumPartitions() == 20
+    assert spread(rows, ["judge", "item_id"]).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
