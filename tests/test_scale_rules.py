@@ -41,6 +41,37 @@ def test_donors_grow_with_the_items(spark):
     assert all(len(r.facts_corrupted) == 4 for r in variants)
 
 
+def test_rings_cut_into_chunks_give_the_same_donors(spark, monkeypatch):
+    rows = [item(f"i{i}", f"d{i % 2}", 4) for i in range(120)] + [item(f"n{i}", None, 4) for i in range(3)]
+    base = tv.with_source_record(spark.createDataFrame(rows, ITEM))
+
+    def donors():
+        found = tv.with_donors(base).select("item_id", F.col("donors.near.item_id").alias("near")).collect()
+        return {r.item_id: r.near for r in found}
+
+    whole = donors()
+    monkeypatch.setattr(tv, "CHUNK_ROWS", 5)
+    assert donors() == whole and whole["n0"] is None and len(whole["i0"]) == tv.DONORS
+
+
+def test_a_sample_is_drawn_before_the_texts_are_made(spark):
+    words = [("a", "alpha", "claim", "", True, "It was {value}."), ("b", "beta", "claim", "", True, "Then {value}.")]
+    rows = [item(f"i{i}", "d", 4) for i in range(40)] + [("w", "d", "c", "q", words)]
+    base = tv.with_source_record(spark.createDataFrame(rows, ITEM))
+    drawn = tv.build_variants(base, sample_seed=tv.SEED)
+    assert drawn.count() < 4 * 41
+    for one, other in zip(tv.balanced_sample(base, drawn), tv.balanced_sample(base, tv.build_variants(base)), strict=True):
+        assert sorted(one.collect()) == sorted(other.collect())
+
+
+def test_references_beside_the_variants_make_the_same_pairs(spark):
+    base = tv.with_source_record(spark.createDataFrame([item("i", "d", 3), item("i", "d", 4), item("k", "e", 2)], ITEM))
+    kinds = ["omission", "fabrication", "verbosity"]
+    beside = tv.gold_pairs(base, tv.build_variants(base, kinds, beside=tv.references(base)))
+    assert sorted(beside.collect()) == sorted(tv.gold_pairs(base, tv.build_variants(base, kinds)).collect())
+    assert beside.count() == 2 * 3 * 5
+
+
 def test_any_nesting_of_arithmetic():
     assert evaluate("(" * 95 + "1" + ")" * 95) == "1"
     assert evaluate("-" * 150 + "2") == "2"
