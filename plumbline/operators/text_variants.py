@@ -270,22 +270,25 @@ def _filler_order(seed: int) -> Column:
 
 def _filler_count(seed: int) -> Column:
     """How many filler sentences it takes, in turn, to reach the length wanted; at most ``MAX_PADDING``."""
-    body = F.col("reference")
-    goal = (F.lit(1.5) + F.lit(1.5) * F.col("severity")) * F.length(body)
-    missing = F.ceil(goal - F.length(body)).cast("bigint")
+    goal = lambda size: (F.lit(1.5) + F.lit(1.5) * F.col("severity")) * size
+    missing = let(F.length("reference"), lambda size: F.ceil(goal(size) - size).cast("bigint"))
     turn = sum(len(f) + 1 for f in FILLER)
 
-    def count(pool: Column) -> Column:
-        whole = F.call_function("div", missing - 1, F.lit(turn))
-        short = missing - whole * turn
-        upto, sums = F.lit(0), []
-        for i in range(len(FILLER) - 1):
-            upto = upto + F.length(F.get(pool, F.lit(i))) + 1
-            sums.append(upto)
-        more = sum((F.when(short > s, 1).otherwise(0) for s in sums), F.lit(1))
-        return F.least(whole * len(FILLER) + more, F.lit(MAX_PADDING)).cast("int")
-
-    return F.when(missing > 0, let(F.col("filler_order"), count)).otherwise(0)
+    def count(short: Column) -> Column:
+        """``short`` is what is missing after whole turns, ``upto`` the length so far and ``n`` the sentences that do not reach it."""
+
+        def step(state: Column, text: Column) -> Column:
+            upto = state["upto"] + F.length(text) + 1
+            return F.struct(upto.alias("upto"), (state["n"] + F.when(upto < short, 1).otherwise(0)).alias("n"))
+
+        start = F.struct(F.lit(0).alias("upto"), F.lit(1).alias("n"))
+        return F.aggregate("filler_order", start, step)["n"]
+
+    def total(m: Column) -> Column:
+        whole = F.call_function("div", m - 1, F.lit(turn))
+        return F.least(whole * len(FILLER) + let(m - whole * turn, count), F.lit(MAX_PADDING)).cast("int")
+
+    return let(missing, lambda m: F.when(m > 0, total(m)).otherwise(0))
 
 
 def verbosity(seed: int) -> dict[str, Column]:
