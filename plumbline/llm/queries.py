@@ -236,8 +236,7 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     """BPE tokens (two bytes per id) of all documents, written in training order and read back from the shards."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(spark, docs, bpe.vocabulary_path(), id_bytes=2).select("doc_id", "ids")
-    tokens = stored(encoded, "token-ids")  # numbering reads them more than once
+    tokens = bpe.encode(spark, docs, bpe.vocabulary_path(), id_bytes=2).select("doc_id", "ids")
     path = token_shards.write_shards(token_shards.training_order(tokens, token_bytes=2, record_tokens=1024))
     return token_shards.stored_records(spark, path, token_bytes=2, record_tokens=1024)
 

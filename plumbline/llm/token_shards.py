@@ -6,6 +6,9 @@ of all records that needs no sorting key per record, is the same in every run, a
 are cut into shards; a shard is one file of records of equal length in slot order, so a reader finds
 slot s at a byte offset, reads on from there, and can resume at any slot.
 
+The files are padded, so they are most of the disk that this takes. Beside them there is one compressed copy
+of the tokens at a time, and the shuffle of one wave of shards.
+
 A record is 16 bytes of head (id, part, number of tokens; big-endian), the token ids (little-endian, 1,
 2 or 4 bytes each, zero padded) and one line end.
 """
@@ -20,13 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import field, packed, shared_path
+from plumbline.llm.common import field, packed, remove_stored, shared_path, shuffles_removed
 from plumbline.llm.hashing import draws, mix
 
 HEAD_BYTES = 16
 RECORD_TOKENS = 2048
 SHARD_BYTES = 16 << 20
 NUMBER_ROWS = 2_000
+WAVES = 8
+WAVE_SHARDS = 8
 ROUNDS = 6
 
 
@@ -89,7 +94,11 @@ def training_order(
     A row without tokens (null or empty) has one empty record. A null id is written as the smallest
     64-bit integer. Repeated rows have records of their own. Other columns are ignored; an empty table
     gives no rows. The ids have to be integers.
+
+    ``docs`` is read once, by this call. The records are stored in the shared folder with their slots, in slot
+    order per file, and the frame reads them from there.
     """
+    spark = docs.sparkSession
     size = record_tokens * token_bytes
     stride = record_bytes(record_tokens, token_bytes)
     per_shard = max(1, shard_bytes // stride)
@@ -97,6 +106,8 @@ def training_order(
     parts = F.greatest(F.ceil(F.octet_length(data) / size), F.lit(1)).cast("long")
     rows = packed(docs).select(field(id_col).cast("long").alias("k_id"), data.alias("data"), parts.alias("parts"))
     rows = rows.withColumn("draw", F.xxhash64("k_id", "data"))
+    given = shared_path(spark, "token-ids")
+    rows = _compressed(rows, given)  # numbering reads them more than once
     facts = rows.agg(F.sum("parts"), F.count(F.lit(1))).first()
     total, ranges = facts[0] or 0, max(1, -(-facts[1] // NUMBER_ROWS))
     # records are numbered inside ranges of equal hash, after the ranges' own totals
@@ -126,7 +137,11 @@ def training_order(
         return pd.Series(order.slots(numbers.to_numpy()))
 
     placed = numbered.withColumn("slot", slot_of("number")).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    sorted_ = placed.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard", "slot")
+    with shuffles_removed(spark):
+        placed = _compressed(placed.drop("number").sortWithinPartitions("slot"), shared_path(spark, "token-records"))
+    remove_stored(spark, given)
+    sorted_ = placed.repartitionById(max(1, -(-total // per_shard)), F.col("shard").cast("int"))
+    sorted_ = sorted_.sortWithinPartitions("shard", "slot")
     count = (F.octet_length("tokens") / token_bytes).cast("long")
     known = F.coalesce("k_id", F.lit(-(1 << 63)).cast("long"))
     head = F.concat(_wide(known, 16), _wide(F.col("part"), 8), _wide(count, 8))
@@ -141,6 +156,11 @@ def training_order(
     )
 
 
+def _compressed(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _wide(value: Column, digits: int) -> Column:
     return F.unhex(F.lpad(F.hex(value), digits, "0"))
 
@@ -148,11 +168,19 @@ def _wide(value: Column, digits: int) -> Column:
 def write_shards(records: DataFrame, path: str | None = None) -> str:
     """Writes each shard as one file ``shard=<n>/part-*`` of fixed-length records; returns the path.
 
-    Spark's own writer commits the files, so a lost executor leaves no partial shard.
+    Spark's own writer commits the files, so a lost executor leaves no partial shard. Shards are written in
+    up to ``WAVES`` waves, each with a shuffle of its own that goes when the wave is written.
     """
-    path = path or shared_path(records.sparkSession, "token-shards")
-    lines = records.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
-    lines.write.partitionBy("shard").option("lineSep", "\n").text(path)
+    spark = records.sparkSession
+    path = path or shared_path(spark, "token-shards")
+    with shuffles_removed(spark):
+        shards = (records.agg(F.max("shard")).first()[0] or 0) + 1
+        wave = max(WAVE_SHARDS, -(-shards // WAVES))
+        for first in range(0, shards, wave):
+            some = records.where(F.col("shard").between(first, first + wave - 1)).sortWithinPartitions("shard", "slot")
+            lines = some.select("shard", F.col("record").cast("string").alias("value"))
+            mode = "append" if first else "errorifexists"
+            lines.write.partitionBy("shard").option("lineSep", "\n").mode(mode).text(path)
     return path
 
 

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import chat_format as chat
 from plumbline.llm import mixing, sharding, token_shards
+from plumbline.session import ensure_checkpoint_dir
 
 CHATS = "conv_id long, turn long, role string, text string"
 
@@ -260,6 +262,44 @@ def test_stored_records_are_the_written_ones(spark, tmp_path):
     assert token_shards.stored_records(spark, empty, **size).count() == 0
 
 
+def test_token_shards_leave_one_copy_of_the_tokens_and_no_shuffle_of_them(spark, tmp_path):
+    def lasting():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data"))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    draw, before = random.Random(7), spark.conf.get(key)
+    rows = [(i % 90, draw.randbytes(draw.randrange(20_000))) for i in range(100)]
+    size = {"token_bytes": 2, "record_tokens": 256, "shard_bytes": 100 * token_shards.record_bytes(256, 2)}
+    df = spark.createDataFrame(rows, "doc_id long, ids binary").localCheckpoint()
+    spark._jvm.System.gc()
+    shared, floor = Path(ensure_checkpoint_dir(spark).removeprefix("file:")), lasting()
+    there = set(shared.iterdir())
+    records = token_shards.training_order(df, **size)
+    path = token_shards.write_shards(records, str(tmp_path / "tokens"))
+    total = sum(max(1, -(-len(b) // 512)) for _, b in rows)
+    shards = -(-total // 100)
+    assert shards > 16
+    assert [len(list((tmp_path / "tokens" / f"shard={n}").glob("part-*"))) for n in range(shards)] == [1] * shards
+    assert {f.name.rsplit("-", 1)[0] for f in set(shared.iterdir()) - there} == {"token-records"}
+    assert lasting() - floor < sum(len(b) for _, b in rows) / 4 and spark.conf.get(key) == before
+    back = token_shards.stored_records(spark, path, **size).orderBy("slot").collect()
+    assert back == records.orderBy("slot").collect() and [r.slot for r in back] == list(range(total))
+    found = defaultdict(list)
+    for r in sorted(back, key=lambda r: (r.doc_id, r.part)):
+        found[r.doc_id].append(bytes(r.record)[16 : 16 + 2 * r.n_tokens])
+    for i in range(10, 90):
+        assert b"".join(found[i]) == rows[i][1][: len(rows[i][1]) // 2 * 2]
+
+
+def test_a_wave_of_shards_reads_only_its_records(spark):
+    df = spark.createDataFrame([(i, b"ab" * i) for i in range(50)], "doc_id long, ids binary")
+    records = token_shards.training_order(df, token_bytes=2, record_tokens=4, shard_bytes=5 * token_shards.record_bytes(4, 2))
+    wave = records.where(F.col("shard").between(8, 15))
+    plan = wave._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(shard,8), LessThanOrEqual(shard,15)" in plan
+
+
 def test_buckets_are_shuffled_by_seed_and_alike_in_every_run(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
 
