@@ -32,6 +32,7 @@ SHARD_BYTES = 16 << 20
 NUMBER_ROWS = 2_000
 WAVES = 8
 WAVE_SHARDS = 8
+PAGE_ROWS = 500
 ROUNDS = 6
 
 
@@ -157,7 +158,8 @@ def training_order(
 
 
 def _compressed(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    # a filter skips pages, which have 20,000 rows otherwise
+    df.write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

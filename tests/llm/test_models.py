@@ -177,6 +177,29 @@ def test_bpe_equals_the_library():
         assert codec.decode(got).decode() == theirs.decode(ids, skip_special_tokens=False), text
 
 
+def test_texts_encoded_together_are_those_encoded_alone(monkeypatch):
+    monkeypatch.setattr(bpe, "EQUAL_WORDS", 3)
+    codec, theirs = bpe.Codec(bpe.load_vocabulary(bpe.vocabulary_path())), library()
+    rng = random.Random(5)
+    pool = ["<|endoftext|>", "<|", "'", "''", "'s", "'LL", "'re", "'v", "don't", "Σ", "\xa0", "\n", " ", "\x1c", "\x1f", "é", "İ", "12", "٣", "²",
+            "!!", "日本", "👍", "\U0001d400", "\u200b", "\x85", "ve", "straße", "internationalization", "\x00", "x" * 300]
+    texts = ["", " ", "'", "\n"] + ["".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aeiourstln") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    words = []
+    merge = codec._words
+    monkeypatch.setattr(codec, "_words", lambda equal: words.extend(equal) or merge(equal))
+    got = codec.encode_rows(texts)
+    assert len(words) > 2000 and codec.encode_rows([]) == []
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 5)
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 30)
+    small = bpe.Codec(bpe.load_vocabulary(bpe.vocabulary_path()))
+    assert small.encode_rows(texts) == got and len(small.young) <= 5 and len(small.old) <= 5
+    other = bpe.load_vocabulary(bpe.vocabulary_path()) | {"kinds": None}
+    assert bpe.Codec(other).encode_rows(texts) == got
+
+
 def test_remembered_words_stay_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 5)
     codec, theirs = bpe.Codec(bpe.load_vocabulary(bpe.vocabulary_path())), library()
