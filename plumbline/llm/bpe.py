@@ -28,7 +28,7 @@ from plumbline.llm.common import ROW, field, packed, text_or_empty, unpacked
 # the pattern whose words follow from the kinds of characters; files with another one are cut text by text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SYMBOL, LETTER, NUMBER, SPACE = range(4)
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 160_000
 ROWS_AT_ONCE = 512
 CHARS_AT_ONCE = 1 << 21
 # fewer words of one length than this, or longer ones, go through the queue one by one
@@ -353,6 +353,7 @@ def encode(
                     columns.append(pa.array([codec.decode(i) for i in ids], pa.binary()).cast(pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
 
     rows = packed(docs).select(ROW, text_or_empty(field(text)).alias("norm"))
     added = ["ids", "decoded"] if decoded else ["ids"]
