@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import ensure_checkpoint_dir
+from plumbline.session import ensure_checkpoint_dir, shuffles_removed
 
 # Fixed value: what the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,15 +87,3 @@ def remove_stored(spark: SparkSession, path: str) -> None:
     """Deletes a folder of :func:`shared_path` that no frame reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside it the shuffle files of a query go when that query ends, not when the driver's heap is collected."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
